@@ -29,7 +29,7 @@ def binary(name: str, test: Column) -> Flag:
 def share(name: str, base: Column, hit: Column) -> Flag:
     """1 in the numerator, 0 only in the denominator, missing out of scope.
 
-    ``hit`` must never be unknown where ``base`` is true (membership tests are not).
+    Missing too where ``hit`` itself is unknown; membership tests never are.
     """
     return Flag(name, F.when(base & hit, 1).when(base & ~hit, 0))
 

@@ -26,6 +26,10 @@ ROWS_PER_SPLIT = 1_000_000
 LONE_SPLITS = 4096  # tasks over which rows with a missing key are spread
 
 
+def _c(name: str) -> Column:
+    return F.col(f"`{name}`")
+
+
 def _pairs(on: Keys) -> list[tuple[str, str]]:
     return [(k, k) if isinstance(k, str) else k for k in on]
 
@@ -46,8 +50,8 @@ def _prepare(left, right, on, take, prefix):
         raise ValueError(f"columns on both sides, rename or prefix them: {sorted(clash)}")
     keys = [f"_key{i}" for i in range(len(pairs))]
     cut = right.select(
-        *[F.col(f"`{r}`").alias(k) for (_, r), k in zip(pairs, keys, strict=True)],
-        *[F.col(f"`{c}`").alias(n) for c, n in names.items()],
+        *[_c(r).alias(k) for (_, r), k in zip(pairs, keys, strict=True)],
+        *[_c(c).alias(n) for c, n in names.items()],
     )
     return pairs, keys, cut, list(names.values())
 
@@ -70,10 +74,9 @@ def join(left: DataFrame, right: DataFrame, on: Keys, how: str = "left", *, take
     Every matching right row gives a row, as in the joins it stands for.
     """
     pairs, keys, cut, names = _prepare(left, right, on, take, prefix)
-    condition = _all(_equal(left[l], cut[k], null_safe)
+    condition = _all(_equal(_c(l), _c(k), null_safe)
                      for (l, _), k in zip(pairs, keys, strict=True))
-    return left.join(cut, condition, how).select(*[left[c] for c in left.columns],
-                                                 *[cut[n] for n in names])
+    return left.join(cut, condition, how).select(*map(_c, [*left.columns, *names]))
 
 
 def _hot(df: DataFrame, columns: list[str], names: list[str], splits: str, hot_rows: int,
@@ -82,7 +85,7 @@ def _hot(df: DataFrame, columns: list[str], names: list[str], splits: str, hot_r
 
     Counting combines map-side, so a hot key is cheap to find.
     """
-    counts = df.groupBy(*[F.col(f"`{c}`").alias(n) for c, n in zip(columns, names, strict=True)]
+    counts = df.groupBy(*[_c(c).alias(n) for c, n in zip(columns, names, strict=True)]
                         ).agg(F.count(F.lit(1)).alias("_rows"))
     total = counts.agg(F.sum("_rows")).scalar()
     hot = counts.filter((F.col("_rows") >= hot_rows) & (F.col("_rows") >= total * hot_share))
@@ -123,11 +126,11 @@ def spread_join(left: DataFrame, right: DataFrame, on: Keys, how: str = "left",
         # Bounded broadcast: at most 2 / hot_share keys.
         found = df.join(
             F.broadcast(hot),
-            _all(_equal(df[c], hot[h], null_safe) for c, h in zip(columns, hot_keys, strict=True)),
+            _all(_equal(_c(c), _c(h), null_safe) for c, h in zip(columns, hot_keys, strict=True)),
             "left",
         )
         return found.select(
-            *[df[c] for c in df.columns],
+            *map(_c, df.columns),
             F.coalesce("_left_splits", F.lit(1)).alias("_left_splits"),
             F.coalesce("_right_splits", F.lit(1)).alias("_right_splits"),
         )
@@ -135,7 +138,7 @@ def spread_join(left: DataFrame, right: DataFrame, on: Keys, how: str = "left",
     def own_salt(df: DataFrame, splits: Column) -> Column:
         # The partition id parts exact copies of a row, which hash alike, and is the same
         # when a task runs again.
-        row = F.xxhash64(*[df[c] for c in df.columns], F.spark_partition_id())
+        row = F.xxhash64(*map(_c, df.columns), F.spark_partition_id())
         return F.when(splits > 1, F.pmod(row, splits).cast("int")).otherwise(F.lit(0))
 
     def every_salt(splits: Column) -> Column:
@@ -144,7 +147,7 @@ def spread_join(left: DataFrame, right: DataFrame, on: Keys, how: str = "left",
     left_splits, right_splits = F.col("_left_splits"), F.col("_right_splits")
     spread = left_splits
     if not null_safe and how != "inner":
-        lone = reduce(lambda a, b: a | b, [F.col(f"`{c}`").isNull() for c in left_keys])
+        lone = reduce(lambda a, b: a | b, [_c(c).isNull() for c in left_keys])
         spread = F.when(lone, F.lit(LONE_SPLITS)).otherwise(left_splits)
     salted_left = mark(left, left_keys)
     salted_left = salted_left.withColumn("_left_salt", own_salt(left, spread)).withColumn(
@@ -155,20 +158,18 @@ def spread_join(left: DataFrame, right: DataFrame, on: Keys, how: str = "left",
     salted_right = salted_right.withColumn("_matched", F.lit(True))
 
     condition = _all([
-        *[_equal(salted_left[l], salted_right[k], null_safe)
-          for l, k in zip(left_keys, keys, strict=True)],
-        salted_left["_left_salt"] == salted_right["_salt_l"],
-        salted_left["_right_salt"] == salted_right["_salt_r"],
+        *[_equal(_c(l), _c(k), null_safe) for l, k in zip(left_keys, keys, strict=True)],
+        F.col("_left_salt") == F.col("_salt_l"),
+        F.col("_right_salt") == F.col("_salt_r"),
     ])
     joined = salted_left.join(salted_right, condition, how)
     if how == "left_anti":
-        return joined.select(*left.columns)
+        return joined.select(*map(_c, left.columns))
     if how == "left":
         # A repeated left row whose salt has no right rows is not an unmatched row: a key
         # that is hot on the right has its matches under the other salts.
         joined = joined.filter(F.col("_matched").isNotNull() | (right_splits == 1))
-    return joined.select(*[salted_left[c] for c in left.columns],
-                         *[salted_right[n] for n in names])
+    return joined.select(*map(_c, [*left.columns, *names]))
 
 
 def not_in(left: DataFrame, right: DataFrame, left_key: str, right_key: str | None = None
@@ -178,10 +179,10 @@ def not_in(left: DataFrame, right: DataFrame, left_key: str, right_key: str | No
     A missing key on the right leaves no row; a missing key on the left is kept only when
     the right side is empty. Two counts decide that, the rest is an ordinary anti-join.
     """
-    keys = right.select(F.col(f"`{right_key or left_key}`").alias("_key"))
+    keys = right.select(_c(right_key or left_key).alias("_key"))
     counts = keys.agg(F.count(F.lit(1)).alias("rows"), F.count("_key").alias("known"))
     rows, known = counts.select("rows").scalar(), counts.select("known").scalar()
-    usable = left.filter((rows == known) & (F.col(f"`{left_key}`").isNotNull() | (rows == 0)))
+    usable = left.filter((rows == known) & (_c(left_key).isNotNull() | (rows == 0)))
     distinct = keys.dropna().distinct()
     return spread_join(usable, distinct, [(left_key, "_key")], "left_anti", take=[],
                        right_unique=True)

@@ -23,7 +23,7 @@ def _in_report_zone(current: DataFrame) -> DataFrame:
     if isinstance(kind, T.NumericType):
         shown = epoch_to_zone(moment, v.REPORT_ZONE)
     elif isinstance(kind, T.TimestampType):
-        shown = to_zone(F.convert_timezone(F.lit("UTC"), moment.cast("timestamp_ntz")),
+        shown = to_zone(F.convert_timezone(None, F.lit("UTC"), moment.cast("timestamp_ntz")),
                         v.REPORT_ZONE)
     else:
         shown = to_zone(moment.cast("timestamp_ntz"), v.REPORT_ZONE)

@@ -34,7 +34,7 @@ def _write(df: DataFrame, path: str, **options) -> None:
     df.write.options(header=True, quote='"', escape='"', **options).csv(path)
 
 
-def write_csv(df: DataFrame, path: str, missing: str = "", row_names: Sequence[str] | None = None,
+def write_csv(df: DataFrame, path: str, missing: str = "", row_names: Sequence[str] | None = None
               ) -> None:
     """Comma-separated. Missing is empty, or the text given. ``row_names`` lists the columns
     that order the rows for a leading column of row names."""
