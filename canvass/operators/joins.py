@@ -4,7 +4,7 @@ Plain joins leave the strategy to Spark: it broadcasts a side only when its meas
 is below ``spark.sql.autoBroadcastJoinThreshold`` and otherwise sorts and merges, and the
 adaptive planner splits a skewed partition of the left side. Where a group can be large on
 both sides, or a side arrives already grouped on the key (the adaptive planner cannot split
-that), ``spread_join`` salts the hot keys itself.
+that), ``spread_join`` looks for hot keys first and salts them itself.
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from canvass.session import write_once
+
 Keys = Sequence[str | tuple[str, str]]
 
 # A key is hot when it holds this many rows and this share of its side. Fewer than
@@ -79,11 +81,11 @@ def join(left: DataFrame, right: DataFrame, on: Keys, how: str = "left", *, take
     return left.join(cut, condition, how).select(*map(_c, [*left.columns, *names]))
 
 
-def _hot(df: DataFrame, columns: list[str], names: list[str], splits: str, hot_rows: int,
-         hot_share: float, rows_per_split: int) -> DataFrame:
+def _hot_side(df: DataFrame, columns: list[str], names: list[str], splits: str, hot_rows: int,
+              hot_share: float, rows_per_split: int) -> DataFrame:
     """The hot keys of one side and into how many pieces to cut each.
 
-    Counting combines map-side, so a hot key is cheap to find.
+    Reads only the key columns and combines map-side, so a hot key is cheap to count.
     """
     counts = df.groupBy(*[_c(c).alias(n) for c, n in zip(columns, names, strict=True)]
                         ).agg(F.count(F.lit(1)).alias("_rows"))
@@ -96,14 +98,14 @@ def spread_join(left: DataFrame, right: DataFrame, on: Keys, how: str = "left",
                 prefix: str | None = None, null_safe: bool = False, right_unique: bool = False,
                 hot_rows: int = HOT_ROWS, hot_share: float = HOT_SHARE,
                 rows_per_split: int = ROWS_PER_SPLIT) -> DataFrame:
-    """:func:`join` with the rows of hot keys spread over many tasks, exactly.
-
-    A row of a key that is hot on the left gets one of the key's salts and the right rows of
-    that key are repeated for each salt; a key hot on the right is treated the other way
-    round, and a key hot on both sides gets a grid. Rows whose key is missing can match
-    nothing (unless ``null_safe``), so they are spread too instead of meeting in one task.
-    ``right_unique`` says that the right side has one row per key, which saves counting it
-    and allows ``how="left_anti"``.
+    """:func:`join` that counts the keys first and spreads the rows of hot ones, exactly.
+
+    Without hot keys this is the plain join. Otherwise a row of a key that is hot on the left
+    gets one of the key's salts and the right rows of that key are repeated for each salt; a
+    key hot on the right is treated the other way round, and a key hot on both sides gets a
+    grid. Rows whose key is missing can match nothing (unless ``null_safe``), so they are
+    spread too instead of meeting in one task. ``right_unique`` says that the right side has
+    one row per key, which saves counting it and allows ``how="left_anti"``.
     """
     if how not in ("left", "inner") and not (how == "left_anti" and right_unique):
         raise ValueError(f"spread_join cannot do {how!r} here")
@@ -113,14 +115,19 @@ def spread_join(left: DataFrame, right: DataFrame, on: Keys, how: str = "left",
         cut = cut.dropna(subset=keys)
     hot_keys = [f"_hot{k}" for k in keys]
     limits = (hot_rows, hot_share, rows_per_split)
-    hot = _hot(left, left_keys, hot_keys, "_left_splits", *limits)
+    hot = _hot_side(left, left_keys, hot_keys, "_left_splits", *limits)
     if right_unique:
         hot = hot.withColumn("_right_splits", F.lit(1))
     else:
-        hot = hot.unionByName(_hot(cut, keys, hot_keys, "_right_splits", *limits),
+        hot = hot.unionByName(_hot_side(cut, keys, hot_keys, "_right_splits", *limits),
                               allowMissingColumns=True)
         hot = hot.groupBy(*hot_keys).agg(F.max("_left_splits").alias("_left_splits"),
                                          F.max("_right_splits").alias("_right_splits"))
+    hot = write_once(hot, "hot-keys")
+    match = _all(_equal(_c(l), _c(k), null_safe) for l, k in zip(left_keys, keys, strict=True))
+    if hot.isEmpty():
+        joined = left.join(cut, match, how)
+        return joined.select(*map(_c, [*left.columns, *([] if how == "left_anti" else names)]))
 
     def mark(df: DataFrame, columns: list[str]) -> DataFrame:
         # Bounded broadcast: at most 2 / hot_share keys.
@@ -156,13 +163,8 @@ def spread_join(left: DataFrame, right: DataFrame, on: Keys, how: str = "left",
     salted_right = salted_right.withColumn("_salt_r", own_salt(cut, right_splits)).withColumn(
         "_salt_l", every_salt(left_splits)).drop("_left_splits", "_right_splits")
     salted_right = salted_right.withColumn("_matched", F.lit(True))
-
-    condition = _all([
-        *[_equal(_c(l), _c(k), null_safe) for l, k in zip(left_keys, keys, strict=True)],
-        F.col("_left_salt") == F.col("_salt_l"),
-        F.col("_right_salt") == F.col("_salt_r"),
-    ])
-    joined = salted_left.join(salted_right, condition, how)
+    salts = (F.col("_left_salt") == F.col("_salt_l")) & (F.col("_right_salt") == F.col("_salt_r"))
+    joined = salted_left.join(salted_right, match & salts, how)
     if how == "left_anti":
         return joined.select(*map(_c, left.columns))
     if how == "left":

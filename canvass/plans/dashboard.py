@@ -61,7 +61,10 @@ def health_answers(dwellings: DataFrame) -> DataFrame:
 
 
 def labelled_star(fact: DataFrame, participants: DataFrame) -> DataFrame:
-    """Fact with participant, stand and label columns joined on, as the dashboard links them."""
+    """Fact with participant, stand and label columns joined on, as the dashboard links them.
+
+    The fact is read several times, so hand in a written one.
+    """
     labels = label_tables(fact.sparkSession)
     details = participant_details(participants)
     linked = spread_join(fact, details, ["participant_key2"],

@@ -14,6 +14,8 @@ ADAPTIVE = {
     # Split a skewed join even where that costs one more shuffle: a hot key in one
     # task costs more than moving its rows again.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Files are compressed; judge whether a side fits a broadcast by its decoded size.
+    "spark.sql.sources.fileCompressionFactor": "4.0",
 }
 
 
@@ -27,6 +29,8 @@ def configure(spark: SparkSession) -> SparkSession:
 def build_session(app: str = "canvass", master: str | None = None, **conf: str) -> SparkSession:
     """A session in UTC with the adaptive switches on; dots in ``conf`` are written ``__``."""
     builder = SparkSession.builder.appName(app).config("spark.sql.session.timeZone", "UTC")
+    # Recording the Python call site of every column costs more than building the plan.
+    builder = builder.config("spark.python.sql.dataFrameDebugging.enabled", "false")
     if master:
         builder = builder.master(master)
     for key, value in conf.items():

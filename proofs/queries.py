@@ -26,7 +26,7 @@ from canvass.operators.labels import (
 )
 from canvass.plans import cases as case_plans
 from canvass.plans import dashboard, dimensions, report
-from canvass.session import configure, fresh_path
+from canvass.session import configure, fresh_path, write_once
 from canvass.sinks import writers
 from canvass.sources import mappings
 from canvass.sources.scan import TableMap, min_max, scan
@@ -279,7 +279,7 @@ def propagate_id_first(i: Inputs) -> DataFrame:
 
 @query
 def star_join(i: Inputs) -> DataFrame:
-    star = dashboard.labelled_star(i.fact, i.participants)
+    star = dashboard.labelled_star(write_once(i.fact, "case-fact"), i.participants)
     return star.select("caseid", "participant_key2", "standid", "case_type", "participantid2",
                        "vacannt_threshhold", "active_stand", "active_stand_label", "gender",
                        "race", "pending", "completed")

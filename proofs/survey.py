@@ -21,7 +21,8 @@ class TestTables:
         self.spark, self.store = spark, FileStore(spark, folder)
 
     def __getattr__(self, name: str) -> DataFrame:
-        return scan(self.store, name)
+        setattr(self, name, scan(self.store, name))
+        return self.__dict__[name]
 
 
 def _pick(index: Column, *values) -> Column:
@@ -181,7 +182,9 @@ class SurveyStore:
     }
 
     def __init__(self, tables: TestTables):
-        self.tables = tables
+        self.tables, self.made = tables, {}
 
     def table(self, name: str) -> DataFrame:
-        return self.makers[name](self.tables)
+        if name not in self.made:
+            self.made[name] = self.makers[name](self.tables)
+        return self.made[name]
