@@ -27,8 +27,16 @@ def masked(df: DataFrame, mask: Column, columns: Sequence[str]) -> DataFrame:
                          for c in columns])
 
 
-def level_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(variable, value, order, freq) of all columns from one pass and one shuffle."""
+def level_counts(df: DataFrame, columns: Sequence[str], few_levels: bool = False) -> DataFrame:
+    """(variable, value, order, freq) of all columns from one pass over the table.
+
+    With ``few_levels`` the combinations of values are counted first, which leaves few rows
+    to take apart into cells; columns with long lists of values would not gain by that.
+    """
+    rows = F.count(F.lit(1))
+    if few_levels:
+        df = df.groupBy(*columns).agg(rows.alias("_rows"))
+        rows = F.sum("_rows")
     cells = [
         F.struct(
             F.lit(c).alias("variable"),
@@ -38,8 +46,9 @@ def level_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         )
         for c in columns
     ]
-    long = df.select(F.inline(F.array(*cells)))
-    return long.groupBy("variable", "value", "order").agg(F.count(F.lit(1)).alias("freq"))
+    kept = ["_rows"] if few_levels else []
+    long = df.select(*kept, F.inline(F.array(*cells)))
+    return long.groupBy("variable", "value", "order").agg(rows.alias("freq"))
 
 
 def _cumulated(levels: DataFrame, one_task: bool) -> DataFrame:
@@ -73,7 +82,7 @@ def frequency(df: DataFrame, columns: str | Sequence[str], *, report_missing: bo
     number is looked at, and a long list is added up in sorted parts by many tasks.
     """
     columns = [columns] if isinstance(columns, str) else list(columns)
-    levels = level_counts(df, columns)
+    levels = level_counts(df, columns, few_levels)
     if not few_levels:
         levels = write_once(levels, "levels")
         few_levels = levels.count() <= ONE_TASK_LEVELS
@@ -107,12 +116,12 @@ def frequency(df: DataFrame, columns: str | Sequence[str], *, report_missing: bo
 
 
 def labelled_frequency(df: DataFrame, columns: Sequence[str], variable_labels: DataFrame,
-                       value_labels: DataFrame) -> DataFrame:
+                       value_labels: DataFrame, *, few_levels: bool = False) -> DataFrame:
     """Level counts with the label of the variable and of the value.
 
     Both label tables hold a row per labelled column or code, so Spark broadcasts them.
     """
-    counts = level_counts(df, columns).select("variable", "value", "freq")
+    counts = level_counts(df, columns, few_levels).select("variable", "value", "freq")
     named = counts.join(variable_labels, "variable", "left")
     codes = value_labels.select(F.col("variable").alias("_variable"), F.col("code").alias("_code"),
                                 "value_label")

@@ -45,6 +45,29 @@ def code_totals(df: DataFrame, group: str, questions: Mapping[str, str], group_n
     return totals.select(group_name, "value", "x", text.alias("var"))
 
 
+def _stage_sums(df: DataFrame, by: str, stages: Sequence[tuple[str, int]],
+                strict: Sequence[str]) -> DataFrame:
+    """One row per group with a column ``stage<number>`` per stage."""
+    return group_sums(
+        df, [by],
+        strict={f"stage{i}": flag for flag, i in stages if flag in strict},
+        present={f"stage{i}": flag for flag, i in stages if flag not in strict},
+    )
+
+
+def _steps(sums: DataFrame, by: str, steps: Sequence[int], count: str, step: str) -> DataFrame:
+    """The wide sums as one row per group and step; a step without a sum is missing."""
+    rows = [
+        F.struct(
+            (F.col(f"stage{i}") if f"stage{i}" in sums.columns else F.lit(None).cast("bigint"))
+            .alias(count),
+            F.lit(i).alias(step),
+        )
+        for i in steps
+    ]
+    return sums.select(by, F.inline(F.array(*rows)))
+
+
 def stage_counts(df: DataFrame, by: str, stages: Sequence[tuple[str, int]],
                  strict: Sequence[str] = (), count: str = "count", stage: str = "visioid"
                  ) -> DataFrame:
@@ -52,26 +75,14 @@ def stage_counts(df: DataFrame, by: str, stages: Sequence[tuple[str, int]],
 
     Stages named in ``strict`` are unknown in a group where a flag is; the others skip them.
     """
-    sums = group_sums(
-        df, [by],
-        strict={str(i): flag for flag, i in stages if flag in strict},
-        present={str(i): flag for flag, i in stages if flag not in strict},
-    )
-    long = sums.unpivot([by], [str(i) for _, i in stages], stage, count)
-    return long.select(by, count, F.col(stage).cast("int").alias(stage))
+    return _steps(_stage_sums(df, by, stages, strict), by, [i for _, i in stages], count, stage)
 
 
-def stage_grid(counts: DataFrame, by: str, first: int, last: int, count: str = "count",
-               stage: str = "visioid", step: str = "screenerstage") -> DataFrame:
-    """Every group with every stage from ``first`` to ``last``; uncounted stages stay missing.
-
-    Each group's row brings its own stages along, so no cross join is needed.
-    """
-    steps = F.explode(F.sequence(F.lit(first), F.lit(last)))
-    grid = counts.select(by).distinct().withColumn(step, steps)
-    mine = counts.select(F.col(by).alias("_by"), F.col(stage).alias("_stage"), count)
-    match = grid[by].eqNullSafe(mine["_by"]) & (grid[step] == mine["_stage"])
-    return grid.join(mine, match, "left").select(by, step, count)
+def stage_grid(df: DataFrame, by: str, stages: Sequence[tuple[str, int]], first: int, last: int,
+               strict: Sequence[str] = (), count: str = "count", step: str = "screenerstage"
+               ) -> DataFrame:
+    """As :func:`stage_counts`, with every step from ``first`` to ``last`` for each group."""
+    return _steps(_stage_sums(df, by, stages, strict), by, range(first, last + 1), count, step)
 
 
 def stage_list(spark, first: int, last: int, step: str = "screenerstage") -> DataFrame:

@@ -24,6 +24,7 @@ from canvass.plans.cases import (
 from canvass.plans.dimensions import demographics_slicer, label_tables, stand_dimension
 from canvass.plans.screener import screener_flags
 from canvass.session import write_once
+from canvass.sinks.writers import write_star
 
 
 def dashboard_fact(cases: DataFrame, current: DataFrame, **spread) -> DataFrame:
@@ -47,7 +48,7 @@ def screener_stages(fact: DataFrame) -> DataFrame:
 
 def screener_stage_grid(fact: DataFrame) -> DataFrame:
     """Stage counts with a row for each step of the flow chart, counted or not."""
-    return stage_grid(screener_stages(fact), "standid", v.FIRST_STAGE, v.LAST_STAGE)
+    return stage_grid(fact, "standid", v.STAGES, v.FIRST_STAGE, v.LAST_STAGE, v.STAGES_STRICT)
 
 
 def completion_curve(fact: DataFrame) -> DataFrame:
@@ -66,11 +67,13 @@ def labelled_star(fact: DataFrame, participants: DataFrame) -> DataFrame:
     The fact is read several times, so hand in a written one.
     """
     labels = label_tables(fact.sparkSession)
+    # Written, so that Spark knows how small it is and need not shuffle the fact for it.
+    stands = write_once(stand_dimension(fact), "stands")
     details = participant_details(participants)
     linked = spread_join(fact, details, ["participant_key2"],
                          take=["participant_gender", "participant_race"])
     return star_join(linked, [
-        (stand_dimension(fact), ["standid"],
+        (stands, ["standid"],
          {"vacannt_threshhold": "vacannt_threshhold", "active_stand": "active_stand"}),
         (labels["active_stand_label"], [("active_stand", "active_stand_status")],
          {"active_stand_label": "active_stand_label"}),
@@ -93,7 +96,8 @@ def screened_cases(cases: DataFrame, current: DataFrame, participants: DataFrame
     place = ["SDASTAND", "SDASEGMT", "SDASERAL"]
     screened = current.filter(F.col("STAQDISP").isin(*v.SCREENED))
     screeners = cases.filter(F.col("STAQTYP") == v.SCREENER)
-    found = join(screeners, screened, ["SCACASE"], "inner", prefix="v_")
+    # The few screened cases are read twice: to count their dwellings and to join them.
+    found = write_once(join(screeners, screened, ["SCACASE"], "inner", prefix="v_"), "screened")
     related = spread_join(found, cases.filter(F.col("STAQTYP") == v.RELATIONSHIP), place,
                           prefix="sc2_", **spread)
     # The participant key is computed first, so the last join stays an equi-join.
@@ -103,13 +107,11 @@ def screened_cases(cases: DataFrame, current: DataFrame, participants: DataFrame
                 prefix="sp_").drop("_participant")
 
 
-def dashboard_tables(cases: DataFrame, current: DataFrame, participants: DataFrame,
-                     participant_order: list[str], **spread) -> dict[str, DataFrame]:
-    """Every table the dashboard imports. The fact is written once and read by the others."""
-    spark = cases.sparkSession
-    fact = write_once(dashboard_fact(cases, current, **spread), "case-fact")
+def dashboard_tables(fact: DataFrame, participants: DataFrame, participant_order: list[str]
+                     ) -> dict[str, DataFrame]:
+    """Every table the dashboard imports beside the fact, from a written fact."""
+    spark = fact.sparkSession
     return {
-        "case_fact": fact,
         "participant_details": participant_details(participants),
         "stand_demensions": stand_dimension(fact),
         "participant_demographics_slicer": demographics_slicer(participants, participant_order),
@@ -118,3 +120,20 @@ def dashboard_tables(cases: DataFrame, current: DataFrame, participants: DataFra
         "visio_screener_process_inbetween": stage_list(spark, v.FIRST_STAGE, v.LAST_STAGE),
         "completed_screeening_forcast": completion_curve(fact),
     }
+
+
+def export_dashboard(cases: DataFrame, current: DataFrame, participants: DataFrame,
+                     participant_order: list[str], folder: str, fmt: str = "parquet", **spread
+                     ) -> dict[str, str]:
+    """Write the whole star to ``folder`` and return the path of each table.
+
+    The fact is computed once; the other tables are made from what was written.
+    """
+    fact = dashboard_fact(cases, current, **spread)
+    if fmt == "parquet":
+        paths = write_star({"case_fact": fact}, folder)
+        fact = cases.sparkSession.read.schema(fact.schema).parquet(paths["case_fact"])
+    else:
+        fact = write_once(fact, "case-fact")
+        paths = write_star({"case_fact": fact}, folder, fmt)
+    return paths | write_star(dashboard_tables(fact, participants, participant_order), folder, fmt)

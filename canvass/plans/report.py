@@ -9,7 +9,7 @@ from canvass import vocabulary as v
 from canvass.functions.dates import clock, day
 from canvass.operators.dedup import prefer_worked
 from canvass.operators.flags import Flag, binary, in_codes, share, with_flags
-from canvass.operators.joins import join
+from canvass.operators.joins import join, spread_join
 from canvass.operators.keys import place_keys, with_keys
 from canvass.plans.screener import report_screener_flags
 
@@ -90,4 +90,4 @@ def deduplicated_history(history: DataFrame) -> DataFrame:
 
 def cases_with_history(cases: DataFrame, history: DataFrame) -> DataFrame:
     """Cases with their deduplicated history record."""
-    return join(cases, deduplicated_history(history), ["SCACASE"])
+    return spread_join(cases, deduplicated_history(history), ["SCACASE"], right_unique=True)

@@ -34,7 +34,7 @@ def _plain(value):
     if isinstance(value, bool):
         return int(value)
     if isinstance(value, float):
-        return None if math.isnan(value) else float(f"{value:.12g}")
+        return None if math.isnan(value) else value
     return value
 
 

@@ -458,9 +458,9 @@ def label_lookup(i: Inputs) -> DataFrame:
 def labelled_freq(i: Inputs) -> DataFrame:
     coded = ["SCQ600", "SCQ610", "SCQ620", "SCQ630", "SCQ640", "SCQ040", "SCQ302", "SCAISPAN"]
     dwellings = label_variables(i.survey(mappings.DWELLING_UNIT), v.DWELLING_VARIABLE_LABELS)
-    cut = cast_labelled(dwellings.filter(F.col("SDASEGMT") > 2).select(*coded), "SCQ600", "bigint")
+    cut = cast_labelled(dwellings.select(*coded), "SCQ600", "bigint")
     return labelled_frequency(cut, coded, variable_labels(cut),
-                              value_labels(i.spark, v.DWELLING_VALUE_LABELS))
+                              value_labels(i.spark, v.DWELLING_VALUE_LABELS), few_levels=True)
 
 
 @query
@@ -521,8 +521,8 @@ def sink_table_roundtrip(i: Inputs) -> DataFrame:
 
 @query
 def star_export(i: Inputs) -> DataFrame:
-    tables = dashboard.dashboard_tables(i.cases, i.current, i.participants, ["dwellingid"])
-    paths = writers.write_star(tables, fresh_path(i.spark, "star"))
+    paths = dashboard.export_dashboard(i.cases, i.current, i.participants, ["dwellingid"],
+                                       fresh_path(i.spark, "star"))
     counts = [
         i.spark.read.parquet(path).agg(F.count(F.lit(1)).alias("rows"))
         .withColumn("table", F.lit(name)) for name, path in paths.items()

@@ -94,10 +94,12 @@ def test_health_answers_sum_codes_and_drop_missing_keys(spark, rows):
 
 
 def test_stage_grid_has_every_step(spark):
-    counts = spark.createDataFrame([(1, 5, 3), (None, 2, 3)], "standid int, count int, visioid int")
+    df = spark.createDataFrame([(1, 1, 0), (1, 1, None), (None, 1, None)],
+                               "standid int, a int, b int")
     got = {(r.standid, r.screenerstage): r["count"]
-           for r in summary.stage_grid(counts, "standid", 1, 4).collect()}
-    assert len(got) == 8 and got[(1, 3)] == 5 and got[(None, 3)] == 2 and got[(1, 4)] is None
+           for r in summary.stage_grid(df, "standid", [("a", 2), ("b", 3)], 1, 4, ["b"]).collect()}
+    assert got == {(1, 1): None, (1, 2): 2, (1, 3): None, (1, 4): None,
+                   (None, 1): None, (None, 2): 1, (None, 3): None, (None, 4): None}
 
 
 def test_daily_running(spark, rows):
