@@ -51,18 +51,30 @@ def level_counts(df: DataFrame, columns: Sequence[str], few_levels: bool = False
     return long.groupBy("variable", "value", "order").agg(rows.alias("freq"))
 
 
-def _cumulated(levels: DataFrame, one_task: bool) -> DataFrame:
-    known = levels.filter(F.col("value").isNotNull())
+def _placed(levels: DataFrame, one_task: bool) -> DataFrame:
+    """Levels with ``seen`` and ``cum``, the rows and the known rows up to each level of its
+    variable, and ``all_rows`` and ``known_rows``, those of the whole variable."""
+    levels = levels.withColumn(
+        "known", F.when(F.col("value").isNotNull(), F.col("freq")).otherwise(F.lit(0)))
     if one_task:
-        order = [F.col("order").asc_nulls_last(), F.col("value")]
-        so_far = Window.partitionBy("variable").orderBy(*order).rowsBetween(
-            Window.unboundedPreceding, 0)
-        return known.withColumn("cum", F.sum("freq").over(so_far))
-    running = with_running_totals(known, ["variable", "order", "value"], {"cum": "freq"})
-    before = running.groupBy(F.col("variable").alias("_variable")).agg(
-        F.min(F.col("cum") - F.col("freq")).alias("_before"))
-    joined = running.join(before, running["variable"] == before["_variable"])
-    return joined.withColumn("cum", F.col("cum") - F.col("_before")).drop("_variable", "_before")
+        whole = Window.partitionBy("variable")
+        so_far = whole.orderBy(
+            F.col("order").asc_nulls_last(), F.col("value").asc_nulls_last()
+        ).rowsBetween(Window.unboundedPreceding, 0)
+        return levels.withColumns({
+            "seen": F.sum("freq").over(so_far), "cum": F.sum("known").over(so_far),
+            "all_rows": F.sum("freq").over(whole), "known_rows": F.sum("known").over(whole),
+        })
+    running = with_running_totals(levels, ["variable", "order", "value"],
+                                  {"seen": "freq", "cum": "known"})
+    totals = running.groupBy(F.col("variable").alias("_variable")).agg(
+        F.sum("freq").alias("all_rows"), F.sum("known").alias("known_rows"),
+        F.min(F.col("seen") - F.col("freq")).alias("_seen_before"),
+        F.min(F.col("cum") - F.col("known")).alias("_cum_before"))
+    # Bounded broadcast: one row per requested column.
+    joined = running.join(F.broadcast(totals), F.col("variable") == F.col("_variable"))
+    return joined.withColumns({"seen": F.col("seen") - F.col("_seen_before"),
+                               "cum": F.col("cum") - F.col("_cum_before")})
 
 
 def _percent(part: Column, whole: Column) -> Column:
@@ -86,33 +98,30 @@ def frequency(df: DataFrame, columns: str | Sequence[str], *, report_missing: bo
     if not few_levels:
         levels = write_once(levels, "levels")
         few_levels = levels.count() <= ONE_TASK_LEVELS
-    totals = levels.groupBy("variable").agg(
-        F.sum("freq").alias("all_rows"),
-        F.coalesce(F.sum(F.when(F.col("value").isNotNull(), F.col("freq"))), F.lit(0))
-        .alias("known_rows"),
-    )
-    # Bounded broadcast: one row per requested column.
-    known = _cumulated(levels, few_levels).join(F.broadcast(totals), "variable")
-    whole = F.col("all_rows") if report_missing else F.col("known_rows")
-    valid, cum, freq = F.col("known_rows"), F.col("cum"), F.col("freq")
-    value_rows = known.select(
-        "variable", "value", F.lit("value").alias("row_kind"), "freq",
-        _percent(freq, valid).alias("pct_valid"), _percent(cum, valid).alias("pct_valid_cum"),
-        _percent(freq, whole).alias("pct_total"), _percent(cum, whole).alias("pct_total_cum"),
-    )
-    missing, none = F.col("all_rows") - valid, F.lit(None).cast("double")
-    na_row = F.struct(
-        F.lit(NA_ROW).alias("value"), F.lit("missing").alias("row_kind"), missing.alias("freq"),
-        none.alias("pct_valid"), none.alias("pct_valid_cum"),
-        _percent(missing, whole).alias("pct_total"), _percent(whole, whole).alias("pct_total_cum"),
-    )
-    total_row = F.struct(
-        F.lit(TOTAL_ROW).alias("value"), F.lit("total").alias("row_kind"), whole.alias("freq"),
-        _percent(valid, valid).alias("pct_valid"), _percent(valid, valid).alias("pct_valid_cum"),
-        _percent(whole, whole).alias("pct_total"), _percent(whole, whole).alias("pct_total_cum"),
-    )
-    extra = [na_row, total_row] if report_missing else [total_row]
-    return value_rows.unionByName(totals.select("variable", F.inline(F.array(*extra))))
+    placed = _placed(levels, few_levels)
+    freq, cum, everything, valid = (F.col(c) for c in ("freq", "cum", "all_rows", "known_rows"))
+    whole, missing = (everything if report_missing else valid), everything - valid
+
+    def row(value, kind, n, of_valid, cum_valid, of_whole, cum_whole) -> Column:
+        def share(part: Column | None, total: Column) -> Column:
+            return F.lit(None).cast("double") if part is None else _percent(part, total)
+
+        return F.struct(
+            value.alias("value"), F.lit(kind).alias("row_kind"), n.alias("freq"),
+            share(of_valid, valid).alias("pct_valid"),
+            share(cum_valid, valid).alias("pct_valid_cum"),
+            share(of_whole, whole).alias("pct_total"),
+            share(cum_whole, whole).alias("pct_total_cum"))
+
+    # The first level of a variable brings the summary rows along.
+    first = F.col("seen") == freq
+    rows = [F.when(F.col("value").isNotNull(),
+                   row(F.col("value"), "value", freq, freq, cum, freq, cum))]
+    if report_missing:
+        rows.append(F.when(first, row(F.lit(NA_ROW), "missing", missing, None, None, missing,
+                                      whole)))
+    rows.append(F.when(first, row(F.lit(TOTAL_ROW), "total", whole, valid, valid, whole, whole)))
+    return placed.select("variable", F.inline(F.array_compact(F.array(*rows))))
 
 
 def labelled_frequency(df: DataFrame, columns: Sequence[str], variable_labels: DataFrame,

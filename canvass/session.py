@@ -61,6 +61,9 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/canvass-{name}-{uuid.uuid4().hex}"
 
 
+_written: list[str] = []
+
+
 def write_once(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -69,4 +72,24 @@ def write_once(df: DataFrame, name: str) -> DataFrame:
     """
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
+    _written.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard_written(spark: SparkSession) -> int:
+    """Delete what ``write_once`` wrote in this program, once no result needs it any more."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    settings = spark.sparkContext._jsc.hadoopConfiguration()
+    gone = 0
+    while _written:
+        path = hadoop.Path(_written.pop())
+        gone += path.getFileSystem(settings).delete(path, True)
+    return gone
+
+
+def shuffle_partitions(input_bytes: int, cores: int, target_bytes: int = 512 << 20) -> int:
+    """A value for ``spark.sql.shuffle.partitions``: about ``target_bytes`` per task, and a
+    multiple of the cores, so the last wave is full. The adaptive planner merges small ones.
+    """
+    waves = -(-input_bytes // (target_bytes * cores))
+    return max(1, waves) * cores

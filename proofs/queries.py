@@ -14,7 +14,7 @@ from canvass.operators import joins, ordering, reshape, summary
 from canvass.operators.codebook import codebook as describe_columns
 from canvass.operators.dedup import earliest_per_key as first_records
 from canvass.operators.flags import binary, in_codes, share, with_flags
-from canvass.operators.frequency import frequency, labelled_frequency, masked
+from canvass.operators.frequency import frequency, labelled_frequency
 from canvass.operators.keys import place_keys, typed_participant_key, with_keys
 from canvass.operators.labels import (
     cast_labelled,
@@ -25,7 +25,7 @@ from canvass.operators.labels import (
     variable_labels,
 )
 from canvass.plans import cases as case_plans
-from canvass.plans import dashboard, dimensions, report
+from canvass.plans import checks, dashboard, dimensions, report
 from canvass.session import configure, fresh_path, write_once
 from canvass.sinks import writers
 from canvass.sources import mappings
@@ -35,13 +35,6 @@ from proofs.survey import SurveyStore, TestTables, labelled_documents
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 
-FLAGS_SHOWN = ("released_dwelling", "available_released_dwelling", "vaccant_and_not_dwellings",
-               "vaccant_dwellings", "not_dwellings", "fi_assigned_screener",
-               "total_pending_screener", "screener_not_worked", "completed_screener",
-               "completed_screener_without_SP_neighbor", "completed_screener_with_sp",
-               "completed_screener_with_sp_neighbor", "screener_nonresponse",
-               "screener_nonresponse_available_dwellings", "completed_screener4cat")
-
 
 class Inputs:
     """The test tables (``t``) and the survey tables made from them (``s``)."""
@@ -374,8 +367,23 @@ def freq_numeric(i: Inputs) -> DataFrame:
 
 @query
 def freq_masked(i: Inputs) -> DataFrame:
-    rows = masked(i.fact, F.col("segmentid") == 3, FLAGS_SHOWN)
-    return frequency(rows, FLAGS_SHOWN, few_levels=True)
+    return checks.stand_frequencies(i.fact, 3, checks.DASHBOARD_LINES, stand_column="segmentid")
+
+
+@query
+def stand_check(i: Inputs) -> DataFrame:
+    flagged = report.person_and_family_flags(i.report_cases, i.survey("person"))
+    visits = report.appointment_flags(i.survey("person"), i.survey("appointment"))
+    return reshape.stack_same(
+        checks.stand_frequencies(flagged, 398, checks.REPORT_LINES, "SDASTAND"),
+        checks.stand_frequencies(visits, 398, checks.APPOINTMENT_LINES, "SDASTAND"))
+
+
+@query
+def sentinel_check(i: Inputs) -> DataFrame:
+    propagated = case_plans.propagate_participant(case_plans.with_case_keys(i.cases))
+    slicer = dimensions.demographics_slicer(i.participants, ["dwellingid"])
+    return checks.sentinel_frequencies(propagated, slicer)
 
 
 @query

@@ -11,6 +11,7 @@ from canvass.operators import labels, reshape, summary
 from canvass.operators.codebook import codebook
 from canvass.operators.frequency import labelled_frequency
 from canvass.plans import dashboard, dimensions
+from canvass import session as sessions
 from canvass.session import fresh_path, shared_dir
 from canvass.sinks import writers
 from canvass.sources.scan import FileStore, JdbcStore, TableMap, min_max, scan
@@ -171,3 +172,18 @@ def test_shared_dir_is_the_clusters_own(spark):
     if folder:
         assert shared_dir(spark) == folder.rstrip("/")
     assert fresh_path(spark, "x") != fresh_path(spark, "x")
+
+
+def test_written_tables_can_be_discarded(spark):
+    kept, sessions._written[:] = list(sessions._written), []
+    try:
+        df = sessions.write_once(spark.range(5), "test")
+        assert df.count() == 5
+        assert sessions.discard_written(spark) == 1 and sessions._written == []
+    finally:
+        sessions._written[:] = kept
+
+
+def test_shuffle_partitions():
+    assert sessions.shuffle_partitions(100 << 40, 8000) == 208_000
+    assert sessions.shuffle_partitions(1, 8) == 8
