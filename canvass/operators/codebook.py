@@ -2,23 +2,41 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from canvass.functions.text import plain_text
-from canvass.operators.frequency import level_counts
+from canvass.operators.frequency import level_counts, placed_levels
 
 _ORDERED = (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)
+_QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
 
 
-def codebook(df: DataFrame, quantile_accuracy: int = 10_000) -> DataFrame:
+def _is_ordered(field: T.StructField) -> bool:
+    return isinstance(field.dataType, _ORDERED)
+
+
+def _by_value(levels: DataFrame, quartiles: dict[str, Column]) -> DataFrame:
+    """Distinct values and mode (ties: the smallest text) of each variable."""
+    known = F.col("value").isNotNull()
+    top = F.min(F.when(known, F.struct((-F.col("freq")).alias("f"), F.col("value").alias("v"))))
+    return levels.groupBy(F.col("variable").alias("_variable")).agg(
+        F.count("value").alias("distinct"),
+        top.getField("v").alias("mode"),
+        (-top.getField("f")).alias("mode_freq"),
+        *[q.alias(n) for n, q in quartiles.items()],
+    )
+
+
+def codebook(df: DataFrame, exact: bool = True, quantile_accuracy: int = 10_000) -> DataFrame:
     """Type, label, counts, range, quartiles and mode of every column, values as text.
 
-    Range and quartiles come from one aggregate over the table. The number of distinct
-    values and the mode (ties: the smallest text) are exact, counted per value by many tasks
-    rather than in one buffer. Quartiles are actual values whose rank is within
-    rows / ``quantile_accuracy`` of the exact one, hence exact on fewer rows than that.
+    Range and known values come from one aggregate over the table. Distinct values and modes
+    are counted per value by many tasks rather than in one buffer. A quartile is the smallest
+    value that at least that share of the known values does not exceed; it is read off the
+    ordered value counts, or with ``exact=False`` from a sketch of fixed size, whose rank is
+    off by at most rows / ``quantile_accuracy``.
     """
     facts = []
     for i, field in enumerate(df.schema.fields):
@@ -28,17 +46,20 @@ def codebook(df: DataFrame, quantile_accuracy: int = 10_000) -> DataFrame:
             F.min(column).alias(f"min{i}"),
             F.max(column).alias(f"max{i}"),
         ]
-        if isinstance(field.dataType, _ORDERED):
-            facts.append(F.percentile_approx(column, [0.25, 0.5, 0.75], quantile_accuracy)
-                         .alias(f"quart{i}"))
+        if not exact and _is_ordered(field):
+            shares = list(_QUARTILES.values())
+            facts.append(F.percentile_approx(column, shares, quantile_accuracy).alias(f"quart{i}"))
     wide = df.agg(F.count(F.lit(1)).alias("rows"), *facts)
 
     texts = []
     for i, field in enumerate(df.schema.fields):
-        quartiles = [F.lit(None).cast("string")] * 3
-        if isinstance(field.dataType, _ORDERED):
-            wide = wide.withColumns({f"q{i}_{k}": F.col(f"quart{i}")[k] for k in range(3)})
-            quartiles = [plain_text(wide, f"q{i}_{k}") for k in range(3)]
+        sketched = []
+        if not exact and _is_ordered(field):
+            wide = wide.withColumns({f"{n}{i}": F.col(f"quart{i}")[k]
+                                     for k, n in enumerate(_QUARTILES)})
+            sketched = [plain_text(wide, f"{n}{i}").alias(n) for n in _QUARTILES]
+        elif not exact:
+            sketched = [F.lit(None).cast("string").alias(n) for n in _QUARTILES]
         texts.append(F.struct(
             F.lit(field.name).alias("variable"),
             F.lit(field.dataType.simpleString()).alias("type"),
@@ -46,20 +67,23 @@ def codebook(df: DataFrame, quantile_accuracy: int = 10_000) -> DataFrame:
             F.col("rows").alias("n"),
             (F.col("rows") - F.col(f"known{i}")).alias("missing"),
             plain_text(wide, f"min{i}").alias("min"),
-            quartiles[0].alias("q1"), quartiles[1].alias("median"), quartiles[2].alias("q3"),
+            *sketched,
             plain_text(wide, f"max{i}").alias("max"),
         ))
     described = wide.select(F.inline(F.array(*texts)))
 
-    modes = level_counts(df, df.columns).filter(F.col("value").isNotNull()).groupBy(
-        F.col("variable").alias("_variable")
-    ).agg(
-        F.count(F.lit(1)).alias("distinct"),
-        F.min(F.struct((-F.col("freq")).alias("f"), F.col("value").alias("v"))).alias("top"),
-    )
-    return described.join(modes, described["variable"] == modes["_variable"], "left").select(
-        *described.columns,
-        F.coalesce("distinct", F.lit(0)).alias("distinct"),
-        F.col("top.v").alias("mode"),
-        (-F.col("top.f")).alias("mode_freq"),
-    )
+    if exact:
+        ordered = [f.name for f in df.schema.fields if _is_ordered(f)]
+
+        def quartile(share: float) -> Column:
+            reached = (F.col("cum") >= F.ceil(F.col("known_rows") * share)) & (
+                F.col("value").isNotNull() & F.col("variable").isin(ordered))
+            return F.min(F.when(reached, F.struct("cum", "value"))).getField("value")
+
+        values = _by_value(placed_levels(df, df.columns),
+                           {n: quartile(q) for n, q in _QUARTILES.items()})
+    else:
+        values = _by_value(level_counts(df, df.columns), {})
+    return described.join(values, F.col("variable") == F.col("_variable"), "left").select(
+        "variable", "type", "label", "n", "missing", "min", *_QUARTILES, "max",
+        F.coalesce("distinct", F.lit(0)).alias("distinct"), "mode", "mode_freq")

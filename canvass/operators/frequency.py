@@ -77,6 +77,19 @@ def _placed(levels: DataFrame, one_task: bool) -> DataFrame:
                                "cum": F.col("cum") - F.col("_cum_before")})
 
 
+def placed_levels(df: DataFrame, columns: Sequence[str], few_levels: bool = False) -> DataFrame:
+    """Level counts in the order of their values, with the running and whole counts.
+
+    With ``few_levels`` a single lazy plan. Otherwise the counts are written once, their
+    number is looked at, and a long list is added up in sorted parts by many tasks.
+    """
+    levels = level_counts(df, columns, few_levels)
+    if not few_levels:
+        levels = write_once(levels, "levels")
+        few_levels = levels.count() <= ONE_TASK_LEVELS
+    return _placed(levels, few_levels)
+
+
 def _percent(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, part.cast("double") * 100 / whole)
 
@@ -89,16 +102,10 @@ def frequency(df: DataFrame, columns: str | Sequence[str], *, report_missing: bo
     percent of the known values, percent of all rows, and both cumulated. Without
     ``report_missing`` there is no ``<NA>`` row and all percentages are of the known values.
 
-    Say ``few_levels`` only for columns whose code list is fixed (flags, categories); the
-    query is then a single lazy plan. Otherwise the level counts are written once, their
-    number is looked at, and a long list is added up in sorted parts by many tasks.
+    Say ``few_levels`` only for columns whose code list is fixed (flags, categories).
     """
     columns = [columns] if isinstance(columns, str) else list(columns)
-    levels = level_counts(df, columns, few_levels)
-    if not few_levels:
-        levels = write_once(levels, "levels")
-        few_levels = levels.count() <= ONE_TASK_LEVELS
-    placed = _placed(levels, few_levels)
+    placed = placed_levels(df, columns, few_levels)
     freq, cum, everything, valid = (F.col(c) for c in ("freq", "cum", "all_rows", "known_rows"))
     whole, missing = (everything if report_missing else valid), everything - valid
 

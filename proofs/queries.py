@@ -410,7 +410,7 @@ def stage_sequence(i: Inputs) -> DataFrame:
 @query
 def codebook(i: Inputs) -> DataFrame:
     labelled = label_variables(i.t.orders, {"o_custkey": "Dwelling", "o_orderstatus": "Status"})
-    return describe_columns(labelled, quantile_accuracy=100_000)
+    return describe_columns(labelled)
 
 
 # Order and shape

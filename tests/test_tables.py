@@ -111,16 +111,28 @@ def test_daily_running(spark, rows):
     assert got == [(2, 1, 1), (1, 1, 2), (1, 1, 3)]
 
 
-def test_codebook(spark):
+@pytest.mark.parametrize("exact", [True, False])
+def test_codebook(spark, exact):
     df = spark.createDataFrame(
         [(1, "b", 1.5), (2, "a", None), (3, "b", 4.0), (4, None, 4.0)], "i int, t string, d double")
-    got = {r.variable: r for r in codebook(labels.label_variables(df, {"t": "Text"})).collect()}
+    got = {r.variable: r for r in codebook(labels.label_variables(df, {"t": "Text"}), exact).collect()}
     assert (got["i"].min, got["i"].q1, got["i"].median, got["i"].q3, got["i"].max) == (
         "1", "1", "2", "3", "4")
     assert (got["t"].label, got["t"].missing, got["t"].distinct, got["t"].mode,
             got["t"].mode_freq, got["t"].q1) == ("Text", 1, 2, "b", 2, None)
     assert (got["d"].min, got["d"].max, got["d"].mode, got["d"].n) == ("1.5", "4", "4", 4)
     assert (got["i"].mode, got["i"].mode_freq) == ("1", 1)
+    assert (got["d"].q1, got["d"].median) == ("1.5", "4")
+
+
+def test_quartiles_from_long_lists(spark, monkeypatch):
+    from canvass.operators import frequency as fr
+    df = spark.range(997).select((F.col("id") * 31 % 997).alias("x"),
+                                 F.date_add(F.lit("2021-01-01"), F.col("id").cast("int")).alias("d"))
+    monkeypatch.setattr(fr, "ONE_TASK_LEVELS", 0)
+    got = {r.variable: r for r in codebook(df).collect()}
+    assert [got["x"][q] for q in ("q1", "median", "q3")] == ["249", "498", "747"]
+    assert got["d"].median == "2022-05-14" and got["x"].distinct == 997
 
 
 def test_scans_push_columns_and_filters(spark, tmp_path):
