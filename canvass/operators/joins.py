@@ -82,30 +82,49 @@ def join(left: DataFrame, right: DataFrame, on: Keys, how: str = "left", *, take
 
 
 def _hot_side(df: DataFrame, columns: list[str], names: list[str], splits: str, hot_rows: int,
-              hot_share: float, rows_per_split: int) -> DataFrame:
-    """The hot keys of one side and into how many pieces to cut each.
+              hot_share: float, rows_per_split: int) -> DataFrame | None:
+    """The hot keys of one side and into how many pieces to cut each; none on a short side.
 
-    Reads only the key columns and combines map-side, so a hot key is cheap to count.
+    Counting the rows of a scan reads file footers only. Counting the keys reads the key
+    columns only and combines map-side, so a hot key is cheap to count.
     """
+    rows = df.count()
+    if rows < hot_rows:
+        return None
     counts = df.groupBy(*[_c(c).alias(n) for c, n in zip(columns, names, strict=True)]
                         ).agg(F.count(F.lit(1)).alias("_rows"))
-    total = counts.agg(F.sum("_rows")).scalar()
-    hot = counts.filter((F.col("_rows") >= hot_rows) & (F.col("_rows") >= total * hot_share))
+    hot = counts.filter(F.col("_rows") >= max(hot_rows, rows * hot_share))
     return hot.select(*names, F.ceil(F.col("_rows") / rows_per_split).cast("int").alias(splits))
 
 
+def _hot_table(sides: list[DataFrame | None], names: list[str]) -> DataFrame | None:
+    """Hot keys of either side with the pieces per side, written; none if no key is hot."""
+    found = [side for side in sides if side is not None]
+    if not found:
+        return None
+    wanted = {c: F.lit(1) for c in ("_left_splits", "_right_splits")}
+    filled = [side.withColumns({c: one for c, one in wanted.items() if c not in side.columns})
+              for side in found]
+    hot = reduce(lambda a, b: a.unionByName(b), filled).groupBy(*names).agg(
+        *[F.max(c).alias(c) for c in wanted])
+    hot = write_once(hot, "hot-keys")
+    return None if hot.isEmpty() else hot
+
+
 def spread_join(left: DataFrame, right: DataFrame, on: Keys, how: str = "left", *, take=None,
                 prefix: str | None = None, null_safe: bool = False, right_unique: bool = False,
-                hot_rows: int = HOT_ROWS, hot_share: float = HOT_SHARE,
-                rows_per_split: int = ROWS_PER_SPLIT) -> DataFrame:
-    """:func:`join` that counts the keys first and spreads the rows of hot ones, exactly.
+                count_on: DataFrame | None = None, hot_rows: int = HOT_ROWS,
+                hot_share: float = HOT_SHARE, rows_per_split: int = ROWS_PER_SPLIT) -> DataFrame:
+    """:func:`join` that counts keys first and spreads the rows of hot ones, exactly.
 
     Without hot keys this is the plain join. Otherwise a row of a key that is hot on the left
     gets one of the key's salts and the right rows of that key are repeated for each salt; a
     key hot on the right is treated the other way round, and a key hot on both sides gets a
     grid. Rows whose key is missing can match nothing (unless ``null_safe``), so they are
     spread too instead of meeting in one task. ``right_unique`` says that the right side has
-    one row per key, which saves counting it and allows ``how="left_anti"``.
+    one row per key, which saves counting it and allows ``how="left_anti"``. ``count_on`` is
+    a table with the left keys that is cheaper to read than the left side itself, say the
+    scan it was made from; it only steers what is salted, never the result.
     """
     if how not in ("left", "inner") and not (how == "left_anti" and right_unique):
         raise ValueError(f"spread_join cannot do {how!r} here")
@@ -115,17 +134,13 @@ def spread_join(left: DataFrame, right: DataFrame, on: Keys, how: str = "left",
         cut = cut.dropna(subset=keys)
     hot_keys = [f"_hot{k}" for k in keys]
     limits = (hot_rows, hot_share, rows_per_split)
-    hot = _hot_side(left, left_keys, hot_keys, "_left_splits", *limits)
-    if right_unique:
-        hot = hot.withColumn("_right_splits", F.lit(1))
-    else:
-        hot = hot.unionByName(_hot_side(cut, keys, hot_keys, "_right_splits", *limits),
-                              allowMissingColumns=True)
-        hot = hot.groupBy(*hot_keys).agg(F.max("_left_splits").alias("_left_splits"),
-                                         F.max("_right_splits").alias("_right_splits"))
-    hot = write_once(hot, "hot-keys")
+    hot = _hot_table([
+        _hot_side(left if count_on is None else count_on, left_keys, hot_keys, "_left_splits",
+                  *limits),
+        None if right_unique else _hot_side(cut, keys, hot_keys, "_right_splits", *limits),
+    ], hot_keys)
     match = _all(_equal(_c(l), _c(k), null_safe) for l, k in zip(left_keys, keys, strict=True))
-    if hot.isEmpty():
+    if hot is None:
         joined = left.join(cut, match, how)
         return joined.select(*map(_c, [*left.columns, *([] if how == "left_anti" else names)]))
 

@@ -34,7 +34,8 @@ def dashboard_fact(cases: DataFrame, current: DataFrame, **spread) -> DataFrame:
     independent, and this way the dwelling join reads only the case table.
     """
     propagated = propagate_participant(with_case_keys(cases), **spread)
-    return with_star_key(screener_flags(with_current_status(propagated, current)))
+    current_status = with_current_status(propagated, current, count_on=cases, **spread)
+    return with_star_key(screener_flags(current_status))
 
 
 def screener_stages(fact: DataFrame) -> DataFrame:
@@ -102,9 +103,9 @@ def screened_cases(cases: DataFrame, current: DataFrame, participants: DataFrame
                           prefix="sc2_", **spread)
     # The participant key is computed first, so the last join stays an equi-join.
     wanted = F.when(F.col("STARSPNO") > 0, F.col("STARSPNO")).otherwise(F.col("sc2_STARSPNO"))
-    keyed = related.withColumn("_participant", wanted)
-    return join(keyed, participants, [*place, ("_participant", "SCAPARTN")],
-                prefix="sp_").drop("_participant")
+    keyed = write_once(related.withColumn("_participant", wanted), "related")
+    return spread_join(keyed, participants, [*place, ("_participant", "SCAPARTN")],
+                       prefix="sp_", **spread).drop("_participant")
 
 
 def dashboard_tables(fact: DataFrame, participants: DataFrame, participant_order: list[str]

@@ -9,7 +9,7 @@ from canvass import vocabulary as v
 from canvass.functions.dates import clock, day
 from canvass.operators.dedup import prefer_worked
 from canvass.operators.flags import Flag, binary, in_codes, share, with_flags
-from canvass.operators.joins import join, spread_join
+from canvass.operators.joins import spread_join
 from canvass.operators.keys import place_keys, with_keys
 from canvass.plans.screener import report_screener_flags
 
@@ -23,8 +23,7 @@ def with_date_and_time(df: DataFrame, moment: str, date: str = "date", time: str
 
 def report_cases(cases: DataFrame, current: DataFrame) -> DataFrame:
     """Cases with all current-case columns, place keys and screener lines."""
-    joined = join(cases, current, [("SCACASE", "case_id")],
-                  take=["case_id", *[c for c in current.columns if c != "case_id"]])
+    joined = spread_join(cases, current, [("SCACASE", "case_id")], take=current.columns)
     keyed = with_keys(joined, place_keys("SDASTAND", "SDASEGMT", "SDASERAL"))
     return report_screener_flags(keyed)
 
@@ -36,9 +35,12 @@ def selected_person_flag(persons: DataFrame) -> DataFrame:
     ])
 
 
-def person_and_family_flags(cases: DataFrame, persons: DataFrame) -> DataFrame:
+def person_and_family_flags(cases: DataFrame, persons: DataFrame,
+                            count_on: DataFrame | None = None) -> DataFrame:
     """Interview lines of sampled persons and families, from report cases and persons.
 
+    ``count_on`` may name the case table itself, which is cheaper to count keys on.
+
     A missing disposition counts as pending, since only listed codes close a questionnaire.
     Key columns of the person table repeat those of the case and are not carried twice.
     """
@@ -53,7 +55,8 @@ def person_and_family_flags(cases: DataFrame, persons: DataFrame) -> DataFrame:
         share("family_q_pending", family, ~disposition(v.QUESTIONNAIRE_CLOSED)),
         binary("Families_ID", family),
     ]
-    joined = with_date_and_time(join(cases, persons, PERSON_KEY), "STAINTDT")
+    joined = spread_join(cases, persons, PERSON_KEY, count_on=count_on)
+    joined = with_date_and_time(joined, "STAINTDT")
     # An unknown disposition is neither completed nor not, unlike in the pending lines.
     open_or_selected = in_codes("SCQCK305", (*v.SELECTED, None))
     completed = F.col("question_disp").isin(*v.QUESTIONNAIRE_COMPLETED)
@@ -72,7 +75,7 @@ def person_and_family_flags(cases: DataFrame, persons: DataFrame) -> DataFrame:
 def appointment_flags(persons: DataFrame, appointments: DataFrame) -> DataFrame:
     """Persons with their exam appointments (a row per appointment) and what became of them."""
     exams = appointments.filter(F.col("appt_type") == v.EXAM_APPOINTMENT)
-    joined = join(persons, exams, ["SP_ID"])
+    joined = spread_join(persons, exams, ["SP_ID"])
     sampled = (F.col("RIAPCODE") == v.IN_HOUSEHOLD) & in_codes("SCQCK305", v.SELECTED)
     status = F.col("appt_status")
     return with_flags(joined, [

@@ -71,6 +71,11 @@ class Inputs:
     def report_cases(self) -> DataFrame:
         return report.report_cases(self.survey(mappings.REPORT_CASE), self.survey("current_case"))
 
+    @property
+    def person_report(self) -> DataFrame:
+        return report.person_and_family_flags(self.report_cases, self.survey("person"),
+                                              count_on=self.survey("case"))
+
 
 def query(function: Callable[[Inputs], DataFrame]) -> Callable[[Inputs], DataFrame]:
     _QUERIES[function.__name__] = lambda spark, folder: function(Inputs(spark, folder))
@@ -200,7 +205,7 @@ def screener_report(i: Inputs) -> DataFrame:
 
 @query
 def person_family_report(i: Inputs) -> DataFrame:
-    return report.person_and_family_flags(i.report_cases, i.survey("person"))
+    return i.person_report
 
 
 @query
@@ -210,8 +215,7 @@ def selected_persons(i: Inputs) -> DataFrame:
 
 @query
 def flag_arithmetic(i: Inputs) -> DataFrame:
-    flagged = report.person_and_family_flags(i.report_cases, i.survey("person"))
-    return flagged.groupBy("SDASTAND", "STAQTYP").agg(
+    return i.person_report.groupBy("SDASTAND", "STAQTYP").agg(
         F.sum("Families_ID").alias("families"),
         F.sum("Desampled_Families").alias("desampled"),
         F.sum("ct_famlies").alias("counted"))
@@ -372,7 +376,7 @@ def freq_masked(i: Inputs) -> DataFrame:
 
 @query
 def stand_check(i: Inputs) -> DataFrame:
-    flagged = report.person_and_family_flags(i.report_cases, i.survey("person"))
+    flagged = i.person_report
     visits = report.appointment_flags(i.survey("person"), i.survey("appointment"))
     return reshape.stack_same(
         checks.stand_frequencies(flagged, 398, checks.REPORT_LINES, "SDASTAND"),
