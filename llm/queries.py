@@ -7,11 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from llm.language_id import op2_language_id
+from llm.quality import op9_quality
+from llm.toxicity import op6_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_language_id": op2_language_id,
+        "op6_toxicity": op6_toxicity,
+        "op9_quality": op9_quality,
     }
 
 
