@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from llm.html_text import op10_html_extraction
 from llm.language_id import op2_language_id
+from llm.mixing import op4_source_mixing
 from llm.quality import op9_quality
 from llm.toxicity import op6_toxicity
 
@@ -14,8 +16,10 @@ from llm.toxicity import op6_toxicity
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_language_id": op2_language_id,
+        "op4_source_mixing": op4_source_mixing,
         "op6_toxicity": op6_toxicity,
         "op9_quality": op9_quality,
+        "op10_html_extraction": op10_html_extraction,
     }
 
 
