@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from llm.decontamination import op5_decontamination
 from llm.html_text import op10_html_extraction
 from llm.language_id import op2_language_id
 from llm.mixing import op4_source_mixing
@@ -17,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_language_id": op2_language_id,
         "op4_source_mixing": op4_source_mixing,
+        "op5_decontamination": op5_decontamination,
         "op6_toxicity": op6_toxicity,
         "op9_quality": op9_quality,
         "op10_html_extraction": op10_html_extraction,
