@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from llm.decontamination import op5_decontamination
 from llm.html_text import op10_html_extraction
+from llm.jaccard_join import op3_jaccard_join
 from llm.language_id import op2_language_id
 from llm.mixing import op4_source_mixing
 from llm.quality import op9_quality
@@ -17,6 +18,7 @@ from llm.toxicity import op6_toxicity
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_language_id": op2_language_id,
+        "op3_jaccard_join": op3_jaccard_join,
         "op4_source_mixing": op4_source_mixing,
         "op5_decontamination": op5_decontamination,
         "op6_toxicity": op6_toxicity,
