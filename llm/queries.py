@@ -12,6 +12,7 @@ from llm.jaccard_join import op3_jaccard_join
 from llm.language_id import op2_language_id
 from llm.mixing import op4_source_mixing
 from llm.quality import op9_quality
+from llm.suffix_dedup import op7_suffix_dedup
 from llm.toxicity import op6_toxicity
 
 
@@ -22,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_source_mixing": op4_source_mixing,
         "op5_decontamination": op5_decontamination,
         "op6_toxicity": op6_toxicity,
+        "op7_suffix_dedup": op7_suffix_dedup,
         "op9_quality": op9_quality,
         "op10_html_extraction": op10_html_extraction,
     }
