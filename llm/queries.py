@@ -13,11 +13,13 @@ from llm.language_id import op2_language_id
 from llm.mixing import op4_source_mixing
 from llm.quality import op9_quality
 from llm.suffix_dedup import op7_suffix_dedup
+from llm.topk_search import op1_topk_search
 from llm.toxicity import op6_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_topk_search": op1_topk_search,
         "op2_language_id": op2_language_id,
         "op3_jaccard_join": op3_jaccard_join,
         "op4_source_mixing": op4_source_mixing,
