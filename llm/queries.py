@@ -10,6 +10,7 @@ from llm.decontamination import op5_decontamination
 from llm.html_text import op10_html_extraction
 from llm.jaccard_join import op3_jaccard_join
 from llm.language_id import op2_language_id
+from llm.lm_scoring import op8_lm_scoring
 from llm.mixing import op4_source_mixing
 from llm.quality import op9_quality
 from llm.suffix_dedup import op7_suffix_dedup
@@ -26,6 +27,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_decontamination": op5_decontamination,
         "op6_toxicity": op6_toxicity,
         "op7_suffix_dedup": op7_suffix_dedup,
+        "op8_lm_scoring": op8_lm_scoring,
         "op9_quality": op9_quality,
         "op10_html_extraction": op10_html_extraction,
     }
