@@ -4,7 +4,7 @@ A document is the set of hashes of its five-word shingles (with fewer words: of
 Equal sets are one text, told by a 128-bit fingerprint. In each run a text chooses the shingles whose hash under
 the run and node is below FAN / size, about FAN of them, and joins the node of each; similar
 texts tend to choose the same ones. Nodes with more than SMALL texts are split again by shingles chosen
-anew, unless their texts are alike already (mean agreement of minwise sketches), until MAX_DEPTH.
+anew, unless their texts are alike already (agreement of minwise sketches), until MAX_DEPTH.
 Leaves are compared by brute force, in cells of at most CELL_TEXTS texts or CELL_TOKENS shingles
 a side, so that a huge group of near copies spreads over many tasks. Leaves with the same members
 are compared once, and a pair is counted only in the first of its common leaves.
@@ -174,11 +174,11 @@ def _counted(rows: DataFrame) -> DataFrame:
 
 
 def _alike(rows: DataFrame) -> DataFrame:
-    """Nodes whose texts agree in their sketches by TIGHT or more on average."""
-    values = rows.select("node", F.posexplode("sketch").alias("place", "value")).groupBy("node", "place", "value").agg(
-        F.count("*").cast("double").alias("n"))
-    return values.groupBy("node").agg((F.sum(F.col("n") * F.col("n")) * SKETCH / F.sum("n") / F.sum("n")).alias("mean")
-                                      ).where(F.col("mean") >= TIGHT).select("node")
+    """Nodes whose texts agree with one of them in their sketches by TIGHT or more on average."""
+    one = rows.groupBy("node").agg(F.min_by("sketch", F.xxhash64("text_id")).alias("one"))
+    same = F.size(F.filter(F.zip_with("sketch", "one", lambda a, b: a == b), lambda x: x)) / SKETCH
+    return rows.join(one, "node").groupBy("node").agg(F.avg(same).alias("mean")).where(
+        F.col("mean") >= TIGHT).select("node")
 
 
 def leaves(docs: DataFrame, texts: DataFrame, text: str) -> DataFrame:
