@@ -95,6 +95,17 @@ def sketch(shingles: np.ndarray) -> np.ndarray:
                      for i in range(SKETCH)], np.int64)
 
 
+def packed(shingles: np.ndarray) -> bytes:
+    """The low 48 bits of each hash, which tell the shingles of a cell or a split apart as well as 64."""
+    return shingles.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def unpacked(held: bytes) -> np.ndarray:
+    out = np.zeros((len(held) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(held, np.uint8).reshape(-1, 6)
+    return out.reshape(-1).view("<u8")
+
+
 def _lists(parts: list[np.ndarray], kind: pa.DataType = pa.int64()) -> pa.Array:
     ends = np.cumsum([0, *map(len, parts)])
     flat = np.concatenate(parts) if parts else np.zeros(0, np.int64)
@@ -156,7 +167,7 @@ def _sets_of(docs: DataFrame, keys: DataFrame, text: str) -> DataFrame:
             batch = batch.filter(pa.array(use))
             at = 0
             for chunk in chunks(batch.column(1)):
-                sets = [s.tobytes() for s in shingle_sets(chunk)]
+                sets = [packed(s) for s in shingle_sets(chunk)]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(at, chunk.size), pa.array(sets, pa.binary())], ["key", "shingles"])
                 at += chunk.size
@@ -214,7 +225,7 @@ def _split(docs: DataFrame, more: DataFrame, text: str) -> DataFrame:
         for batch in batches:
             out = []
             for parents, held in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True):
-                s = np.frombuffer(held, np.uint64)
+                s = unpacked(held)
                 out.append(np.concatenate([chosen(s, np.uint64(p & (1 << 64) - 1)) for p in parents]).view(np.int64))
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], _lists(out)], [*batch.schema.names[:4], "nodes"])
 
@@ -321,7 +332,7 @@ def links(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD, rec
                     if len(held) > 1:
                         yield close(cell, held)
                     cell, held = (node, low, high), []
-                held.append((part, text_id, np.frombuffer(shingles, np.uint64), weight, np.array(nodes, np.int64)))
+                held.append((part, text_id, unpacked(shingles), weight, np.array(nodes, np.int64)))
         if len(held) > 1:
             yield close(cell, held)
 
