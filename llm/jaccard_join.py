@@ -377,6 +377,23 @@ def classes(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD, r
     return some.unionByName(none)
 
 
+def one_each(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """One document of each class: the one of smallest id, of copies of that id the first by a hash; columns as they
+    were. Documents without words stay, each being its own class."""
+    found = written(classes(docs, text, threshold), "classes")
+    first = found.groupBy("class_id").agg(F.min(F.struct("doc_id", "key")).alias("first"))
+    grouped = found.where("n_links > 0")
+    gone = grouped.join(first, grouped["class_id"].eqNullSafe(first["class_id"])).where(
+        (F.struct("doc_id", "key") != F.col("first")) | F.isnull("doc_id") & (F.col("key") != F.col("first.key"))
+    ).select(F.col("key").alias("__key")).distinct()
+    kept = docs.withColumn("__key", document_key(text)).join(gone, "__key", "left_anti")
+    again = grouped.groupBy("key").count().where("count > 1").select(F.col("key").alias("__key"))  # equal in id and text
+    if again.limit(1).count():
+        kept = kept.join(again, "__key", "left_anti").unionByName(
+            kept.join(again, "__key", "left_semi").dropDuplicates(["__key"]))
+    return kept.drop("__key")
+
+
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class and number of links of every document."""
     return classes(table(spark, sf_dir, "documents")).drop("key")

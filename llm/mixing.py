@@ -225,6 +225,29 @@ def taken(held: DataFrame, sources: DataFrame, block: int = BLOCK) -> DataFrame:
         none.withColumn("taken", F.lit(0).cast("long"))).withColumn("taken", F.coalesce("taken", F.lit(0)))
 
 
+def mix(docs: DataFrame, text: str = "text", block: int = BLOCK) -> DataFrame:
+    """The mix itself: (shard, source, t, block, n_words, doc_ids, text), one row per slot. Words are parted by single
+    spaces; a block that the mix takes twice has two rows."""
+    keyed = docs.select("doc_id", F.col("source").cast("string").alias("source"), F.col(text).cast("string").alias("text"))
+    keyed = keyed.withColumn("fingerprint", F.xxhash64("doc_id", "text"))
+    sized = written(keyed.select("doc_id", "source", word_count("text").alias("size"), "fingerprint"), "sized")
+    sources = source_table(sized, block)
+    held = written(packed(sized, sources, sized.count()).where("size > 0"), "packed")
+    spoken = held.join(keyed.select("fingerprint", "text").dropDuplicates(["fingerprint"]), "fingerprint").select(
+        "k", "doc_id", "start", "size", F.split(F.btrim("text", F.lit(BLANKS)), SPACE).alias("spoken"))
+    parts = pieces(spoken, block).select("k", "block", F.struct(
+        (F.col("start") + F.col("at")).alias("at"), "doc_id", "words",
+        F.array_join(F.slice("spoken", (F.col("at") + 1).cast("int"), F.col("words").cast("int")), " ").alias("said")
+    ).alias("piece"))
+    filled = parts.groupBy("k", "block").agg(F.sort_array(F.collect_list("piece")).alias("held"))  # at most ``block`` words
+    taken_slots = slots(sources)
+    return taken_slots.join(filled, ["k", "block"]).join(sources.select("k", "source"), "k").select(
+        "shard", "source", "t", "block",
+        F.aggregate("held", F.lit(0).cast("long"), lambda n, p: n + p["words"]).alias("n_words"),
+        F.transform("held", lambda p: p["doc_id"]).alias("doc_ids"),
+        F.array_join(F.transform("held", lambda p: p["said"]), " ").alias("text"))
+
+
 def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words taken of every document by a mix of 150 % of the words of all documents."""
     held, sources = layout(table(spark, sf_dir, "documents"))

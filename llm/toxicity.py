@@ -139,31 +139,41 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "
 
 def score(docs: DataFrame, places: np.ndarray, values: np.ndarray, keep: tuple[str, ...] = ("doc_id",),
           text: str = "text") -> DataFrame:
-    """The ``keep`` columns of each row with ``score``, the probability of the label 1."""
+    """The ``keep`` columns of each row (the text may be one of them) with ``score``, the probability of the label 1."""
     spark = docs.sparkSession
     small_batches(spark)
     model = spark.sparkContext.broadcast((places, values))
+    at = keep.index(text) if text in keep else len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = np.zeros((1 << BITS) + 1)
         weights[model.value[0]] = model.value[1]
         for batch in batches:
             scores = [np.zeros(0)]
-            for chunk in chunks(batch.column(batch.num_columns - 1)):
+            for chunk in chunks(batch.column(at)):
                 buckets, of = features(chunk)
                 used = weights[buckets] != 0
                 buckets, of = _present(buckets[used], of[used])
                 sums = np.bincount(of, weights[buckets], chunk.size) if len(of) else np.zeros(chunk.size)
                 scores.append(_sigmoid(sums + weights[-1]))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(np.concatenate(scores))],
-                [*batch.schema.names[:-1], "score"])
+                [*batch.columns[:len(keep)], pa.array(np.concatenate(scores))], [*keep, "score"])
 
-    rows = docs.select(*keep, F.col(text).cast("string").alias("__text"))
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+    extra = [] if text in keep else [F.col(text).cast("string").alias("__text")]
+    rows = docs.select(*(F.col(f"`{c}`") for c in keep), *extra)
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:len(keep)])
     return rows.mapInArrow(run, f"{kept}, score double")
 
 
+def clean(docs: DataFrame, labels: DataFrame, text: str = "text", limit: float = 0.5) -> DataFrame:
+    """The documents that score below ``limit``, learned from labelled rows outside the held-out fold; columns as they were."""
+    places, values = learn(docs.where(fold("doc_id", 5) != 0), labels, text)
+    names = docs.columns
+    safe = docs.toDF(*(f"c{i}" for i in range(len(names))))  # names may clash with ours
+    scored = score(safe, places, values, tuple(safe.columns), f"c{names.index(text)}")
+    return scored.where(F.col("score") < limit).drop("score").toDF(*names)
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document, learned from labelled rows outside the held-out fold."""
     docs = table(spark, sf_dir, "documents")
