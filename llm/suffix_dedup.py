@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from llm.texts import Chunk, Rolling, chunks, mixed, small_batches, table
-from llm.written import written
+from llm.written import drop_written, written
 
 LENGTH = 100
 SEED = 40
@@ -168,8 +168,8 @@ def _stretch(rolling: Rolling, start: np.ndarray, end: np.ndarray, at: np.ndarra
     return rolling.spans(start, end) ^ mixed((at - start).astype(np.uint64))
 
 
-def first_round(docs: DataFrame, text: str, length: int, seed: int) -> tuple[DataFrame, DataFrame]:
-    """(nodes, removed): a node per segment with a repeated seed that is the task's first with its stretch;
+def first_round(docs: DataFrame, text: str, length: int, seed: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes, removed, the table of both): a node per segment with a repeated seed that is the task's first with its stretch;
     for the others, (key, starts, ends) of what goes."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(repeated_seeds(docs, text, length, seed))
@@ -228,7 +228,7 @@ def first_round(docs: DataFrame, text: str, length: int, seed: int) -> tuple[Dat
         run, f"{NODE}, starts array<int>, ends array<int>"), "segments")
     return (rows.where("starts is null").drop("starts", "ends"),
             rows.where("starts is not null").select("key", F.explode(F.arrays_zip("starts", "ends")).alias("x")).select(
-                "key", F.col("x.starts").alias("start"), F.col("x.ends").alias("end")))
+                "key", F.col("x.starts").alias("start"), F.col("x.ends").alias("end")), rows)
 
 
 def merged(owner: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -247,17 +247,24 @@ def merged(owner: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nd
     return owner[first], start[first], reach[last] - shift[last]
 
 
-def decide(nodes: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
-    """(removed ranges of nodes whose stretch has an earlier place, nodes to rank on longer strings)."""
+def decide(nodes: DataFrame, source: DataFrame, length: int, gone: DataFrame | None = None
+           ) -> tuple[DataFrame, DataFrame]:
+    """(removed ranges of nodes whose stretch has an earlier place, per document the nodes to rank on longer strings).
+    Both are written; the table ``source`` that the nodes are read from is deleted then."""
     order = F.struct("doc_id", "key", (F.col("at") - F.col("high")).alias("start"))
     grouped = written(nodes.groupBy("rank").agg(
         F.min(F.struct(order.alias("place"), "inner", "at", "low", "high")).alias("first"), F.count("*").alias("n")), "ranks")
     late = nodes.withColumn("place", order).join(
         grouped.where("n > 1").select("rank", F.col("first.place").alias("earliest")), "rank").where("place <> earliest")
     removed = late.select("key", F.col("place.start").alias("start"), (F.col("at") - F.col("low") + length).alias("end"))
+    removed = written(removed if gone is None else removed.unionByName(gone), "removed")
     firsts = grouped.select("first.place.doc_id", "first.place.key", "first.inner", "first.at", "first.low", "first.high")
     again = firsts.groupBy("inner").agg(F.count("*").alias("n")).where("n > 1").select("inner")
-    return removed, firsts.join(again, "inner", "left_semi").drop("inner")
+    todo = written(firsts.join(again, "inner", "left_semi").groupBy("key").agg(
+        F.collect_list(F.struct("at", "low", "high")).alias("nodes")), "todo")
+    drop_written(grouped)
+    drop_written(source)
+    return removed, todo
 
 
 def _bitmap(keys: DataFrame, bits: int = 24) -> np.ndarray:
@@ -292,8 +299,7 @@ def texts_of(docs: DataFrame, keys: DataFrame, text: str) -> DataFrame:
 def next_round(docs: DataFrame, todo: DataFrame, text: str, length: int, cell: int) -> DataFrame:
     """Nodes for cells of ``cell`` starts, ranked on the strings that all starts of the cell share (inner) and the
     stretch of those of the node (rank)."""
-    lists = written(todo.groupBy("key").agg(F.collect_list(F.struct("at", "low", "high")).alias("nodes")), "todo")
-    joined = texts_of(docs, lists, text).dropDuplicates(["key"]).join(lists, "key").select("doc_id", "key", "nodes", "text")
+    joined = texts_of(docs, todo, text).join(todo, "key").select("doc_id", "key", "nodes", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -329,17 +335,21 @@ def next_round(docs: DataFrame, todo: DataFrame, text: str, length: int, cell: i
 
 def removed_ranges(docs: DataFrame, text: str = "text", length: int = LENGTH, seed: int = SEED) -> DataFrame:
     """(key, ranges): for documents that lose bytes, the ranges [start, end) that go; they may overlap."""
-    nodes, gone = first_round(docs, text, length, seed)
-    removed, todo = decide(nodes, length)
-    parts = [gone, removed]
+    nodes, gone, source = first_round(docs, text, length, seed)
+    removed, todo = decide(nodes, source, length, gone)
+    parts = [removed]
     for cell in (CELL, 1):
         nodes = next_round(docs, todo, text, length, cell)
-        removed, todo = decide(nodes, length)
+        drop_written(todo)
+        removed, todo = decide(nodes, nodes, length)
         parts.append(removed)
     all_parts = parts[0]
     for part in parts[1:]:
         all_parts = all_parts.unionByName(part)
-    return written(all_parts.groupBy("key").agg(F.collect_set(F.struct("start", "end")).alias("ranges")), "ranges")
+    ranges = written(all_parts.groupBy("key").agg(F.collect_set(F.struct("start", "end")).alias("ranges")), "ranges")
+    for table_ in (*parts, todo):
+        drop_written(table_)
+    return ranges
 
 
 def _cut(docs: DataFrame, ranges: DataFrame, keep: list[str], text: str, finish: Callable, names: str) -> DataFrame:
