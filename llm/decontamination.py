@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm.texts import LOWER, Chunk, Rolling, chunks, grams, runs, small_batches, table
+from llm.texts import LOWER, Chunk, Rolling, apart, chunks, grams, runs, small_batches, table
 from llm.toxicity import WORD
 
 LEAST = 5
@@ -174,9 +174,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", coverage:
 
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", coverage: float = COVERAGE) -> DataFrame:
     """The documents without those that cover an item; columns as they were."""
+    docs, back = apart(docs, "doc_id", text)
     hit = matches(docs, benchmark, text, coverage).select("key").distinct()
     keyed = docs.withColumn("__key", F.xxhash64("doc_id", F.col(text).cast("string")))
-    return keyed.join(hit, keyed["__key"] == hit["key"], "left_anti").drop("__key")
+    return back(keyed.join(hit, keyed["__key"] == hit["key"], "left_anti"))
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm.texts import Chunk, Rolling, chunks, grams, mixed, small_batches, table, words
+from llm.texts import Chunk, Rolling, apart, chunks, grams, mixed, small_batches, table, words
 from llm.written import written
 
 WORDS = 5
@@ -380,6 +380,7 @@ def classes(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD, r
 def one_each(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One document of each class: the one of smallest id, of copies of that id the first by a hash; columns as they
     were. Documents without words stay, each being its own class."""
+    docs, back = apart(docs, "doc_id", text)
     found = written(classes(docs, text, threshold), "classes")
     first = found.groupBy("class_id").agg(F.min(F.struct("doc_id", "key")).alias("first"))
     grouped = found.where("n_links > 0")
@@ -391,7 +392,7 @@ def one_each(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD)
     if again.limit(1).count():
         kept = kept.join(again, "__key", "left_anti").unionByName(
             kept.join(again, "__key", "left_semi").dropDuplicates(["__key"]))
-    return kept.drop("__key")
+    return back(kept)
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

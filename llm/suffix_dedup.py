@@ -32,7 +32,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm.texts import Chunk, Rolling, chunks, mixed, small_batches, table
+from llm.texts import Chunk, Rolling, apart, chunks, mixed, small_batches, table
 from llm.written import drop_written, written
 
 LENGTH = 100
@@ -419,9 +419,10 @@ def cut_texts(docs: DataFrame, text: str = "text", length: int = LENGTH) -> Data
     def finish(data: bytes, ranges: np.ndarray) -> tuple:
         return (without(data, ranges).decode("utf-8", "ignore"),)
 
+    docs, back = apart(docs, "doc_id", text)
     keep = [c for c in docs.columns if c != text]
     cut = _cut(docs, removed_ranges(docs, text, length), keep, text, finish, "__cut string")
-    return cut.withColumnRenamed("__cut", text).select(*docs.columns)
+    return back(cut.withColumnRenamed("__cut", text))
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm.texts import LOWER, Chunk, Rolling, chunks, fold, grams, mixed, runs, small_batches, table
+from llm.texts import LOWER, Chunk, Rolling, apart, chunks, fold, grams, mixed, runs, small_batches, table
 
 BITS = 20
 TRAIN_ROWS = 16384
@@ -168,10 +168,8 @@ def score(docs: DataFrame, places: np.ndarray, values: np.ndarray, keep: tuple[s
 def clean(docs: DataFrame, labels: DataFrame, text: str = "text", limit: float = 0.5) -> DataFrame:
     """The documents that score below ``limit``, learned from labelled rows outside the held-out fold; columns as they were."""
     places, values = learn(docs.where(fold("doc_id", 5) != 0), labels, text)
-    names = docs.columns
-    safe = docs.toDF(*(f"c{i}" for i in range(len(names))))  # names may clash with ours
-    scored = score(safe, places, values, tuple(safe.columns), f"c{names.index(text)}")
-    return scored.where(F.col("score") < limit).drop("score").toDF(*names)
+    safe, back = apart(docs, "doc_id", text)
+    return back(score(safe, places, values, tuple(safe.columns), text).where(F.col("score") < limit))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
