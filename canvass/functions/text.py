@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,19 +13,72 @@ def is_numeric(df: DataFrame, name: str) -> bool:
     return isinstance(df.schema[name].dataType, T.NumericType)
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _shortest(column: Column) -> Column:
+    """The shortest of 15, 16 or 17 digits that gives the same double."""
+    def digits(n: int) -> Column:
+        return F.format_string(f"%.{n - 1}e", column)
+
+    def same(text: Column) -> Column:
+        return text.try_cast("double") == column
+
+    return F.when(F.isnan(column), F.lit("NaN")).otherwise(
+        _let(digits(15), lambda a: F.when(same(a), a).otherwise(
+            _let(digits(16), lambda b: F.when(same(b), b).otherwise(
+                _let(digits(17), lambda c: F.when(same(c), c).otherwise(column.cast("string"))))))))
+
+
+def _moved(shown: Column, mark: str) -> Column:
+    """A number's text with its point where the exponent says."""
+    form = r"^[-+]?(\d+)(?:\.(\d+))?(?:[eE]([-+]?\d+))?$"
+
+    def place(p: Column) -> Column:
+        point = F.length(p["whole"]) + F.coalesce(p["power"].try_cast("int"), F.lit(0))
+        digits = F.concat(p["whole"], p["part"])
+        return F.struct(
+            F.concat(F.repeat(F.lit("0"), 1 - point), digits,
+                     F.repeat(F.lit("0"), point - F.length(digits))).alias("digits"),
+            F.greatest(point, F.lit(1)).alias("point"))
+
+    def cut(q: Column) -> Column:
+        return F.struct(
+            F.regexp_replace(F.substring(q["digits"], F.lit(1), q["point"]), "^0+(?=.)", "").alias("before"),
+            F.regexp_replace(F.substring(q["digits"], q["point"] + 1, F.length(q["digits"])), "0+$", "").alias("after"))
+
+    def glue(r: Column) -> Column:
+        plain = F.when(r["after"] == "", r["before"]).otherwise(F.concat(r["before"], F.lit(mark), r["after"]))
+        negative = shown.startswith("-") & ((r["before"] != "0") | (r["after"] != ""))
+        return F.concat(F.when(negative, F.lit("-")).otherwise(F.lit("")), plain)
+
+    parts = F.struct(F.regexp_extract(shown, form, 1).alias("whole"), F.regexp_extract(shown, form, 2).alias("part"),
+                     F.regexp_extract(shown, form, 3).alias("power"))
+    moved = _let(parts, lambda p: _let(place(p), lambda q: _let(cut(q), glue)))
+    return F.when(shown.rlike(form), moved).otherwise(shown)
+
+
+def decimal_text(column: Column, mark: str = ".", kind: T.DataType | None = None) -> Column:
+    """Number as plain digits, never in exponent form, with ``mark`` before the fraction.
+
+    Takes the shortest text that gives the same number and moves its point, so every digit
+    stays, at any size. What is not a finite number keeps its text. ``kind`` is the column's
+    type; a double needs it for the shortest text, since the cast may print digits too many.
+    """
+    if isinstance(kind, T.DoubleType):
+        # Small whole numbers, the usual case, have this text without any of the steps.
+        plain = (column == F.floor(column)) & (F.abs(column) < 1e15)
+        return F.when(plain, column.cast("bigint").cast("string")).otherwise(
+            _let(_shortest(column), lambda shown: _moved(shown, mark)))
+    return _let(column.cast("string"), lambda shown: _moved(shown, mark))
+
+
 def plain_text(df: DataFrame, name: str) -> Column:
-    """Column as text; whole floating-point numbers print without a fraction (398, not 398.0)."""
-    column = F.col(f"`{name}`")
-    if not isinstance(df.schema[name].dataType, (T.DoubleType, T.FloatType)):
-        return column.cast("string")
-    whole = (column == F.floor(column)) & (F.abs(column) < 1e15)
-    return F.when(whole, column.cast("bigint").cast("string")).otherwise(column.cast("string"))
-
-
-def decimal_text(column: Column, mark: str = ".") -> Column:
-    """Number as plain digits, never in exponent form, with ``mark`` before the fraction."""
-    digits = column.try_cast("decimal(38,20)").cast("string")
-    digits = F.regexp_replace(digits, r"\.?0+$", "")
-    digits = F.when(digits.isin("", "-"), F.lit("0")).otherwise(digits)
-    shown = F.coalesce(digits, column.cast("string"))
-    return F.translate(shown, ".", mark) if mark != "." else shown
+    """Column as text; floating-point numbers print as plain digits, whole ones without a
+    fraction (398, not 398.0)."""
+    column, kind = F.col(f"`{name}`"), df.schema[name].dataType
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return decimal_text(column, kind=kind)
+    return column.cast("string")

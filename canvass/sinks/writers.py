@@ -14,19 +14,20 @@ from pyspark.sql import types as T
 from canvass.functions.text import decimal_text
 from canvass.operators.ordering import with_row_names
 
-ROW_NAME = "row_name"
+ROW_NAME = ""  # the header cell of the row names is left empty
 
 
 def _named_rows(df: DataFrame, row_names: Sequence[str] | None) -> DataFrame:
     if not row_names:
         return df
-    return with_row_names(df, row_names, ROW_NAME).select(ROW_NAME, *df.columns)
+    named = with_row_names(df, row_names, "_row_name")
+    return named.select(F.col("_row_name").alias(ROW_NAME), *[F.col(f"`{c}`") for c in df.columns])
 
 
 def _plain_numbers(df: DataFrame, mark: str) -> DataFrame:
-    numbers = [f.name for f in df.schema.fields
-               if isinstance(f.dataType, (T.DoubleType, T.FloatType, T.DecimalType))]
-    return df.withColumns({n: decimal_text(F.col(n), mark) for n in numbers})
+    numbers = {f.name: f.dataType for f in df.schema.fields
+               if isinstance(f.dataType, (T.DoubleType, T.FloatType, T.DecimalType))}
+    return df.withColumns({n: decimal_text(F.col(f"`{n}`"), mark, kind) for n, kind in numbers.items()})
 
 
 def _write(df: DataFrame, path: str, **options) -> None:
