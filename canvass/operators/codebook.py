@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from canvass.functions.text import plain_text
-from canvass.operators.frequency import level_counts, placed_levels
+from canvass.operators.frequency import placed_levels
 
 _ORDERED = (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)
 _QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
@@ -29,14 +29,18 @@ def _by_value(levels: DataFrame, quartiles: dict[str, Column]) -> DataFrame:
     )
 
 
-def codebook(df: DataFrame, exact: bool = True, quantile_accuracy: int = 10_000) -> DataFrame:
+def codebook(df: DataFrame, exact: bool = True, quantile_accuracy: int = 10_000,
+             tracked: int = 10_000) -> DataFrame:
     """Type, label, counts, range, quartiles and mode of every column, values as text.
 
     Range and known values come from one aggregate over the table. Distinct values and modes
     are counted per value by many tasks rather than in one buffer. A quartile is the smallest
-    value that at least that share of the known values does not exceed; it is read off the
-    ordered value counts, or with ``exact=False`` from a sketch of fixed size, whose rank is
-    off by at most rows / ``quantile_accuracy``.
+    value that at least that share of the known values does not exceed, read off the ordered
+    value counts.
+
+    With ``exact=False`` everything comes from the one aggregate, by sketches of fixed size:
+    quartiles are off by at most rows / ``quantile_accuracy`` ranks, distinct values by a few
+    percent, and the mode is the most frequent of ``tracked`` values (ties: any).
     """
     facts = []
     for i, field in enumerate(df.schema.fields):
@@ -46,20 +50,26 @@ def codebook(df: DataFrame, exact: bool = True, quantile_accuracy: int = 10_000)
             F.min(column).alias(f"min{i}"),
             F.max(column).alias(f"max{i}"),
         ]
-        if not exact and _is_ordered(field):
-            shares = list(_QUARTILES.values())
-            facts.append(F.percentile_approx(column, shares, quantile_accuracy).alias(f"quart{i}"))
+        if not exact:
+            facts += [F.approx_count_distinct(column).alias(f"distinct{i}"),
+                      F.expr(f"approx_top_k(`{field.name}`, 1, {tracked})").alias(f"top{i}")]
+            if _is_ordered(field):
+                facts.append(F.percentile_approx(column, list(_QUARTILES.values()), quantile_accuracy)
+                             .alias(f"quart{i}"))
     wide = df.agg(F.count(F.lit(1)).alias("rows"), *facts)
 
     texts = []
     for i, field in enumerate(df.schema.fields):
         sketched = []
-        if not exact and _is_ordered(field):
-            wide = wide.withColumns({f"{n}{i}": F.col(f"quart{i}")[k]
+        if not exact:
+            ordered_ = _is_ordered(field)
+            wide = wide.withColumns({f"{n}{i}": F.get(f"quart{i}", F.lit(k)) if ordered_ else F.lit(None)
                                      for k, n in enumerate(_QUARTILES)})
-            sketched = [plain_text(wide, f"{n}{i}").alias(n) for n in _QUARTILES]
-        elif not exact:
-            sketched = [F.lit(None).cast("string").alias(n) for n in _QUARTILES]
+            wide = wide.withColumn(f"mode{i}", F.get(f"top{i}", F.lit(0))["item"])
+            sketched = [(plain_text(wide, f"{n}{i}") if ordered_ else F.lit(None).cast("string")).alias(n)
+                        for n in _QUARTILES]
+            sketched += [F.col(f"distinct{i}").alias("distinct"), plain_text(wide, f"mode{i}").alias("mode"),
+                         F.get(f"top{i}", F.lit(0))["count"].alias("mode_freq")]
         texts.append(F.struct(
             F.lit(field.name).alias("variable"),
             F.lit(field.dataType.simpleString()).alias("type"),
@@ -67,23 +77,20 @@ def codebook(df: DataFrame, exact: bool = True, quantile_accuracy: int = 10_000)
             F.col("rows").alias("n"),
             (F.col("rows") - F.col(f"known{i}")).alias("missing"),
             plain_text(wide, f"min{i}").alias("min"),
-            *sketched,
             plain_text(wide, f"max{i}").alias("max"),
+            *sketched,
         ))
     described = wide.select(F.inline(F.array(*texts)))
+    shown = ("variable", "type", "label", "n", "missing", "min", *_QUARTILES, "max")
+    if not exact:
+        return described.select(*shown, "distinct", "mode", "mode_freq")
+    ordered = [f.name for f in df.schema.fields if _is_ordered(f)]
 
-    if exact:
-        ordered = [f.name for f in df.schema.fields if _is_ordered(f)]
-
-        def quartile(share: float) -> Column:
-            reached = (F.col("cum") >= F.ceil(F.col("known_rows") * share)) & (
-                F.col("value").isNotNull() & F.col("variable").isin(ordered))
-            return F.min(F.when(reached, F.struct("cum", "value"))).getField("value")
+    def quartile(share: float) -> Column:
+        reached = (F.col("cum") >= F.ceil(F.col("known_rows") * share)) & (
+            F.col("value").isNotNull() & F.col("variable").isin(ordered))
+        return F.min(F.when(reached, F.struct("cum", "value"))).getField("value")
 
-        values = _by_value(placed_levels(df, df.columns),
-                           {n: quartile(q) for n, q in _QUARTILES.items()})
-    else:
-        values = _by_value(level_counts(df, df.columns), {})
+    values = _by_value(placed_levels(df, df.columns), {n: quartile(q) for n, q in _QUARTILES.items()})
     return described.join(values, F.col("variable") == F.col("_variable"), "left").select(
-        "variable", "type", "label", "n", "missing", "min", *_QUARTILES, "max",
-        F.coalesce("distinct", F.lit(0)).alias("distinct"), "mode", "mode_freq")
+        *shown, F.coalesce("distinct", F.lit(0)).alias("distinct"), "mode", "mode_freq")

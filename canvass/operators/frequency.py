@@ -6,15 +6,15 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from canvass.functions.text import is_numeric, plain_text
 from canvass.operators.ordering import with_running_totals
-from canvass.session import write_once
 
 NA_ROW, TOTAL_ROW = "<NA>", "Total"
 
-# Up to this many levels a single task can add them up.
-ONE_TASK_LEVELS = 200_000
+# Columns that hold the order of levels: whole numbers, fractions of decimals, floating point.
+_ORDER = ("order_whole", "order_part", "order_float")
 
 
 def masked(df: DataFrame, mask: Column, columns: Sequence[str]) -> DataFrame:
@@ -27,8 +27,23 @@ def masked(df: DataFrame, mask: Column, columns: Sequence[str]) -> DataFrame:
                          for c in columns])
 
 
+def _order_of(df: DataFrame, name: str) -> list[Column]:
+    """The value in the order columns of its kind, so that no two numbers tie by rounding."""
+    kind, column = df.schema[name].dataType, F.col(name)
+    whole = part = real = F.lit(None)
+    if isinstance(kind, T.DecimalType):
+        whole = F.floor(column)
+        part = column - whole
+    elif isinstance(kind, (T.DoubleType, T.FloatType)):
+        real = column
+    elif is_numeric(df, name):
+        whole = column
+    types = ("decimal(38,0)", "decimal(38,37)", "double")
+    return [c.cast(t).alias(n) for c, t, n in zip((whole, part, real), types, _ORDER, strict=True)]
+
+
 def level_counts(df: DataFrame, columns: Sequence[str], few_levels: bool = False) -> DataFrame:
-    """(variable, value, order, freq) of all columns from one pass over the table.
+    """(variable, value, order columns, freq) of all columns from one pass over the table.
 
     With ``few_levels`` the combinations of values are counted first, which leaves few rows
     to take apart into cells; columns with long lists of values would not gain by that.
@@ -41,14 +56,13 @@ def level_counts(df: DataFrame, columns: Sequence[str], few_levels: bool = False
         F.struct(
             F.lit(c).alias("variable"),
             plain_text(df, c).alias("value"),
-            (F.col(c).cast("double") if is_numeric(df, c) else F.lit(None).cast("double"))
-            .alias("order"),
+            *_order_of(df, c),
         )
         for c in columns
     ]
     kept = ["_rows"] if few_levels else []
     long = df.select(*kept, F.inline(F.array(*cells)))
-    return long.groupBy("variable", "value", "order").agg(rows.alias("freq"))
+    return long.groupBy("variable", "value", *_ORDER).agg(rows.alias("freq"))
 
 
 def _placed(levels: DataFrame, one_task: bool) -> DataFrame:
@@ -59,13 +73,13 @@ def _placed(levels: DataFrame, one_task: bool) -> DataFrame:
     if one_task:
         whole = Window.partitionBy("variable")
         so_far = whole.orderBy(
-            F.col("order").asc_nulls_last(), F.col("value").asc_nulls_last()
+            *[F.col(c).asc_nulls_last() for c in (*_ORDER, "value")]
         ).rowsBetween(Window.unboundedPreceding, 0)
         return levels.withColumns({
             "seen": F.sum("freq").over(so_far), "cum": F.sum("known").over(so_far),
             "all_rows": F.sum("freq").over(whole), "known_rows": F.sum("known").over(whole),
         })
-    running = with_running_totals(levels, ["variable", "order", "value"],
+    running = with_running_totals(levels, ["variable", *_ORDER, "value"],
                                   {"seen": "freq", "cum": "known"})
     totals = running.groupBy(F.col("variable").alias("_variable")).agg(
         F.sum("freq").alias("all_rows"), F.sum("known").alias("known_rows"),
@@ -80,14 +94,10 @@ def _placed(levels: DataFrame, one_task: bool) -> DataFrame:
 def placed_levels(df: DataFrame, columns: Sequence[str], few_levels: bool = False) -> DataFrame:
     """Level counts in the order of their values, with the running and whole counts.
 
-    With ``few_levels`` a single lazy plan. Otherwise the counts are written once, their
-    number is looked at, and a long list is added up in sorted parts by many tasks.
+    With ``few_levels`` a single lazy plan. Otherwise the counts are added up in sorted
+    parts by many tasks, however few or many they are.
     """
-    levels = level_counts(df, columns, few_levels)
-    if not few_levels:
-        levels = write_once(levels, "levels")
-        few_levels = levels.count() <= ONE_TASK_LEVELS
-    return _placed(levels, few_levels)
+    return _placed(level_counts(df, columns, few_levels), few_levels)
 
 
 def _percent(part: Column, whole: Column) -> Column:
