@@ -25,7 +25,6 @@ Keys = Sequence[str | tuple[str, str]]
 HOT_ROWS = 2_000_000
 HOT_SHARE = 1e-5
 ROWS_PER_SPLIT = 1_000_000
-LONE_SPLITS = 4096  # tasks over which rows with a missing key are spread
 
 
 def _c(name: str) -> Column:
@@ -157,25 +156,30 @@ def spread_join(left: DataFrame, right: DataFrame, on: Keys, how: str = "left",
             F.coalesce("_right_splits", F.lit(1)).alias("_right_splits"),
         )
 
-    def own_salt(df: DataFrame, splits: Column) -> Column:
-        # The partition id parts exact copies of a row, which hash alike, and is the same
-        # when a task runs again.
-        row = F.xxhash64(*map(_c, df.columns), F.spark_partition_id())
-        return F.when(splits > 1, F.pmod(row, splits).cast("int")).otherwise(F.lit(0))
+    def own_salt(df: DataFrame, splits: Column, name: str, lone: Column | None) -> DataFrame:
+        # The hot rows are written once with a number: copies of a row get numbers of their
+        # own, and a task that runs again finds the same ones.
+        hot_rows_ = write_once(df.filter(splits > 1).withColumn(
+            "_turn", F.xxhash64(F.monotonically_increasing_id())), "hot-rows")
+        dealt = hot_rows_.withColumn(name, F.pmod("_turn", splits).cast("int")).drop("_turn")
+        cold = df.filter(splits <= 1)
+        salt = F.lit(0)
+        if lone is not None:
+            tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+            row = F.xxhash64(*map(_c, df.columns), F.spark_partition_id())
+            salt = F.when(lone, F.pmod(row, F.lit(tasks)).cast("int")).otherwise(salt)
+        return cold.withColumn(name, salt).unionByName(dealt)
 
     def every_salt(splits: Column) -> Column:
         return F.explode(F.sequence(F.lit(0), splits - 1))
 
     left_splits, right_splits = F.col("_left_splits"), F.col("_right_splits")
-    spread = left_splits
+    lone = None
     if not null_safe and how != "inner":
         lone = reduce(lambda a, b: a | b, [_c(c).isNull() for c in left_keys])
-        spread = F.when(lone, F.lit(LONE_SPLITS)).otherwise(left_splits)
-    salted_left = mark(left, left_keys)
-    salted_left = salted_left.withColumn("_left_salt", own_salt(left, spread)).withColumn(
+    salted_left = own_salt(mark(left, left_keys), left_splits, "_left_salt", lone).withColumn(
         "_right_salt", every_salt(right_splits))
-    salted_right = mark(cut, keys)
-    salted_right = salted_right.withColumn("_salt_r", own_salt(cut, right_splits)).withColumn(
+    salted_right = own_salt(mark(cut, keys), right_splits, "_salt_r", None).withColumn(
         "_salt_l", every_salt(left_splits)).drop("_left_splits", "_right_splits")
     salted_right = salted_right.withColumn("_matched", F.lit(True))
     salts = (F.col("_left_salt") == F.col("_salt_l")) & (F.col("_right_salt") == F.col("_salt_r"))

@@ -68,9 +68,10 @@ def propagate_participant(cases: DataFrame, one_per_dwelling: bool = False, **sp
     if one_per_dwelling:
         found = found.groupBy("dwelling_key").agg(
             F.min("participantid_y").alias("participantid_y"))
+    # Pasted keys are never missing, so a plain equality joins them.
     own = cases.withColumnRenamed("participantid", "participantid_x")
     screeners = spread_join(own.filter(kind == v.SCREENER), found, ["dwelling_key"],
-                            take=["participantid_y"], null_safe=True, **spread)
+                            take=["participantid_y"], **spread)
     x, y = F.col("participantid_x"), F.col("participantid_y")
     # Screener rows only, so the rules for other types reduce to copies below.
     reconciled = cascade(

@@ -25,13 +25,20 @@ REPORT_LINES = (
     "sp_pending", "sp_Q_completed", "sp_F_nonresponse", "Families_ID", "family_q_pending",
     "family_q_completed",
 )
+PERSON_LINES = ("SPIDED",)
+SHOWN_WITHOUT_MISSING = ("vaccantNDU5",)
 APPOINTMENT_LINES = ("appt_exam_pend", "broken_appt", "MEC_examined")
 
 
 def stand_frequencies(df: DataFrame, stand: int, lines: Sequence[str],
                       stand_column: str = "standid") -> DataFrame:
     """Frequency tables of flags at one stand; a row of unknown stand counts as missing."""
-    return frequency(masked(df, F.col(stand_column) == stand, lines), lines, few_levels=True)
+    rows = masked(df, F.col(stand_column) == stand, lines)
+    known = [c for c in lines if c in SHOWN_WITHOUT_MISSING]
+    tables = [frequency(rows, [c for c in lines if c not in known], few_levels=True)]
+    if known:
+        tables.append(frequency(rows, known, report_missing=False, few_levels=True))
+    return stack_same(*tables)
 
 
 def sentinel_frequencies(fact: DataFrame, slicer: DataFrame) -> DataFrame:

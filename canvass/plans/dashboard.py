@@ -21,7 +21,12 @@ from canvass.plans.cases import (
     with_current_status,
     with_star_key,
 )
-from canvass.plans.dimensions import demographics_slicer, label_tables, stand_dimension
+from canvass.plans.dimensions import (
+    demographics_slicer,
+    label_tables,
+    numbered_participants,
+    stand_dimension,
+)
 from canvass.plans.screener import screener_flags
 from canvass.session import write_once
 from canvass.sinks.writers import write_star
@@ -97,25 +102,24 @@ def screened_cases(cases: DataFrame, current: DataFrame, participants: DataFrame
     place = ["SDASTAND", "SDASEGMT", "SDASERAL"]
     screened = current.filter(F.col("STAQDISP").isin(*v.SCREENED))
     screeners = cases.filter(F.col("STAQTYP") == v.SCREENER)
-    # The few screened cases are read twice: to count their dwellings and to join them.
-    found = write_once(join(screeners, screened, ["SCACASE"], "inner", prefix="v_"), "screened")
+    found = join(screeners, screened, ["SCACASE"], "inner", prefix="v_")
     related = spread_join(found, cases.filter(F.col("STAQTYP") == v.RELATIONSHIP), place,
-                          prefix="sc2_", **spread)
+                          prefix="sc2_", count_on=screeners, **spread)
     # The participant key is computed first, so the last join stays an equi-join.
     wanted = F.when(F.col("STARSPNO") > 0, F.col("STARSPNO")).otherwise(F.col("sc2_STARSPNO"))
-    keyed = write_once(related.withColumn("_participant", wanted), "related")
-    return spread_join(keyed, participants, [*place, ("_participant", "SCAPARTN")],
-                       prefix="sp_", **spread).drop("_participant")
+    return join(related.withColumn("_participant", wanted), participants,
+                [*place, ("_participant", "SCAPARTN")], prefix="sp_").drop("_participant")
 
 
 def dashboard_tables(fact: DataFrame, participants: DataFrame, participant_order: list[str]
                      ) -> dict[str, DataFrame]:
     """Every table the dashboard imports beside the fact, from a written fact."""
     spark = fact.sparkSession
+    numbered = numbered_participants(participants, participant_order)
     return {
-        "participant_details": participant_details(participants),
+        "participant_details": participant_details(numbered),
         "stand_demensions": stand_dimension(fact),
-        "participant_demographics_slicer": demographics_slicer(participants, participant_order),
+        "participant_demographics_slicer": demographics_slicer(numbered),
         **label_tables(spark),
         "visio_screener_process": screener_stages(fact),
         "visio_screener_process_inbetween": stage_list(spark, v.FIRST_STAGE, v.LAST_STAGE),

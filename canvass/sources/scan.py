@@ -109,5 +109,22 @@ def scan(store, mapping: TableMap | str, where: Column | None = None) -> DataFra
 
 
 def min_max(df: DataFrame, column: str) -> DataFrame:
-    """Largest and smallest value of a column, as one row."""
+    """Largest and smallest value of a column, as one row.
+
+    Where the source can answer that itself (a database; Parquet files read through the
+    version-2 reader with ``spark.sql.parquet.aggregatePushdown``, see :func:`footer_scan`)
+    Spark pushes it down.
+    """
     return df.agg(F.max(column).alias("max"), F.min(column).alias("min"))
+
+
+def footer_scan(spark: SparkSession, path: str) -> DataFrame:
+    """Parquet files read so that smallest and largest values come from their footers."""
+    spark.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    readers = spark.conf.get("spark.sql.sources.useV1SourceList")
+    try:  # which reader is used is settled while loading
+        spark.conf.set("spark.sql.sources.useV1SourceList",
+                       ",".join(r for r in readers.split(",") if r.strip() != "parquet"))
+        return spark.read.parquet(path)
+    finally:
+        spark.conf.set("spark.sql.sources.useV1SourceList", readers)
