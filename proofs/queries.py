@@ -15,7 +15,7 @@ from canvass.operators.codebook import codebook as describe_columns
 from canvass.operators.dedup import earliest_per_key as first_records
 from canvass.operators.flags import binary, in_codes, share, with_flags
 from canvass.operators.frequency import frequency, labelled_frequency
-from canvass.operators.keys import place_keys, typed_participant_key, with_keys
+from canvass.operators.keys import key_of, place_keys, typed_participant_key, with_keys
 from canvass.operators.labels import (
     cast_labelled,
     code_labels,
@@ -29,7 +29,7 @@ from canvass.plans import checks, dashboard, dimensions, report
 from canvass.session import configure, fresh_path, write_once
 from canvass.sinks import writers
 from canvass.sources import mappings
-from canvass.sources.scan import TableMap, min_max, scan
+from canvass.sources.scan import TableMap, footer_scan, min_max, scan
 from proofs.survey import SurveyStore, TestTables, labelled_documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -380,13 +380,16 @@ def stand_check(i: Inputs) -> DataFrame:
     visits = report.appointment_flags(i.survey("person"), i.survey("appointment"))
     return reshape.stack_same(
         checks.stand_frequencies(flagged, 398, checks.REPORT_LINES, "SDASTAND"),
+        checks.stand_frequencies(report.selected_person_flag(i.survey("person")), 398,
+                                 checks.PERSON_LINES, "SDASTAND"),
         checks.stand_frequencies(visits, 398, checks.APPOINTMENT_LINES, "SDASTAND"))
 
 
 @query
 def sentinel_check(i: Inputs) -> DataFrame:
     propagated = case_plans.propagate_participant(case_plans.with_case_keys(i.cases))
-    slicer = dimensions.demographics_slicer(i.participants, ["dwellingid"])
+    slicer = dimensions.demographics_slicer(
+        dimensions.numbered_participants(i.participants, ["dwellingid"]))
     return checks.sentinel_frequencies(propagated, slicer)
 
 
@@ -457,7 +460,8 @@ def gather_distinct(i: Inputs) -> DataFrame:
 
 @query
 def slicer_labels(i: Inputs) -> DataFrame:
-    return dimensions.demographics_slicer(i.participants, ["dwellingid"])
+    return dimensions.demographics_slicer(
+        dimensions.numbered_participants(i.participants, ["dwellingid"]))
 
 
 @query
@@ -494,8 +498,8 @@ def datetime_parts(i: Inputs) -> DataFrame:
 
 def _read_back(i: Inputs, df: DataFrame, path: str, **options) -> DataFrame:
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    reader = i.spark.read.options(header=True, quote='"', escape='"', enforceSchema=False,
-                                  **options)
+    reader = i.spark.read.options(**{"header": True, "quote": '"', "escape": '"',
+                                     "enforceSchema": False} | options)
     return reader.schema(fields).csv(path)
 
 
@@ -510,8 +514,8 @@ def sink_csv_roundtrip(i: Inputs) -> DataFrame:
 def sink_csv_na_roundtrip(i: Inputs) -> DataFrame:
     path, df = fresh_path(i.spark, "csv-na"), i.documents
     writers.write_csv(df, path, missing="NA", row_names=["doc_id"])
-    named = df.select(F.lit("").alias(writers.ROW_NAME), "*")
-    return _read_back(i, named, path, nullValue="NA")
+    named = df.select(F.lit("").alias("row_name"), "*")
+    return _read_back(i, named, path, nullValue="NA", enforceSchema=True)
 
 
 @query
@@ -519,8 +523,8 @@ def sink_csv2_roundtrip(i: Inputs) -> DataFrame:
     path = fresh_path(i.spark, "csv2")
     df = i.t.customer.withColumn("c_nationkey", F.nullif("c_nationkey", F.lit(7)))
     writers.write_csv2(df, path, row_names=["c_custkey"])
-    texts = df.select(F.lit("").alias(writers.ROW_NAME), "*").withColumn("c_acctbal", F.lit(""))
-    return _read_back(i, texts, path, sep=";", nullValue="NA")
+    texts = df.select(F.lit("").alias("row_name"), "*").withColumn("c_acctbal", F.lit(""))
+    return _read_back(i, texts, path, sep=";", nullValue="NA", enforceSchema=True)
 
 
 @query
@@ -531,6 +535,64 @@ def sink_table_roundtrip(i: Inputs) -> DataFrame:
     return _read_back(i, df, path, sep=" ", nullValue="NA")
 
 
+@query
+def minmax_footers(i: Inputs) -> DataFrame:
+    return min_max(footer_scan(i.spark, f"{i.t.store.folder}/lineitem.parquet"), "l_suppkey")
+
+
+@query
+def number_text(i: Inputs) -> DataFrame:
+    """Tiny, huge, negative and whole numbers as key text and through both text sinks."""
+    price, line = F.col("l_extendedprice"), F.col("l_linenumber")
+    numbers = i.t.lineitem.select("l_orderkey", "l_linenumber", F.when(line == 1, price * 1e15)
+                                  .when(line == 2, price / 1e20).when(line == 3, -price * 1e-8)
+                                  .when(line == 4, F.floor(price).cast("double"))
+                                  .when(line == 5, price * 1e30).otherwise(price).alias("number"))
+    keyed = numbers.withColumn("key", key_of(numbers, ["l_linenumber", "number"]))
+    found = []
+    for form, write, options in (("csv", writers.write_csv, {"nullValue": ""}),
+                                 ("csv2", writers.write_csv2, {"sep": ";", "nullValue": "NA"})):
+        path = fresh_path(i.spark, form)
+        write(keyed, path)
+        texts = keyed.withColumn("number", F.lit(""))
+        found.append(_read_back(i, texts, path, **options).withColumn("form", F.lit(form)))
+    return reshape.stack_same(*found)
+
+
+@query
+def slicer_links(i: Inputs) -> DataFrame:
+    """Exported slicer joined to the exported participants: the traits agree row by row."""
+    paths = dashboard.export_dashboard(i.cases, i.current, i.participants, ["dwellingid"],
+                                       fresh_path(i.spark, "star-links"), "csv")
+
+    def table(name: str) -> DataFrame:
+        return i.spark.read.options(header=True, quote='"', escape='"').csv(paths[name])
+
+    slicer, people = table("participant_demographics_slicer"), table("participant_details")
+    traits = list(v.SLICER_LABELS)
+    own = F.create_map(*[x for t in traits for x in (F.lit(t), F.col(t))])
+    linked = slicer.join(people, "slicer_ID")
+    return linked.filter(F.col("value").eqNullSafe(own[F.col("variable")])).select(
+        "participant_key2", "variable", "value", "valuelabel")
+
+
+@query
+def star_export_content(i: Inputs) -> DataFrame:
+    """Stage counts and fact of the exported star, read back by value."""
+    paths = dashboard.export_dashboard(i.cases, i.current, i.participants, ["dwellingid"],
+                                       fresh_path(i.spark, "star-content"))
+    return i.spark.read.parquet(paths["visio_screener_process"])
+
+
+@query
+def freq_large_integers(i: Inputs) -> DataFrame:
+    """Levels beyond the whole numbers a double can hold, of both signs."""
+    base = F.col("l_linenumber").cast("long")
+    sign = F.when(F.col("l_returnflag") == "N", F.lit(-1)).otherwise(F.lit(1))
+    return frequency(i.t.lineitem.select(
+        (sign * (F.lit(99999999999999990) + base)).alias("large")), "large")
+
+
 @query
 def star_export(i: Inputs) -> DataFrame:
     paths = dashboard.export_dashboard(i.cases, i.current, i.participants, ["dwellingid"],

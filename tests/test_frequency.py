@@ -1,5 +1,7 @@
 """Frequency tables by hand, and the long path against the short one."""
 
+from decimal import Decimal
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -48,13 +50,21 @@ def test_all_missing(spark):
     }
 
 
-def test_long_lists_of_levels_are_added_up_in_parts(spark, monkeypatch):
+def test_levels_added_up_in_parts_equal_one_task(spark):
     df = spark.range(5000).select((F.col("id") % 1234).alias("a"),
                                   F.when(F.col("id") % 3 > 0, F.col("id") % 77).cast("string")
                                   .alias("b"))
-    short = table(fr.frequency(df, ["a", "b"]))
-    monkeypatch.setattr(fr, "ONE_TASK_LEVELS", 0)
-    assert table(fr.frequency(df, ["a", "b"])) == short
+    assert table(fr.frequency(df, ["a", "b"])) == table(fr.frequency(df, ["a", "b"], few_levels=True))
+
+
+def test_numbers_that_a_double_cannot_tell_apart_keep_their_order(spark):
+    base = 10 ** 17
+    whole = [base - 1, base, base + 1, -base + 1, -base, -base - 1]
+    df = spark.createDataFrame([(x, Decimal(x) / 10 ** 3, float(x)) for x in whole],
+                               "w long, d decimal(30,3), f double")
+    for name in ("w", "d"):
+        rows = fr.placed_levels(df, [name]).orderBy("cum").select("value").collect()
+        assert [Decimal(r[0]) for r in rows] == sorted(Decimal(x) / (1 if name == "w" else 1000) for x in whole)
 
 
 def test_masked_keeps_unknown_as_missing(spark):

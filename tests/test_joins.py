@@ -55,6 +55,17 @@ def test_spread_join_really_salts_and_parts_copies(spark):
     got = joins.spread_join(a, b, ["k"], **HOT)
     plan = got._sc._jvm.PythonSQLUtils.explainString(got._jdf.queryExecution(), "simple")
     assert "_left_salt" in plan and got.count() == 400
+    # All copies are in one partition, yet the written hot rows carry many salts.
+    alike = spark.createDataFrame([(7, 0)] * 4000, "k int, a int").coalesce(1)
+    counted = joins.spread_join(alike, b, ["k"], **(HOT | {"rows_per_split": 100}))
+    assert counted.count() == 4000
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert counted.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     cold = joins.spread_join(a, b, ["k"])
     plan = cold._sc._jvm.PythonSQLUtils.explainString(cold._jdf.queryExecution(), "simple")
     assert "_left_salt" not in plan
