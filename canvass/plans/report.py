@@ -11,8 +11,14 @@ from canvass.operators.dedup import prefer_worked
 from canvass.operators.flags import Flag, binary, in_codes, share, with_flags
 from canvass.operators.joins import spread_join
 from canvass.operators.keys import place_keys, with_keys
+from canvass.operators.summary import code_totals
 from canvass.plans.screener import report_screener_flags
+from canvass.sinks.writers import write_csv, write_csv2, write_table
 
+PLACE = ("SDASTAND", "SDASEGMT", "SDASERAL")
+# The health table of each question, as the report's files are called.
+HEALTH_FILES = {"gen_health": "SCQ600", "meds": "SCQ610", "qmeds": "SCQ620", "dia": "SCQ630",
+                "htn": "SCQ640"}
 PERSON_KEY = ("SDASTAND", "SDASEGMT", "SDASERAL", "SCAFAMNO", "SCAPERSN")
 
 
@@ -94,3 +100,34 @@ def deduplicated_history(history: DataFrame) -> DataFrame:
 def cases_with_history(cases: DataFrame, history: DataFrame) -> DataFrame:
     """Cases with their deduplicated history record."""
     return spread_join(cases, deduplicated_history(history), ["SCACASE"], right_unique=True)
+
+
+def with_place_keys(df: DataFrame) -> DataFrame:
+    """Dwellings or participants of the report with their segment and dwelling keys."""
+    return with_keys(df, place_keys(*PLACE))
+
+
+def export_report(cases: DataFrame, persons: DataFrame, history: DataFrame,
+                  participants: DataFrame, dwellings: DataFrame, folder: str) -> dict[str, str]:
+    """Write the report's tables to folders under ``folder``; returns where each went.
+
+    ``cases`` are those with person and family flags, ``persons`` those with appointments,
+    ``history`` the cases with their history record. Row names follow the key columns.
+    """
+    keys = ["SCACASE"]
+    plans = {
+        "ri7": (write_csv2, cases, keys),
+        "ri1a": (write_csv2, persons, ["SP_ID"]),
+        "ri7_sam_case_k": (write_csv, with_place_keys(history), keys),
+        "sc3_sam_part_k": (write_table, with_place_keys(participants), [*PLACE, "SCAPARTN"]),
+        "sc2_DU_k": (write_table, with_place_keys(dwellings), list(PLACE)),
+    }
+    asked = {q: v.HEALTH_QUESTIONS[q] for q in HEALTH_FILES.values()}
+    for name, question in HEALTH_FILES.items():
+        totals = code_totals(dwellings, "SDASTAND", {question: asked[question]})
+        plans[name] = (write_csv2, totals, ["Stand", "value"])
+    plans["healthq"] = (write_csv2, code_totals(dwellings, "SDASTAND", asked), ["var", "Stand", "value"])
+    paths = {name: f"{folder}/{name}" for name in plans}
+    for name, (write, df, order) in plans.items():
+        write(df, paths[name], row_names=order)
+    return paths

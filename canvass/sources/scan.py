@@ -90,10 +90,18 @@ class JdbcStore:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.format("jdbc").options(**self.reader_options(name)).load()
 
-    def query(self, sql: str) -> DataFrame:
-        """Rows of a query that the database itself runs (joins stay on its side)."""
-        options = {"url": self.url, "query": sql, **self.options}
-        return self.spark.read.format("jdbc").options(**options).load()
+    def query_options(self, sql: str, split: tuple[str, int, int, int] | None = None) -> dict[str, str]:
+        chosen = {"url": self.url, "dbtable": f"({sql}) pushed", **self.options}
+        if split:
+            column, low, high, reads = split
+            chosen |= {"partitionColumn": column, "lowerBound": str(low), "upperBound": str(high),
+                       "numPartitions": str(reads)}
+        return chosen
+
+    def query(self, sql: str, split: tuple[str, int, int, int] | None = None) -> DataFrame:
+        """Rows of a query that the database itself runs (joins stay on its side), read in
+        parts by a column of the result if ``split`` is given: (column, low, high, reads)."""
+        return self.spark.read.format("jdbc").options(**self.query_options(sql, split)).load()
 
 
 def scan(store, mapping: TableMap | str, where: Column | None = None) -> DataFrame:

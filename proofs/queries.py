@@ -535,6 +535,27 @@ def sink_table_roundtrip(i: Inputs) -> DataFrame:
     return _read_back(i, df, path, sep=" ", nullValue="NA")
 
 
+@query
+def report_export(i: Inputs) -> DataFrame:
+    """Health tables of the exported report, and how many rows its other tables have."""
+    paths = report.export_report(
+        i.person_report, report.appointment_flags(i.survey("person"), i.survey("appointment")),
+        report.cases_with_history(i.survey(mappings.REPORT_CASE), i.survey(mappings.CASE_HISTORY)),
+        i.survey(mappings.REPORT_PARTICIPANT), i.survey(mappings.DWELLING_UNIT),
+        fresh_path(i.spark, "report"))
+    found = []
+    for name, path in paths.items():
+        sep = {"ri7_sam_case_k": ",", "sc3_sam_part_k": " ", "sc2_DU_k": " "}.get(name, ";")
+        rows = i.spark.read.options(header=True, quote='"', escape='"', sep=sep, nullValue="NA").csv(path)
+        if name in (*report.HEALTH_FILES, "healthq"):
+            found.append(rows.select(F.lit(name).alias("table"), "Stand", "value", "x", "var"))
+        else:
+            found.append(rows.agg(F.count(F.lit(1)).cast("string").alias("x")).select(
+                F.lit(name).alias("table"), F.lit(None).cast("string").alias("Stand"),
+                F.lit(None).cast("string").alias("value"), "x", F.lit(None).cast("string").alias("var")))
+    return reshape.stack_same(*found)
+
+
 @query
 def minmax_footers(i: Inputs) -> DataFrame:
     return min_max(footer_scan(i.spark, f"{i.t.store.folder}/lineitem.parquet"), "l_suppkey")

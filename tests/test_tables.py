@@ -162,6 +162,9 @@ def test_jdbc_options_split_the_read(spark):
     assert store.reader_options("case") == {
         "url": "jdbc:x", "dbtable": "case", "driver": "d", "partitionColumn": "SDASTAND",
         "lowerBound": "1", "upperBound": "900", "numPartitions": "64"}
+    assert store.query_options("SELECT a FROM t", ("a", 1, 9, 4)) == {
+        "url": "jdbc:x", "dbtable": "(SELECT a FROM t) pushed", "driver": "d", "partitionColumn": "a",
+        "lowerBound": "1", "upperBound": "9", "numPartitions": "4"}
     assert store.reader_options("other") == {"url": "jdbc:x", "dbtable": "other", "driver": "d"}
 
 
