@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 from canvass import vocabulary as v
 from canvass.functions.dates import epoch_to_zone, to_zone
 from canvass.functions.na import cascade
-from canvass.operators.joins import spread_join
+from canvass.operators.joins import join, spread_join
 from canvass.operators.keys import place_keys, typed_participant_key, with_keys
 from canvass.operators.reshape import stack_same
 
@@ -30,14 +30,17 @@ def _in_report_zone(current: DataFrame) -> DataFrame:
     return current.withColumn("case_date", shown)
 
 
-def with_current_status(cases: DataFrame, current: DataFrame, **spread) -> DataFrame:
-    """Add date, disposition, interviewer and address of the current case record."""
-    return spread_join(cases, _in_report_zone(current), ["caseid"], take={
+def with_current_status(cases: DataFrame, current: DataFrame) -> DataFrame:
+    """Add date, disposition, interviewer and address of the current case record.
+
+    There is one current record per case, so a plain join does.
+    """
+    return join(cases, _in_report_zone(current), ["caseid"], take={
         "case_date": "curr_case_date",
         "case_disposition": "case_disposition",
         "employee_id": "employee_id",
         "case_ip_address": "case_ip_address",
-    }, **spread)
+    })
 
 
 def with_case_keys(cases: DataFrame) -> DataFrame:

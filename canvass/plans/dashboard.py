@@ -39,7 +39,7 @@ def dashboard_fact(cases: DataFrame, current: DataFrame, **spread) -> DataFrame:
     independent, and this way the dwelling join reads only the case table.
     """
     propagated = propagate_participant(with_case_keys(cases), **spread)
-    current_status = with_current_status(propagated, current, count_on=cases, **spread)
+    current_status = with_current_status(propagated, current)
     return with_star_key(screener_flags(current_status))
 
 

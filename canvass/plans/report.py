@@ -9,12 +9,14 @@ from canvass import vocabulary as v
 from canvass.functions.dates import clock, day
 from canvass.operators.dedup import prefer_worked
 from canvass.operators.flags import Flag, binary, in_codes, share, with_flags
-from canvass.operators.joins import spread_join
+from canvass.operators.joins import join
 from canvass.operators.keys import place_keys, with_keys
 from canvass.operators.summary import code_totals
 from canvass.plans.screener import report_screener_flags
 from canvass.sinks.writers import write_csv, write_csv2, write_table
 
+# The joins here meet one row per key on one side at least, so no key multiplies; a key with many
+# rows on the left is split by the adaptive planner.
 PLACE = ("SDASTAND", "SDASEGMT", "SDASERAL")
 # The health table of each question, as the report's files are called.
 HEALTH_FILES = {"gen_health": "SCQ600", "meds": "SCQ610", "qmeds": "SCQ620", "dia": "SCQ630",
@@ -29,7 +31,7 @@ def with_date_and_time(df: DataFrame, moment: str, date: str = "date", time: str
 
 def report_cases(cases: DataFrame, current: DataFrame) -> DataFrame:
     """Cases with all current-case columns, place keys and screener lines."""
-    joined = spread_join(cases, current, [("SCACASE", "case_id")], take=current.columns)
+    joined = join(cases, current, [("SCACASE", "case_id")], take=current.columns)
     keyed = with_keys(joined, place_keys("SDASTAND", "SDASEGMT", "SDASERAL"))
     return report_screener_flags(keyed)
 
@@ -41,12 +43,9 @@ def selected_person_flag(persons: DataFrame) -> DataFrame:
     ])
 
 
-def person_and_family_flags(cases: DataFrame, persons: DataFrame,
-                            count_on: DataFrame | None = None) -> DataFrame:
+def person_and_family_flags(cases: DataFrame, persons: DataFrame) -> DataFrame:
     """Interview lines of sampled persons and families, from report cases and persons.
 
-    ``count_on`` may name the case table itself, which is cheaper to count keys on.
-
     A missing disposition counts as pending, since only listed codes close a questionnaire.
     Key columns of the person table repeat those of the case and are not carried twice.
     """
@@ -61,7 +60,7 @@ def person_and_family_flags(cases: DataFrame, persons: DataFrame,
         share("family_q_pending", family, ~disposition(v.QUESTIONNAIRE_CLOSED)),
         binary("Families_ID", family),
     ]
-    joined = spread_join(cases, persons, PERSON_KEY, count_on=count_on)
+    joined = join(cases, persons, PERSON_KEY)
     joined = with_date_and_time(joined, "STAINTDT")
     # An unknown disposition is neither completed nor not, unlike in the pending lines.
     open_or_selected = in_codes("SCQCK305", (*v.SELECTED, None))
@@ -81,7 +80,7 @@ def person_and_family_flags(cases: DataFrame, persons: DataFrame,
 def appointment_flags(persons: DataFrame, appointments: DataFrame) -> DataFrame:
     """Persons with their exam appointments (a row per appointment) and what became of them."""
     exams = appointments.filter(F.col("appt_type") == v.EXAM_APPOINTMENT)
-    joined = spread_join(persons, exams, ["SP_ID"])
+    joined = join(persons, exams, ["SP_ID"])
     sampled = (F.col("RIAPCODE") == v.IN_HOUSEHOLD) & in_codes("SCQCK305", v.SELECTED)
     status = F.col("appt_status")
     return with_flags(joined, [
@@ -99,7 +98,7 @@ def deduplicated_history(history: DataFrame) -> DataFrame:
 
 def cases_with_history(cases: DataFrame, history: DataFrame) -> DataFrame:
     """Cases with their deduplicated history record."""
-    return spread_join(cases, deduplicated_history(history), ["SCACASE"], right_unique=True)
+    return join(cases, deduplicated_history(history), ["SCACASE"])
 
 
 def with_place_keys(df: DataFrame) -> DataFrame:

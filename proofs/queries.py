@@ -73,8 +73,7 @@ class Inputs:
 
     @property
     def person_report(self) -> DataFrame:
-        return report.person_and_family_flags(self.report_cases, self.survey("person"),
-                                              count_on=self.survey("case"))
+        return report.person_and_family_flags(self.report_cases, self.survey("person"))
 
 
 def query(function: Callable[[Inputs], DataFrame]) -> Callable[[Inputs], DataFrame]:
