@@ -37,7 +37,8 @@ REACH = Fraction(3, 2)
 MOST_PASSES = 2
 BLOCK = 64
 SHARD_SLOTS = 1024
-GROUP_ROWS = 4096
+SLOTS_A_TASK = 200_000
+GROUP_ROWS = 1024
 ROUNDS = 16
 SEED = 20240607
 MAX_SOURCES = 20_000
@@ -187,7 +188,9 @@ def permuted(x: Column, size: Column, *keys: Column) -> Column:
 def slots(sources: DataFrame) -> DataFrame:
     """(shard, k, t, block): every slot of the mix with the block it takes; ``t`` counts the source's slots."""
     sizes = sources.select("k", "blocks")
-    flat = drawn(sources).select("shard", "k", F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)).alias("t"))
+    drawn_slots = drawn(sources)
+    total = sources.agg(F.sum("quota")).first()[0] or 0
+    flat = drawn_slots.repartition(max(1, total // SLOTS_A_TASK), "shard").select("shard", "k", F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)).alias("t"))
     return flat.join(sizes, "k").select("shard", "k", "t", permuted(
         F.pmod("t", "blocks"), F.col("blocks"), F.col("k"), F.floor(F.col("t") / F.col("blocks"))).alias("block"))
 
