@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from llm.texts import small_batches, table
+from llm.texts import released, small_batches, table
 from llm.written import written
 
 SCALE = 64
@@ -66,7 +66,7 @@ def whole_vectors(rows: DataFrame, id_column: str, vector: str, scale: int = SCA
 
     small_batches(rows.sparkSession, 4096)
     kept = rows.select(F.col(id_column).cast("long"), F.col(vector).cast("array<double>"))
-    return kept.mapInArrow(run, "vec_id long, v binary, length double, d int").dropDuplicates(["vec_id", "v"])
+    return kept.mapInArrow(released(run), "vec_id long, v binary, length double, d int").dropDuplicates(["vec_id", "v"])
 
 
 def rotation(vectors: DataFrame, d: int) -> tuple[np.ndarray, int]:
@@ -86,7 +86,7 @@ def rotation(vectors: DataFrame, d: int) -> tuple[np.ndarray, int]:
         total = sum(np.frombuffer(r, np.float64) for r in frame["row"])
         return pd.DataFrame({"i": [key[0]], "row": [total.tobytes()]})
 
-    rows = vectors.select("v").mapInArrow(outer, "i int, row binary").groupBy("i").applyInPandas(add, "i int, row binary")
+    rows = vectors.select("v").mapInArrow(released(outer), "i int, row binary").groupBy("i").applyInPandas(add, "i int, row binary")
     gram = np.zeros((d, d))
     for row in rows.collect():  # d rows of d numbers
         gram[row["i"]] = np.frombuffer(row["row"], np.float64)
@@ -129,8 +129,7 @@ def blocks(vectors: DataFrame, count: int, size: int, d: int, name: str) -> Data
         if ids:
             yield close()
 
-    return written(rows.select("vec_id", "v", "length").mapInArrow(
-        pack, "block long, longest double, n int, ids binary, data binary"), name)
+    return written(rows.select("vec_id", "v", "length").mapInArrow(released(pack), "block long, longest double, n int, ids binary, data binary"), name)
 
 
 def exact(q: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -227,18 +226,19 @@ def search(rows: DataFrame, is_query: Column, k: int = TOP, id_column: str = "ve
                     ["q_block", "floor", "reach", "query_id", "vec_id", "score"])
 
     result = "q_block long, floor binary, reach double, query_id array<long>, vec_id array<long>, score array<long>"
-    longest = candidates.where("block = 0").select("ids", "data", F.lit(1).alias("one"))
-    start = queries.withColumn("one", F.lit(1)).join(longest, "one").select(
+    def meet(asked_blocks: DataFrame, numbers: list[int], others: DataFrame) -> DataFrame:
+        return asked_blocks.withColumn("block", F.explode(F.array(*map(F.lit, numbers)))).join(others, "block")
+
+    start = meet(queries, [0], candidates.where("block = 0")).select(
         "q_block", "q_ids", "q_data", F.lit(None).cast("binary").alias("floor"), "ids", "data")
-    first = written(start.repartition("q_block").mapInArrow(pair, result), "first")
+    first = written(start.repartition("q_block").mapInArrow(released(pair), result), "first")
     rest = candidates.where("block <> 0")
     names = [r["block"] for r in rest.select("block").collect()]  # one number a block
     found = first.select("query_id", "vec_id", "score")
     if names:
-        meet = queries.join(first.select("q_block", "floor", "reach"), "q_block").withColumn(
-            "block", F.explode(F.array(*map(F.lit, names)))).join(rest, "block").where(
-            F.col("longest") * (1 + 1e-9) >= F.col("reach"))
-        more = meet.select("q_block", "q_ids", "q_data", "floor", "ids", "data").mapInArrow(pair, result)
+        floors = queries.join(first.select("q_block", "floor", "reach"), "q_block")
+        near = meet(floors, names, rest).where(F.col("longest") * (1 + 1e-9) >= F.col("reach"))
+        more = near.select("q_block", "q_ids", "q_data", "floor", "ids", "data").mapInArrow(released(pair), result)
         found = found.unionByName(more.select("query_id", "vec_id", "score"))
     flat = found.select(F.explode(F.arrays_zip("query_id", "vec_id", "score")).alias("x")).select("x.*")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
