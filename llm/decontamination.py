@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm.texts import LOWER, Chunk, Rolling, apart, chunks, grams, runs, small_batches, table
+from llm.texts import LOWER, Chunk, Rolling, apart, chunks, grams, released, runs, small_batches, table
 from llm.toxicity import WORD
 
 LEAST = 5
@@ -80,8 +80,7 @@ def seeds(rows: DataFrame, key: str, text: str, lengths: dict[int, np.ndarray |
                                                   pa.array(at.astype(np.int32)))],
                         ["key", "words", "k", "hash", "at"])
 
-    return rows.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(
-        cut, "key long, words int, k int, hash long, at array<int>")
+    return rows.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text")).mapInArrow(released(cut), "key long, words int, k int, hash long, at array<int>")
 
 
 def bitmaps(item_seeds: DataFrame) -> dict[int, np.ndarray]:
@@ -163,7 +162,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", coverage:
                 "coverage": np.asarray(covered, float) / frame["item_words"].to_numpy(),
                 "tiles": [[{"doc_word": a, "item_word": b, "words": n} for a, b, n in t] for t in tiles]})
 
-    tiled = pairs.mapInPandas(run, "key long, item long, item_words int, covered int, coverage double,"
+    tiled = pairs.mapInPandas(released(run), "key long, item long, item_words int, covered int, coverage double,"
                                    " tiles array<struct<doc_word:int,item_word:int,words:int>>")
     found = tiled.where(F.col("coverage") >= coverage)
     ids = rows.select("key", "doc_id").distinct()

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm.texts import small_batches, table
+from llm.texts import released, small_batches, table
 
 LEAST_SHARE = 0.3
 MAIN_SHARE = 0.6
@@ -236,7 +236,7 @@ def token_counts(pages: DataFrame, id_column: str = "page_id", url: str = "url",
 
     small_batches(pages.sparkSession, 200)
     rows = pages.select(F.col(id_column).cast("string"), F.col(url).cast("string"), F.col(page).cast("string"))
-    parts = rows.mapInArrow(count, "host string, token string, pages long, n long, vector long, chars long,"
+    parts = rows.mapInArrow(released(count), "host string, token string, pages long, n long, vector long, chars long,"
                                    " links long, least long, most long")
     return parts.groupBy("host", "token").agg(
         *(F.sum(c).alias(c) for c in ("pages", "n", "vector", "chars", "links")),
@@ -301,7 +301,7 @@ def extract(pages: DataFrame, id_column: str = "page_id", url: str = "url", page
 
     small_batches(spark, 200)
     names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema.fields[:5])
-    return joined.mapInArrow(run, f"{names}, text string")
+    return joined.mapInArrow(released(run), f"{names}, text string")
 
 
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm.texts import Chunk, Rolling, apart, chunks, grams, mixed, small_batches, table, words
+from llm.texts import Chunk, Rolling, apart, chunks, grams, mixed, released, small_batches, table, words
 from llm.written import written
 
 WORDS = 5
@@ -135,7 +135,7 @@ def described(docs: DataFrame, text: str, turns: int) -> DataFrame:
 
     rows = docs.select("doc_id", document_key(text).alias("key"), F.col(text).cast("string"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, key long, text_id binary, size int, nodes array<long>, sketch array<int>")
+    return rows.mapInArrow(released(run), f"doc_id {kind}, key long, text_id binary, size int, nodes array<long>, sketch array<int>")
 
 
 def document_key(text: str = "text") -> Column:
@@ -173,7 +173,7 @@ def _sets_of(docs: DataFrame, keys: DataFrame, text: str) -> DataFrame:
                 at += chunk.size
 
     rows = docs.select(document_key(text).alias("key"), F.col(text).cast("string"))
-    return rows.mapInArrow(run, "key long, shingles binary").join(keys.select("key").distinct(), "key", "left_semi"
+    return rows.mapInArrow(released(run), "key long, shingles binary").join(keys.select("key").distinct(), "key", "left_semi"
                                                                   ).dropDuplicates(["key"])
 
 
@@ -229,7 +229,7 @@ def _split(docs: DataFrame, more: DataFrame, text: str) -> DataFrame:
                 out.append(np.concatenate([chosen(s, np.uint64(p & (1 << 64) - 1)) for p in parents]).view(np.int64))
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], _lists(out)], [*batch.schema.names[:4], "nodes"])
 
-    return joined.mapInArrow(run, "text_id binary, key long, size int, sketch array<int>, nodes array<long>").select(
+    return joined.mapInArrow(released(run), "text_id binary, key long, size int, sketch array<int>, nodes array<long>").select(
         "text_id", "key", "size", "sketch", F.explode("nodes").alias("node"))
 
 
@@ -337,7 +337,7 @@ def links(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD, rec
             yield close(cell, held)
 
     small_batches(docs.sparkSession, 500)
-    found = written(ready.mapInArrow(run, "text_id binary, documents long, texts long, other binary"), "compared")
+    found = written(ready.mapInArrow(released(run), "text_id binary, documents long, texts long, other binary"), "compared")
     counts = found.groupBy("text_id").agg(F.sum("documents").alias("documents"), F.sum("texts").alias("texts"))
     forest = found.where("text_id <> other").select("text_id", "other").distinct()
     return rows.join(texts.select("text_id", "weight"), "text_id", "left"), counts, forest

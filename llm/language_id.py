@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm.texts import CHUNK_BYTES, LOWER, Chunk, chunks, fold, runs, small_batches, table
+from llm.texts import CHUNK_BYTES, LOWER, Chunk, chunks, fold, released, runs, small_batches, table
 
 BUCKETS = 1 << 16
 MAX_LANGUAGES = 2048
@@ -72,7 +72,7 @@ def trigram_counts(docs: DataFrame, text: str = "text", lang: str = "lang") -> D
     small_batches(docs.sparkSession)
     parts = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
         F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang")
-    ).mapInArrow(count, "lang string, bucket int, n long")
+    ).mapInArrow(released(count), "lang string, bucket int, n long")
     return parts.groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
@@ -182,8 +182,7 @@ def predict(docs: DataFrame, names: list[str], logs: np.ndarray, text: str = "te
 
     columns = docs.select(*keep, F.col(text).cast("string").alias("__text"))
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in columns.schema.fields[:-1])
-    return columns.mapInArrow(
-        run, f"{kept}, lang_pred string, score double, mixture array<struct<lang:string,share:double>>")
+    return columns.mapInArrow(released(run), f"{kept}, lang_pred string, score double, mixture array<struct<lang:string,share:double>>")
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm.texts import SPACES, Chunk, Rolling, chunks, fold, runs, small_batches, table, words
+from llm.texts import SPACES, Chunk, Rolling, chunks, fold, released, runs, small_batches, table, words
 from llm.written import written
 
 STATISTICS = (
@@ -115,7 +115,7 @@ def described(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str =
 
     rows = docs.select(*keep, F.col(text).cast("string").alias("__text"))
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(run, f"{kept}, x array<double>")
+    return rows.mapInArrow(released(run), f"{kept}, x array<double>")
 
 
 def moments(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -134,7 +134,7 @@ def moments(rows: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(sums.ravel())], ["place", "value"])
 
     total = np.zeros(2 * (1 + d + d * d))
-    for row in rows.select("y", "x").mapInArrow(add, "place long, value double").groupBy("place").agg(
+    for row in rows.select("y", "x").mapInArrow(released(add), "place long, value double").groupBy("place").agg(
             F.sum("value").alias("value")).collect():
         total[row["place"]] = row["value"]
     total = total.reshape(2, -1)
@@ -176,7 +176,7 @@ def score(rows: DataFrame, model: list[tuple] | float) -> DataFrame:
     kept = [c for c in rows.columns if c != "x"]
     rows = rows.select(*kept, "x")
     names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(run, f"{names}, score double")
+    return rows.mapInArrow(released(run), f"{names}, score double")
 
 
 def learn(rows: DataFrame, labels: DataFrame, label: str = "quality") -> list[tuple] | float:

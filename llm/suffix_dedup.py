@@ -32,7 +32,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm.texts import Chunk, Rolling, apart, chunks, mixed, small_batches, table
+from llm.texts import Chunk, Rolling, apart, chunks, mixed, released, small_batches, table
 from llm.written import drop_written, written
 
 LENGTH = 100
@@ -41,7 +41,7 @@ CELL = 8
 MAP_BITS = 27
 PIECE = 1 << 23
 PLACE_BITS = 24
-HELD = 1 << 20
+HELD = 1 << 19
 NODE = "rank long, inner long, doc_id long, key long, at int, low short, high short"
 
 
@@ -155,8 +155,8 @@ def repeated_seeds(docs: DataFrame, text: str, length: int, seed: int) -> np.nda
         if held:
             yield close()
 
-    sent = docs.select(F.col(text).cast("string")).mapInArrow(send, "part int, ranks binary")
-    slices = sent.repartition("part").sortWithinPartitions("part").mapInArrow(count, "part int, bits binary")
+    sent = docs.select(F.col(text).cast("string")).mapInArrow(released(send), "part int, ranks binary")
+    slices = sent.repartition("part").sortWithinPartitions("part").mapInArrow(released(count), "part int, bits binary")
     out = np.zeros(1 << (MAP_BITS - 3), np.uint8)
     width = 1 << (MAP_BITS - 3 - bits)
     for row in slices.toLocalIterator():  # 2**(MAP_BITS - 3) bytes in all
@@ -224,8 +224,7 @@ def first_round(docs: DataFrame, text: str, length: int, seed: int) -> tuple[Dat
             yield from flush()
 
     names = ["rank", "inner", "doc_id", "key", "at", "low", "high", "starts", "ends"]
-    rows = written(_places(docs, text).mapInArrow(
-        run, f"{NODE}, starts array<int>, ends array<int>"), "segments")
+    rows = written(_places(docs, text).mapInArrow(released(run), f"{NODE}, starts array<int>, ends array<int>"), "segments")
     return (rows.where("starts is null").drop("starts", "ends"),
             rows.where("starts is not null").select("key", F.explode(F.arrays_zip("starts", "ends")).alias("x")).select(
                 "key", F.col("x.starts").alias("start"), F.col("x.ends").alias("end")), rows)
@@ -293,7 +292,7 @@ def texts_of(docs: DataFrame, keys: DataFrame, text: str) -> DataFrame:
             yield batch.filter(pa.array(_may_be(batch.column(1).to_numpy(zero_copy_only=False), shared.value)))
 
     small_batches(docs.sparkSession)
-    return _places(docs, text).mapInArrow(run, "doc_id long, key long, text string")
+    return _places(docs, text).mapInArrow(released(run), "doc_id long, key long, text string")
 
 
 def next_round(docs: DataFrame, todo: DataFrame, text: str, length: int, cell: int) -> DataFrame:
@@ -330,7 +329,7 @@ def next_round(docs: DataFrame, todo: DataFrame, text: str, length: int, cell: i
                         ["rank", "inner", "doc_id", "key", "at", "low", "high"])
 
     small_batches(docs.sparkSession)
-    return written(joined.mapInArrow(run, NODE), "nodes")
+    return written(joined.mapInArrow(released(run), NODE), "nodes")
 
 
 def removed_ranges(docs: DataFrame, text: str = "text", length: int = LENGTH, seed: int = SEED) -> DataFrame:
@@ -386,11 +385,11 @@ def _cut(docs: DataFrame, ranges: DataFrame, keep: list[str], text: str, finish:
                 [*batch.columns[:n], *(pa.array([h[i] for h in held], t) for i, t in enumerate(types))], [*keep, *fields])
 
     small_batches(spark)
-    parts = rows.mapInArrow(split, f"{kept + ', ' if kept else ''}__key long, __text string, {names}")
+    parts = rows.mapInArrow(released(split), f"{kept + ', ' if kept else ''}__key long, __text string, {names}")
     joined = parts.join(ranges.withColumnRenamed("key", "__key"), "__key", "left")
     whole = joined.where("__text is null").select(*keep, *fields)
     loses = joined.where("__text is not null").select(*keep, "__text", "ranges")
-    return whole.unionByName(loses.mapInArrow(close, f"{kept + ', ' if kept else ''}{names}"))
+    return whole.unionByName(loses.mapInArrow(released(close), f"{kept + ', ' if kept else ''}{names}"))
 
 
 def without(data: bytes, ranges: np.ndarray) -> bytes:

@@ -27,7 +27,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm.texts import LOWER, Chunk, Rolling, apart, chunks, fold, grams, mixed, runs, small_batches, table
+from llm.texts import (
+    LOWER,
+    Chunk,
+    Rolling,
+    apart,
+    chunks,
+    fold,
+    grams,
+    mixed,
+    released,
+    runs,
+    small_batches,
+    table,
+)
 
 BITS = 20
 TRAIN_ROWS = 16384
@@ -125,12 +138,11 @@ def learn(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "
         yield pd.DataFrame({"place": at, "w": w[at], "shards": np.where(at == len(w) - 1, 1, 0)})
 
     picked = labelled_sample(docs.select("doc_id", F.col(text).cast("string").alias("text")), labels, label, bound)
-    rows = picked.select(F.col("doc_id").cast("string"), "y", "text").mapInArrow(
-        hashed, "doc_id string, y int, x binary")
+    rows = picked.select(F.col("doc_id").cast("string"), "y", "text").mapInArrow(released(hashed), "doc_id string, y int, x binary")
     order = F.xxhash64("doc_id", "x")
     dealt = rows.select("y", "x", order.alias("order")).repartition(
         SHARDS, F.pmod(F.shiftright(order, 7), F.lit(SHARDS)))
-    learned = dealt.mapInPandas(shard, "place long, w double, shards int").groupBy("place").agg(
+    learned = dealt.mapInPandas(released(shard), "place long, w double, shards int").groupBy("place").agg(
         F.sum("w").alias("w"), F.sum("shards").alias("shards")).toPandas()
     if not len(learned):
         return np.zeros(0, np.int64), np.zeros(0)
@@ -162,7 +174,7 @@ def score(docs: DataFrame, places: np.ndarray, values: np.ndarray, keep: tuple[s
     extra = [] if text in keep else [F.col(text).cast("string").alias("__text")]
     rows = docs.select(*(F.col(f"`{c}`") for c in keep), *extra)
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:len(keep)])
-    return rows.mapInArrow(run, f"{kept}, score double")
+    return rows.mapInArrow(released(run), f"{kept}, score double")
 
 
 def clean(docs: DataFrame, labels: DataFrame, text: str = "text", limit: float = 0.5) -> DataFrame:
