@@ -201,7 +201,7 @@ def leaves(docs: DataFrame, texts: DataFrame, text: str) -> DataFrame:
         met = written(rows.join(counted, "node"), "met")
         small = met.where(F.col("n") <= SMALL)
         large = met.where(F.col("n") > SMALL)
-        if depth + 1 == MAX_DEPTH or not counted.where(F.col("n") > SMALL).limit(1).count():
+        if depth + 1 == MAX_DEPTH or large.isEmpty():
             done, more = met, None
         else:
             alike = written(_alike(large), "alike")
@@ -209,9 +209,11 @@ def leaves(docs: DataFrame, texts: DataFrame, text: str) -> DataFrame:
             more = large.join(alike, "node", "left_anti")
         done = done.select("node", "text_id", "n", "tokens", "members")
         ended = done if ended is None else ended.unionByName(done)
-        if more is None or not more.limit(1).count():
+        if more is None:
             break
         more = written(more.groupBy("text_id", "key", "size", "sketch").agg(F.collect_list("node").alias("parents")), "more")
+        if more.isEmpty():
+            break
         rows = written(_split(docs, more, text), "split")
     first = ended.groupBy("n", "members").agg(F.min("node").alias("node")).select("node")
     return written(ended.drop("members").join(first, "node", "left_semi"), "leaves")
@@ -361,18 +363,18 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """(doc_id, key, class_id, n_links, n_texts) of every document: its class's smallest id, and how many
-    other documents (copies included) and other texts link to it."""
+    """(doc_id, key, group, class_id, n_links, n_texts) of every document: its class (null without words) and
+    the class's smallest id, and how many other documents (copies included) and other texts link to it."""
     rows, counts, forest = links(docs, text, threshold, recall)
     labelled = rows.join(counts, "text_id", "left").join(components(forest), "text_id", "left")
     group = F.coalesce("label", "text_id")
     least = labelled.where("text_id is not null").groupBy(group.alias("group")).agg(F.min("doc_id").alias("class_id"))
     some = labelled.where("text_id is not null").withColumn("group", group).join(least, "group").select(
-        "doc_id", "key", "class_id",
+        "doc_id", "key", "group", "class_id",
         (F.coalesce("documents", F.lit(0)) + F.col("weight") - 1).cast("long").alias("n_links"),
         F.coalesce("texts", F.lit(0)).cast("long").alias("n_texts"))
     none = rows.where("text_id is null").select(
-        "doc_id", "key", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"),
+        "doc_id", "key", F.lit(None).cast("binary").alias("group"), F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"),
         F.lit(0).cast("long").alias("n_texts"))
     return some.unionByName(none)
 
@@ -382,11 +384,10 @@ def one_each(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD)
     were. Documents without words stay, each being its own class."""
     docs, back = apart(docs, "doc_id", text)
     found = written(classes(docs, text, threshold), "classes")
-    first = found.groupBy("class_id").agg(F.min(F.struct("doc_id", "key")).alias("first"))
     grouped = found.where("n_links > 0")
-    gone = grouped.join(first, grouped["class_id"].eqNullSafe(first["class_id"])).where(
-        (F.struct("doc_id", "key") != F.col("first")) | F.isnull("doc_id") & (F.col("key") != F.col("first.key"))
-    ).select(F.col("key").alias("__key")).distinct()
+    order = F.struct(F.isnull("doc_id").alias("none"), "doc_id", "key")
+    first = grouped.groupBy("group").agg(F.min(order)["key"].alias("first"))
+    gone = grouped.join(first, "group").where("key <> first").select(F.col("key").alias("__key")).distinct()
     kept = docs.withColumn("__key", document_key(text)).join(gone, "__key", "left_anti")
     again = grouped.groupBy("key").count().where("count > 1").select(F.col("key").alias("__key"))  # equal in id and text
     if again.limit(1).count():
@@ -397,4 +398,4 @@ def one_each(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD)
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class and number of links of every document."""
-    return classes(table(spark, sf_dir, "documents")).drop("key")
+    return classes(table(spark, sf_dir, "documents")).drop("key", "group")
