@@ -60,13 +60,21 @@ WITH RECURSIVE spoken AS (
         WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
         ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END)) AS s
     FROM spoken
-), shingles AS (
-    SELECT doc_id, len(s) AS n, md5(array_to_string(s, '|')) AS set_id, unnest(s) AS shingle FROM sets
-), links AS (
-    SELECT a.doc_id AS x, b.doc_id AS y, any_value(a.set_id) AS sx, any_value(b.set_id) AS sy
-    FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
-    GROUP BY a.doc_id, b.doc_id
-    HAVING count(*) >= 0.8 * (any_value(a.n) + any_value(b.n) - count(*))
+), known AS MATERIALIZED (
+    SELECT doc_id, s, len(s) AS n, md5(array_to_string(s, '|')) AS set_id FROM sets
+), shingles AS MATERIALIZED (
+    SELECT doc_id, hash(shingle) AS h FROM (SELECT doc_id, unnest(s) AS shingle FROM known)
+), shared AS MATERIALIZED (
+    SELECT doc_id, h FROM shingles WHERE h IN (SELECT h FROM shingles GROUP BY h HAVING count(*) > 1)
+), pairs AS MATERIALIZED (
+    SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c
+    FROM shared a JOIN shared b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id
+), similar_pairs AS MATERIALIZED (
+    SELECT p.x, p.y, a.set_id AS sx, b.set_id AS sy
+    FROM pairs p JOIN known a ON a.doc_id = p.x JOIN known b ON b.doc_id = p.y
+    WHERE p.c >= 0.8 * (a.n + b.n - p.c)
+), links AS MATERIALIZED (
+    SELECT x, y, sx, sy FROM similar_pairs UNION ALL SELECT y, x, sy, sx FROM similar_pairs
 ), reached AS (
     SELECT x, y FROM links UNION SELECT r.x, l.y FROM reached r JOIN links l ON r.y = l.x
 ), classes AS (SELECT x, min(y) AS least FROM reached GROUP BY x),
