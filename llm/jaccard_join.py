@@ -35,7 +35,7 @@ WORDS = 5
 THRESHOLD = 0.8
 RECALL = 0.9995
 FAN = 1.6
-SMALL = 256
+SMALL = 1024
 MAX_DEPTH = 6
 TIGHT = 0.65
 SKETCH = 8

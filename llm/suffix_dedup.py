@@ -38,7 +38,7 @@ from llm.written import drop_written, written
 LENGTH = 100
 SEED = 40
 CELL = 8
-MAP_BITS = 27
+MAP_BITS = 25
 PIECE = 1 << 23
 PLACE_BITS = 24
 HELD = 1 << 19
