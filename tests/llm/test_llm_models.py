@@ -150,3 +150,44 @@ def test_spelling_model_is_a_distribution_and_learns():
     known, new = lm_scoring.log10_spelled(model, stretch, seen, pa.array([b"banana", b"qxzjkw"], pa.binary()))
     assert known > new + 3
     assert np.isclose(lm_scoring.blended(np.array([3.0]), np.array([-2.0]), 10, 4, 0.5)[0], math.log10(0.25 + 0.2 * 0.01))
+
+
+def test_scores_follow_word_order_and_counters_grow(spark):
+    rng = np.random.default_rng(5)
+    vocabulary = [f"{a}{b}" for a in ("ka", "lo", "mi", "ne", "pu", "ra") for b in ("den", "fir", "gos", "hul", "tam")]
+    after = {w: rng.choice(vocabulary, 2) for w in vocabulary}
+
+    def fluent(n):
+        said = [vocabulary[0]]
+        while len(said) < n:
+            said.append(str(rng.choice(after[said[-1]])))
+        return said
+
+    rows = [(i, " ".join(fluent(120)), True) for i in range(60)]
+    for i in range(10):
+        said = fluent(60)
+        rows += [(100 + i, " ".join(said), False), (200 + i, " ".join(rng.permutation(said)), False)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, teaches boolean")
+    found = {r["doc_id"]: r["score"] for r in lm_scoring.scores(docs).collect()}
+    assert all(found[100 + i] > found[200 + i] + 10 for i in range(10))  # the same words in another order
+    texts = rng.integers(97, 123, (3000, 100), np.uint8)
+    streams = [lm_scoring.cells(texts[:n].ravel(), np.arange(n) * 100) for n in (300, 3000)]
+    assert len(streams[1].keys) > 5 * len(streams[0].keys)  # no fixed number of places
+    assert len(streams[1].keys) > lm_scoring.CONTEXTS * 1 << 17
+
+
+def test_shards_answer_with_the_counts_of_all_chunks(spark, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "SHARD_BYTES", 40)
+    monkeypatch.setattr(lm_scoring, "CHUNK_BYTES", 60)
+    texts = ["one two three", "two three one", "", "One  two", "three " * 9, "four"] * 3
+    rows = spark.createDataFrame([(i, i % 4 == 3, t) for i, t in enumerate(texts)], "row long, held_out boolean, text string")
+    streams = [" ".join([*t.lower().split(), ""]).encode() for t in texts]
+    data, start = lm_scoring._spelled(pa.array([s for i, s in enumerate(streams) if i % 4 != 3], pa.binary()))
+    whole = lm_scoring.cells(data, start)
+    counts = whole.counted(np.ones(len(data)))
+    found = lm_scoring.answered(lm_scoring.packed_chunks(rows), 400).collect()
+    assert len(found) > 1 and sorted(i for r in found for i in r["rows"]) == list(range(len(texts)))
+    for r in found:
+        data, start = lm_scoring._spelled(pa.array([streams[i] for i in r["rows"]], pa.binary()))
+        mine = lm_scoring.cells(data, start)
+        assert (lm_scoring._unpacked(r["seen"]) == lm_scoring._seen(mine, whole.keys, counts)).all()
