@@ -178,7 +178,7 @@ def test_scores_follow_word_order_and_counters_grow(spark):
 
 def test_shards_answer_with_the_counts_of_all_chunks(spark, monkeypatch):
     monkeypatch.setattr(lm_scoring, "SHARD_BYTES", 40)
-    monkeypatch.setattr(lm_scoring, "CHUNK_BYTES", 60)
+    monkeypatch.setattr(lm_scoring, "PIECE_BYTES", 60)
     texts = ["one two three", "two three one", "", "One  two", "three " * 9, "four"] * 3
     rows = spark.createDataFrame([(i, i % 4 == 3, t) for i, t in enumerate(texts)], "row long, held_out boolean, text string")
     streams = [" ".join([*t.lower().split(), ""]).encode() for t in texts]
