@@ -5,8 +5,9 @@ host that share their occurrence vector (the same counts on the same pages) form
 equivalence class; the vector is held as a sum of hashes of (page, count), so that classes
 come from one grouping, summed in each task first. Classes that many of the host's pages show
 and whose tokens nest are the template. Its slots are the containers: the main slot is the
-deepest one with most of the varying text, and slots that hold the same text everywhere, or
-mostly links, or are named as menus, adverts, comments and the like are left out of it.
+deepest one with most of the varying text, and slots that hold the same text beside
+LEAST_ARTICLES different articles, or are named as menus, adverts, comments and the like are left out of it, and in slots that
+hold mostly links, each block that is mostly links. Copies of one article are one article.
 
 Edge cases: null html counts as empty and gives an empty text; pages without a usable url (or
 alone on their host) are judged by their own structure. Unclosed and stray tags are accepted;
@@ -27,8 +28,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from llm.texts import released, small_batches, table
+from llm.written import written
 
 LEAST_SHARE = 0.3
+LEAST_ARTICLES = 3
 MAIN_SHARE = 0.6
 LINK_SHARE = 0.6
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s>/]*)((?:[^'\">]|\"[^\"]*\"|'[^']*')*+)>|</?[a-zA-Z!?][^>]*>",
@@ -181,16 +184,18 @@ def main_slot(mass: dict[str, float]) -> str:
     return best
 
 
-def main_text(page: str | None, main: str | None = None, left_out: frozenset[str] = frozenset()) -> str:
-    """The article of a page, given its host's main slot and the slots left out of it."""
+def main_text(page: str | None, main: str | None = None, left_out: frozenset[str] = frozenset(),
+              linked_slots: frozenset[str] = frozenset()) -> str:
+    """The article of a page, given its host's main slot, the slots left out of it and those whose links are."""
     found, _ = blocks(page or "")
     if main is None or not any(_within(path, main) for path, _, _ in found):
         mass: dict[str, float] = defaultdict(float)
         for path, text, linked in found:
             mass[path] += len(text) - linked
         main = main_slot(mass)
-    return "\n".join(text for path, text, _ in found if _within(path, main) and not is_chrome(path)
-                     and not any(_within(path, out) for out in left_out))
+    return "\n".join(text for path, text, linked in found if _within(path, main) and not is_chrome(path)
+                     and not any(_within(path, out) for out in left_out)
+                     and not (linked > LINK_SHARE * len(text) and any(_within(path, out) for out in linked_slots)))
 
 
 def token_counts(pages: DataFrame, id_column: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
@@ -244,8 +249,8 @@ def token_counts(pages: DataFrame, id_column: str = "page_id", url: str = "url",
 
 
 def templates(counted: DataFrame) -> DataFrame:
-    """Per host: its main slot, the slots left out, and how many classes and tokens its template
-    has. Only tokens on LEAST_SHARE of the host's pages reach the grouping by host, so a group is at most
+    """Per host: its main slot, the slots with the same text on all pages and those with mostly links, and how many
+    classes and tokens its template has. Only tokens on LEAST_SHARE of the host's pages reach the grouping by host, so a group is at most
     1 / LEAST_SHARE pages' worth of tokens, however many pages the host has."""
     most = counted.groupBy("host").agg(F.max("pages").alias("host_pages"))
     frequent = counted.join(most, "host").where(
@@ -269,37 +274,67 @@ def templates(counted: DataFrame) -> DataFrame:
         mass = {path: (0.05 if path in constant else 1.0) * (t["chars"] - t["links"])
                 for path, t in slots.items() if t["chars"]}
         main = main_slot(mass)
-        pages = {t["token"]: n for t, n in kept}
-        out = [path for path, t in slots.items() if path != main and _within(path, main) and t["chars"]
-               and path.rsplit("/", 1)[-1].split(".")[0] in CONTAINERS - MAIN_TAGS
-               and (path in constant and main not in constant and pages[path] >= 3
-                    or t["links"] > LINK_SHARE * t["chars"])]
-        return pd.DataFrame({"host": [key[0]], "main": [main or None], "left_out": [sorted(out)],
+        inner = {path: t for path, t in slots.items() if path != main and _within(path, main) and t["chars"]
+                 and path.rsplit("/", 1)[-1].split(".")[0] in CONTAINERS - MAIN_TAGS}
+        same = [path for path in inner if path in constant and main not in constant]
+        linked = [path for path, t in inner.items() if t["links"] > LINK_SHARE * t["chars"]]
+        return pd.DataFrame({"host": [key[0]], "main": [main or None], "same": [sorted(same)], "linked": [sorted(linked)],
                              "classes": [used], "tokens": [len(slots)]})
 
     return classes.groupBy("host").applyInPandas(
-        nest, "host string, main string, left_out array<string>, classes int, tokens int")
+        nest, "host string, main string, same array<string>, linked array<string>, classes int, tokens int")
+
+
+def beside_articles(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """(__host, left_out): the slots of ``same`` that stand beside LEAST_ARTICLES different main texts. A task passes on
+    at most so many texts of a slot, so a hot host stays small."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts: dict[tuple[str, str], set[int]] = defaultdict(set)
+        for batch in batches:
+            for host, main, same, page in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                open_slots = [slot for slot in same if len(texts[host, slot]) < LEAST_ARTICLES]
+                if not open_slots or not page:
+                    continue
+                found, _ = blocks(page)
+                here = [slot for slot in open_slots if any(_within(path, slot) for path, _, _ in found)]
+                if here:
+                    said = _hash("\n".join(text for path, text, _ in found if _within(path, main or "") and not is_chrome(path)
+                                           and not any(_within(path, slot) for slot in same)))
+                    for slot in here:
+                        texts[host, slot].add(said)
+        held = [(host, slot, said) for (host, slot), every in texts.items() for said in every]
+        yield pa.RecordBatch.from_arrays([pa.array([h[i] for h in held], kind) for i, kind in enumerate(
+            (pa.string(), pa.string(), pa.int64()))], ["__host", "slot", "said"])
+
+    wanted = known.where(F.size("same") > 0).select("__host", "main", "same")
+    near = rows.join(wanted, F.col("host") == F.col("__host")).select("__host", "main", "same", F.col("__page").cast("string"))
+    said = near.mapInArrow(released(run), "__host string, slot string, said long").distinct()
+    return said.groupBy("__host", "slot").count().where(F.col("count") >= LEAST_ARTICLES).groupBy("__host").agg(
+        F.sort_array(F.collect_list("slot")).alias("left_out"))
 
 
 def extract(pages: DataFrame, id_column: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
     """id, url, host, text, main slot and size of the template of each page. The templates are joined by host: small
     ones are broadcast by measured size, others meet in a shuffle that splits hot hosts."""
     spark = pages.sparkSession
-    known = templates(token_counts(pages, id_column, url, page)).withColumnRenamed("host", "__host")
+    known = written(templates(token_counts(pages, id_column, url, page)).withColumnRenamed("host", "__host"), "templates")
     host = F.lower(F.regexp_extract(F.col(url), r"^\s*[a-zA-Z][\w+.-]*://([^/?#\s]+)", 1))
     rows = pages.select(F.col(id_column).alias("page_id"), F.col(url).alias("url"), F.col(page).alias("__page"),
                         F.when(host != "", host).alias("host"))
+    small_batches(spark, 200)
+    known = known.join(beside_articles(rows, known), "__host", "left")
     joined = rows.join(known, F.col("host") == F.col("__host"), "left").select(
-        "page_id", "url", "host", "classes", "main", "left_out", "__page")
+        "page_id", "url", "host", "classes", "main", "left_out", "linked", "__page")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            mains, outs, bodies = (batch.column(i).to_pylist() for i in (4, 5, 6))
-            texts = [main_text(b, m, frozenset(o or ())) for b, m, o in zip(bodies, mains, outs, strict=True)]
+            mains, outs, links, bodies = (batch.column(i).to_pylist() for i in (4, 5, 6, 7))
+            texts = [main_text(b, m, frozenset(o or ()), frozenset(n or ()))
+                     for b, m, o, n in zip(bodies, mains, outs, links, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(texts, pa.string())],
                                              [*batch.schema.names[:5], "text"])
 
-    small_batches(spark, 200)
     names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema.fields[:5])
     return joined.mapInArrow(released(run), f"{names}, text string")
 

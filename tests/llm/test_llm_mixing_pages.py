@@ -114,6 +114,25 @@ def test_repeated_article_text_is_kept(spark):
     assert {r["text"] for r in found} == {"Head 1\nFirst & bold 1. more\nnext\nUnclosed 1\nitem 1"}
 
 
+def test_lists_of_copied_articles_are_kept_beside_other_pages(spark):
+    notice = "<section class=zq><p>The same words on each page.</p></section>"
+    item = "<article><h1>Head {n}</h1><p>Article {n} says enough to be one of its own.</p>{more}</article>"
+    listed = "<ul><li>first point</li><li>second point</li></ul>"
+    links = "<div class=zx><p><a href='/a'>A link of page {n}</a></p>{more}</div>"
+    rows = [(i, f"http://some.net/{i}", PAGE.format(n=1, body=item.format(n=1, more=listed + notice))) for i in range(3)]
+    rows += [(i, f"http://some.net/{i}", PAGE.format(n=i, body=item.format(n=i, more=notice))) for i in range(3, 9)]
+    rows += [(i, f"http://links.net/{i}", PAGE.format(n=i, body=item.format(n=i, more=links.format(
+        n=i, more="<p>Plain.</p>" if i == 24 else "")))) for i in range(20, 28)]
+    found = {r["page_id"]: r["text"] for r in html_text.extract(
+        spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(9):
+        n = max(i, 1) if i > 2 else 1
+        points = "\nfirst point\nsecond point" if i < 3 else ""
+        assert found[i] == f"Head {n}\nArticle {n} says enough to be one of its own.{points}"
+    for i in range(20, 28):
+        assert found[i] == f"Head {i}\nArticle {i} says enough to be one of its own." + ("\nPlain." if i == 24 else "")
+
+
 @tables
 def test_pipeline_stages_keep_columns_and_only_drop_what_they_judge(spark):
     import corpus_pipeline
