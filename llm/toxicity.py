@@ -178,8 +178,11 @@ def score(docs: DataFrame, places: np.ndarray, values: np.ndarray, keep: tuple[s
 
 
 def clean(docs: DataFrame, labels: DataFrame, text: str = "text", limit: float = 0.5) -> DataFrame:
-    """The documents that score below ``limit``, learned from labelled rows outside the held-out fold; columns as they were."""
+    """The documents that score below ``limit``, learned from labelled rows outside the held-out fold; columns as they were.
+    If there is no usable label, nothing is learned and all documents are kept."""
     places, values = learn(docs.where(fold("doc_id", 5) != 0), labels, text)
+    if not len(places):
+        return docs
     safe, back = apart(docs, "doc_id", text)
     return back(score(safe, places, values, tuple(safe.columns), text).where(F.col("score") < limit))
 

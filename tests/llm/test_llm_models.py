@@ -88,6 +88,13 @@ def test_toxicity_learns_words_and_takes_odd_rows(spark):
     assert kept.columns == docs.columns and kept.where("text like '%scum%'").count() == 0
 
 
+def test_clean_keeps_all_documents_without_labels(spark):
+    docs = spark.createDataFrame(ODD, DOCS)
+    labels = spark.createDataFrame([(1, None), (None, 1), (999, 1)], "doc_id long, toxic int")
+    for none in (labels.limit(0), labels):
+        assert sorted(map(str, toxicity.clean(docs, none).collect())) == sorted(map(str, docs.collect()))
+
+
 def test_quality_discriminant_is_the_density_difference(spark):
     rng = np.random.default_rng(7)
     d = len(quality.STATISTICS)
