@@ -44,10 +44,11 @@ CELL_TOKENS = 400_000
 MAP_BITS = 24
 
 
-def runs_needed(threshold: float = THRESHOLD, recall: float = RECALL, depth: int = 2) -> int:
+def runs_needed(threshold: float = THRESHOLD, recall: float = RECALL, depth: int = MAX_DEPTH) -> int:
     """Runs after which a pair at the threshold has met with probability ``recall``, when nodes have to be split
-    to ``depth``: the shared choices of the pair at each level are about Poisson."""
-    shared = FAN * 2 * threshold / (1 + threshold)
+    to ``depth``: the shared choices of the pair at each level are about Poisson. They are fewest if one text's set holds the
+    other's: a shared shingle has to be below the larger set's limit."""
+    shared = FAN * threshold
     missed = 0.0
     for _ in range(depth):
         missed = math.exp(-shared * (1 - missed))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import hashlib
 import random
 
@@ -196,3 +197,10 @@ def test_tiling_is_greedy_and_blind_to_order(spark):
     kept = decontamination.clean(frame(spark, [*texts, None, ""]), bench)
     assert sorted(r["doc_id"] for r in kept.collect()) == [3, 4, 5, 6]
     assert decontamination.matches(frame(spark, texts), bench.limit(0)).count() == 0
+
+
+def test_runs_reach_the_recall_for_subsets_at_the_deepest_level():
+    missed = 0.0
+    for _ in range(jaccard_join.MAX_DEPTH):
+        missed = math.exp(-jaccard_join.FAN * jaccard_join.THRESHOLD * (1 - missed))
+    assert 1 - missed ** jaccard_join.runs_needed() >= jaccard_join.RECALL
