@@ -70,15 +70,23 @@ def decimal_text(column: Column, mark: str = ".", kind: T.DataType | None = None
     if isinstance(kind, T.DoubleType):
         # Small whole numbers, the usual case, have this text without any of the steps.
         plain = (column == F.floor(column)) & (F.abs(column) < 1e15)
-        return F.when(plain, column.cast("bigint").cast("string")).otherwise(
+        # So have amounts of up to four decimals and 15 digits.
+        amount = F.when(F.abs(column) < 1e11, column.try_cast("decimal(15,4)"))
+        amount_text = F.rtrim(amount.cast("string"), F.lit("0"))
+        return F.when(plain, column.cast("bigint").cast("string")).when(
+            amount.cast("double") == column, amount_text if mark == "." else F.replace(amount_text, F.lit("."), F.lit(mark))).otherwise(
             _let(_shortest(column), lambda shown: _moved(shown, mark)))
     return _let(column.cast("string"), lambda shown: _moved(shown, mark))
 
 
-def plain_text(df: DataFrame, name: str) -> Column:
-    """Column as text; floating-point numbers print as plain digits, whole ones without a
+def value_text(value: Column, kind: T.DataType) -> Column:
+    """A value of a type as text; floating-point numbers print as plain digits, whole ones without a
     fraction (398, not 398.0)."""
-    column, kind = F.col(f"`{name}`"), df.schema[name].dataType
     if isinstance(kind, (T.DoubleType, T.FloatType)):
-        return decimal_text(column, kind=kind)
-    return column.cast("string")
+        return decimal_text(value, kind=kind)
+    return value.cast("string")
+
+
+def plain_text(df: DataFrame, name: str) -> Column:
+    """A column as text, by :func:`value_text`."""
+    return value_text(F.col(f"`{name}`"), df.schema[name].dataType)

@@ -10,12 +10,16 @@ from pyspark.sql import types as T
 
 from canvass.functions.text import is_numeric, plain_text
 from canvass.operators.ordering import with_running_totals
+from canvass.session import write_once
 
 NA_ROW, TOTAL_ROW = "<NA>", "Total"
 
 # Columns that hold the order of levels: whole numbers, fractions of decimals, floating point.
 _ORDER = ("order_whole", "order_part", "order_float")
 
+# So many levels, not rows, one task may add up.
+ONE_TASK_LEVELS = 1_000_000
+
 
 def masked(df: DataFrame, mask: Column, columns: Sequence[str]) -> DataFrame:
     """Rows where the mask is true, and an all-missing row for each unknown mask.
@@ -39,30 +43,54 @@ def _order_of(df: DataFrame, name: str) -> list[Column]:
     elif is_numeric(df, name):
         whole = column
     types = ("decimal(38,0)", "decimal(38,37)", "double")
-    return [c.cast(t).alias(n) for c, t, n in zip((whole, part, real), types, _ORDER, strict=True)]
+    return [c.cast(t) for c, t in zip((whole, part, real), types, strict=True)]
 
 
-def level_counts(df: DataFrame, columns: Sequence[str], few_levels: bool = False) -> DataFrame:
-    """(variable, value, order columns, freq) of all columns from one pass over the table.
+def slots_of(df: DataFrame, columns: Sequence[str]) -> dict[str, str]:
+    """The slot that holds the values of each column: columns of one type share one."""
+    kinds: dict[str, str] = {}
+    return {c: kinds.setdefault(_slot_type(df, c), f"_slot{len(kinds)}") for c in columns}
+
+
+def _slot_type(df: DataFrame, name: str) -> str:
+    kind = df.schema[name].dataType
+    return "string" if isinstance(kind, (T.MapType, T.NullType, T.CharType, T.VarcharType)) else kind.simpleString()
+
 
-    With ``few_levels`` the combinations of values are counted first, which leaves few rows
-    to take apart into cells; columns with long lists of values would not gain by that.
+def typed_counts(df: DataFrame, columns: Sequence[str], few_levels: bool = False) -> DataFrame:
+    """(variable, a slot per type, freq) of all columns from one pass over the table.
+
+    Values stay as they are while they are counted: a row of a column has its value in the slot of the column's
+    type, and nothing is made text. ``variable`` is the column's place. With ``few_levels`` the combinations of values
+    are counted first, which leaves few rows to take apart into cells; columns with long lists of values would not gain by that.
     """
     rows = F.count(F.lit(1))
     if few_levels:
         df = df.groupBy(*columns).agg(rows.alias("_rows"))
         rows = F.sum("_rows")
-    cells = [
-        F.struct(
-            F.lit(c).alias("variable"),
-            plain_text(df, c).alias("value"),
-            *_order_of(df, c),
-        )
-        for c in columns
-    ]
-    kept = ["_rows"] if few_levels else []
-    long = df.select(*kept, F.inline(F.array(*cells)))
-    return long.groupBy("variable", "value", *_ORDER).agg(rows.alias("freq"))
+    slots = slots_of(df, columns)
+    types = {slot: _slot_type(df, c) for c, slot in slots.items()}
+    cells = [F.struct(F.lit(i).alias("variable"), *[
+        (F.col(f"`{c}`") if slots[c] == slot else F.lit(None)).cast(kind).alias(slot) for slot, kind in types.items()])
+        for i, c in enumerate(columns)]
+    long = df.select(*(["_rows"] if few_levels else []), F.inline(F.array(*cells)))
+    return long.groupBy("variable", *types).agg(rows.alias("freq"))
+
+
+def shown_levels(levels: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Typed counts with the column's name, the value as text and the order columns: text is made per level, not per row."""
+    slots = [c for c in levels.columns if c not in ("variable", "freq")]
+    orders = zip(*[_order_of(levels, slot) for slot in slots], strict=True)
+    return levels.select(
+        F.element_at(F.array(*map(F.lit, columns)), F.col("variable") + 1).alias("variable"),
+        F.coalesce(*[plain_text(levels, slot) for slot in slots]).alias("value"),
+        *[F.coalesce(*held).alias(name) for held, name in zip(orders, _ORDER, strict=True)],
+        "freq")
+
+
+def level_counts(df: DataFrame, columns: Sequence[str], few_levels: bool = False) -> DataFrame:
+    """(variable, value, order columns, freq) of all columns from one pass over the table."""
+    return shown_levels(typed_counts(df, columns, few_levels), columns)
 
 
 def _placed(levels: DataFrame, one_task: bool) -> DataFrame:
@@ -94,10 +122,13 @@ def _placed(levels: DataFrame, one_task: bool) -> DataFrame:
 def placed_levels(df: DataFrame, columns: Sequence[str], few_levels: bool = False) -> DataFrame:
     """Level counts in the order of their values, with the running and whole counts.
 
-    With ``few_levels`` a single lazy plan. Otherwise the counts are added up in sorted
-    parts by many tasks, however few or many they are.
+    With ``few_levels`` a single lazy plan. Otherwise the counts are written once; up to ``ONE_TASK_LEVELS``
+    levels are added up by a task per column, more by many tasks in sorted parts.
     """
-    return _placed(level_counts(df, columns, few_levels), few_levels)
+    if few_levels:
+        return _placed(level_counts(df, columns, True), True)
+    counted = write_once(typed_counts(df, columns), "levels")
+    return _placed(shown_levels(counted, columns), counted.count() <= ONE_TASK_LEVELS)
 
 
 def _percent(part: Column, whole: Column) -> Column:
