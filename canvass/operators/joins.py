@@ -9,22 +9,34 @@ that), ``spread_join`` looks for hot keys first and salts them itself.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping, Sequence
+import math
+from collections.abc import Callable, Iterable, Mapping, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from canvass.session import write_once
 
 Keys = Sequence[str | tuple[str, str]]
 
-# A key is hot when it holds this many rows and this share of its side. Fewer than
-# 1 / HOT_SHARE keys can do so, which bounds the broadcast table of hot keys; each is cut
-# into pieces of about ROWS_PER_SPLIT rows.
+# A key is hot on a side when it holds this many rows and this share of the side, or when left times right rows
+# of it exceed PAIRS_PER_TASK. Fewer than 1 / HOT_SHARE keys of a side can hold the share, which bounds the broadcast
+# table of hot keys; each is cut into pieces of about ROWS_PER_SPLIT rows and PAIRS_PER_TASK pairs.
 HOT_ROWS = 2_000_000
 HOT_SHARE = 1e-5
 ROWS_PER_SPLIT = 1_000_000
+PAIRS_PER_TASK = 10_000_000_000
+# Shorter sides are joined as they are.
+MIN_ROWS = 1_000_000
+# Entries of the heavy-hitter summary: a key with HOT_SHARE of the rows is always among them.
+TRACKED = 600_000
+# NOT IN: up to so many keys make a Bloom filter of so many bits each.
+BLOOM_KEYS = 20_000_000
+BLOOM_BITS = 16
+_BLOCK = 32_768
 
 
 def _c(name: str) -> Column:
@@ -80,32 +92,76 @@ def join(left: DataFrame, right: DataFrame, on: Keys, how: str = "left", *, take
     return left.join(cut, condition, how).select(*map(_c, [*left.columns, *names]))
 
 
-def _hot_side(df: DataFrame, columns: list[str], names: list[str], splits: str, hot_rows: int,
-              hot_share: float, rows_per_split: int) -> DataFrame | None:
-    """The hot keys of one side and into how many pieces to cut each; none on a short side.
+@dataclass
+class _Side:
+    """One side's keys, for counting."""
+
+    rows: DataFrame
+    columns: list[str]
+
+    def keys(self, names: list[str], types: dict[str, T.DataType] | None = None) -> DataFrame:
+        return self.rows.select(*[_c(c).cast(types[n]).alias(n) if types else _c(c).alias(n)
+                                  for c, n in zip(self.columns, names, strict=True)])
+
+
+def _heavy(sides: list[_Side], least: list[int], names: list[str], types: dict[str, T.DataType], tracked: int) -> DataFrame:
+    """Hashes of the keys that may hold ``least`` rows of a side: one pass over both, by a mergeable summary of fixed size."""
+    hashed = [side.keys(names, types).select(F.xxhash64(*names).alias("_hash"), F.lit(i).alias("_side"))
+              for i, side in enumerate(sides)]
+    both = reduce(lambda a, b: a.unionByName(b), hashed)
+    summaries = both.agg(*[F.expr(f"approx_top_k(_hash, {max(tracked // 6, 1)}, {tracked}) FILTER (WHERE _side = {i})").alias(f"_top{i}")
+                           for i in range(len(sides))])
+    found = F.flatten(F.array(*[
+        F.transform(F.filter(f"_top{i}", _at_least(limit)), lambda entry: entry["item"]) for i, limit in enumerate(least)]))
+    return summaries.select(F.explode(F.array_distinct(found)).alias("_hash"))
 
-    Counting the rows of a scan reads file footers only. Counting the keys reads the key
-    columns only and combines map-side, so a hot key is cheap to count.
-    """
-    rows = df.count()
-    if rows < hot_rows:
-        return None
-    counts = df.groupBy(*[_c(c).alias(n) for c, n in zip(columns, names, strict=True)]
-                        ).agg(F.count(F.lit(1)).alias("_rows"))
-    hot = counts.filter(F.col("_rows") >= max(hot_rows, rows * hot_share))
-    return hot.select(*names, F.ceil(F.col("_rows") / rows_per_split).cast("int").alias(splits))
 
+def _at_least(limit: int) -> Callable[[Column], Column]:
+    return lambda entry: entry["count"] >= limit
 
-def _hot_table(sides: list[DataFrame | None], names: list[str]) -> DataFrame | None:
-    """Hot keys of either side with the pieces per side, written; none if no key is hot."""
-    found = [side for side in sides if side is not None]
-    if not found:
+
+def _hot_table(left: _Side, right: _Side | None, names: list[str], hot_rows: int, hot_share: float,
+               rows_per_split: int, pairs_per_task: int) -> DataFrame | None:
+    """Hot keys of either side with the pieces per side, written; none if no key is hot.
+
+    Counting the rows of a scan reads file footers only. One pass over the key columns finds the heavy hitters of both sides; only
+    these are then counted exactly. A key without a counted right side has one row there.
+    """
+    sides = [left] if right is None else [left, right]
+    totals = [side.rows.count() for side in sides]
+    if max(totals) < min(hot_rows, MIN_ROWS):
         return None
-    wanted = {c: F.lit(1) for c in ("_left_splits", "_right_splits")}
-    filled = [side.withColumns({c: one for c, one in wanted.items() if c not in side.columns})
-              for side in found]
-    hot = reduce(lambda a, b: a.unionByName(b), filled).groupBy(*names).agg(
-        *[F.max(c).alias(c) for c in wanted])
+    types = {f.name: f.dataType for f in reduce(lambda a, b: a.union(b), [side.keys(names) for side in sides]).schema.fields}
+    # Left times right reaches the limit only if one of them reaches its root.
+    root = min(hot_rows, math.isqrt(pairs_per_task) if right is not None else hot_rows)
+    least = [max(root, math.ceil(total * hot_share)) for total in totals]
+    tracked = min(TRACKED, max(1_000, math.ceil(6 / hot_share)))
+    heavy = write_once(_heavy(sides, least, names, types, tracked), "heavy-keys")
+    if heavy.isEmpty():
+        return None
+    counted = []
+    for i, side in enumerate(sides):
+        # Bounded broadcast: at most 1 / hot_share hashes a side.
+        held = side.keys(names, types).withColumn("_hash", F.xxhash64(*names)).join(F.broadcast(heavy), "_hash", "left_semi")
+        counted.append(held.groupBy(*names).agg(F.count(F.lit(1)).alias("_n")).select(
+            *names, F.when(F.lit(i == 0), F.col("_n")).alias("_l"), F.when(F.lit(i == 1), F.col("_n")).alias("_r")))
+    exact = reduce(lambda a, b: a.unionByName(b), counted).groupBy(*names).agg(
+        F.coalesce(F.max("_l"), F.lit(0)).alias("_l"), F.coalesce(F.max("_r"), F.lit(0 if right else 1)).alias("_r"))
+
+    def alone(n: str, total: int) -> Column:
+        hot = F.col(n) >= max(hot_rows, math.ceil(total * hot_share))
+        return F.when(hot, F.ceil(F.col(n) / rows_per_split)).otherwise(1).cast("bigint")
+
+    split = exact.withColumns({"_ls": alone("_l", totals[0]), "_rs": alone("_r", totals[-1]) if right else F.lit(1).cast("bigint")})
+    # Pieces still missing for the limit on pairs come from the side with the longer pieces.
+    pairs = F.col("_l").cast("double") * F.col("_r") / (F.col("_ls") * F.col("_rs"))
+    more = F.ceil(pairs / pairs_per_task).cast("bigint")
+    longer = F.col("_l") / F.col("_ls") >= F.col("_r") / F.col("_rs")
+    hot = split.select(
+        *names,
+        F.when((more > 1) & longer, F.least("_l", F.col("_ls") * more)).otherwise(F.col("_ls")).cast("int").alias("_left_splits"),
+        F.when((more > 1) & ~longer, F.least("_r", F.col("_rs") * more)).otherwise(F.col("_rs")).cast("int").alias("_right_splits"),
+    ).where((F.col("_left_splits") > 1) | (F.col("_right_splits") > 1))
     hot = write_once(hot, "hot-keys")
     return None if hot.isEmpty() else hot
 
@@ -113,8 +169,9 @@ def _hot_table(sides: list[DataFrame | None], names: list[str]) -> DataFrame | N
 def spread_join(left: DataFrame, right: DataFrame, on: Keys, how: str = "left", *, take=None,
                 prefix: str | None = None, null_safe: bool = False, right_unique: bool = False,
                 count_on: DataFrame | None = None, hot_rows: int = HOT_ROWS,
-                hot_share: float = HOT_SHARE, rows_per_split: int = ROWS_PER_SPLIT) -> DataFrame:
-    """:func:`join` that counts keys first and spreads the rows of hot ones, exactly.
+                hot_share: float = HOT_SHARE, rows_per_split: int = ROWS_PER_SPLIT,
+                pairs_per_task: int = PAIRS_PER_TASK) -> DataFrame:
+    """:func:`join` that looks for hot keys first and spreads their rows, exactly.
 
     Without hot keys this is the plain join. Otherwise a row of a key that is hot on the left
     gets one of the key's salts and the right rows of that key are repeated for each salt; a
@@ -132,12 +189,8 @@ def spread_join(left: DataFrame, right: DataFrame, on: Keys, how: str = "left",
     if not null_safe:
         cut = cut.dropna(subset=keys)
     hot_keys = [f"_hot{k}" for k in keys]
-    limits = (hot_rows, hot_share, rows_per_split)
-    hot = _hot_table([
-        _hot_side(left if count_on is None else count_on, left_keys, hot_keys, "_left_splits",
-                  *limits),
-        None if right_unique else _hot_side(cut, keys, hot_keys, "_right_splits", *limits),
-    ], hot_keys)
+    hot = _hot_table(_Side(left if count_on is None else count_on, left_keys), None if right_unique else _Side(cut, keys),
+                     hot_keys, hot_rows, hot_share, rows_per_split, pairs_per_task)
     match = _all(_equal(_c(l), _c(k), null_safe) for l, k in zip(left_keys, keys, strict=True))
     if hot is None:
         joined = left.join(cut, match, how)
@@ -198,15 +251,63 @@ def not_in(left: DataFrame, right: DataFrame, left_key: str, right_key: str | No
     """``left_key NOT IN (SELECT right_key ...)`` without Spark's forced broadcast.
 
     A missing key on the right leaves no row; a missing key on the left is kept only when
-    the right side is empty. Two counts decide that, the rest is an ordinary anti-join.
+    the right side is empty. One count of the right keys decides that and measures them. Keys below the session's
+    broadcast threshold are left to Spark; up to ``BLOOM_KEYS`` keys make a Bloom filter, by which most left rows
+    are known to be absent where they lie, and only the rest is joined; more keys are joined with all left rows.
+    A session that forbids broadcasts gets the plain join.
     """
     keys = right.select(_c(right_key or left_key).alias("_key"))
-    counts = keys.agg(F.count(F.lit(1)).alias("rows"), F.count("_key").alias("known"))
-    rows, known = counts.select("rows").scalar(), counts.select("known").scalar()
-    usable = left.filter((rows == known) & (_c(left_key).isNotNull() | (rows == 0)))
-    distinct = keys.dropna().distinct()
-    return spread_join(usable, distinct, [(left_key, "_key")], "left_anti", take=[],
-                       right_unique=True)
+    facts = keys.agg(F.count(F.lit(1)).alias("rows"), F.count("_key").alias("known"),
+                     F.sum(F.octet_length(F.col("_key").cast("string")) + 16).alias("bytes")).first()
+    if facts["rows"] > facts["known"]:
+        return left.filter(F.lit(False))
+    if not facts["rows"]:
+        return left
+    usable, keys = left.filter(_c(left_key).isNotNull()), keys.dropna()
+    threshold = _broadcast_threshold(left.sparkSession)
+    if facts["bytes"] <= threshold:
+        return usable.join(keys, _c(left_key) == F.col("_key"), "left_anti")
+    same = left.schema[left_key].dataType == keys.schema["_key"].dataType
+    maybe = usable
+    if threshold > 0 and same and facts["known"] <= BLOOM_KEYS:
+        marked = _bloom_marked(usable, left_key, keys, facts["known"])
+        maybe = marked.filter("_maybe").drop("_maybe")
+    rest = spread_join(maybe, keys.distinct(), [(left_key, "_key")], "left_anti", take=[], right_unique=True, count_on=left)
+    return rest if maybe is usable else marked.filter("NOT _maybe").drop("_maybe").unionByName(rest)
+
+
+def _broadcast_threshold(spark: SparkSession) -> int:
+    """``spark.sql.autoBroadcastJoinThreshold`` in bytes, 0 where broadcasts are off."""
+    said = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    return 0 if said.startswith("-") else spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(said)
+
+
+def _bloom_marked(left: DataFrame, left_key: str, keys: DataFrame, known: int) -> DataFrame:
+    """``left`` with ``_maybe``: whether its key may be one of ``keys``.
+
+    The filter is a table of 32,768-bit blocks, built by tasks; its size follows from the number of keys, hence
+    the broadcast is bounded by ``BLOOM_BITS`` bits for each of at most ``BLOOM_KEYS`` keys.
+    """
+    blocks = max(1, -(-known * BLOOM_BITS // _BLOCK))
+
+    def place(key: Column) -> Column:
+        return F.pmod(F.xxhash64(key), F.lit(blocks * _BLOCK))
+
+    bits = keys.select(place(F.col("_key")).alias("_place")).groupBy(
+        F.call_function("div", F.col("_place"), F.lit(_BLOCK)).alias("_block")).agg(
+        F.bitmap_construct_agg(F.col("_place") % _BLOCK).alias("_bits"))
+    # A block as 64-bit words, so that a probe is a shift; bytes are in order in a word, bits from the lowest in a byte.
+    words = F.transform(F.sequence(F.lit(0), F.lit(_BLOCK // 64 - 1)),
+                        lambda i: F.conv(F.hex(F.substring("_bits", i * 8 + 1, F.lit(8))), 16, -10).cast("bigint"))
+    filter_ = write_once(bits.select("_block", words.alias("_words")), "bloom")
+    at = place(_c(left_key))
+    probed = left.withColumn("_at", at).join(
+        F.broadcast(filter_), F.call_function("div", F.col("_at"), F.lit(_BLOCK)) == F.col("_block"), "left")
+    bit = F.col("_at") % _BLOCK
+    word = F.get("_words", F.call_function("div", bit, F.lit(64)).cast("int"))
+    byte = F.call_function("div", bit % 64, F.lit(8))
+    hit = F.getbit(word, ((7 - byte) * 8 + bit % 8).cast("int")) == 1
+    return probed.withColumn("_maybe", F.coalesce(hit, F.lit(False))).select(*map(_c, left.columns), "_maybe")
 
 
 def star_join(fact: DataFrame, dimensions: Iterable[tuple[DataFrame, Keys, Mapping[str, str]]]

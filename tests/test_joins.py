@@ -140,3 +140,40 @@ def test_star_join_matches_a_missing_code(spark, rows):
     labels = spark.createDataFrame([(1, "one"), (None, "none")], "value int, text string")
     star = joins.star_join(fact, [(labels, [("code", "value")], {"text": "label"})])
     assert rows(star) == [(1, 1, "one"), (2, None, "none"), (3, 8, None)]
+
+
+def test_pairs_below_both_limits_are_spread(spark):
+    a = spark.createDataFrame([(i % 40 if i > 30 else 7, i) for i in range(1100)], "k int, a int").repartition(3)
+    b = spark.createDataFrame([(7 if i < 60 else 100 + i, i) for i in range(1100)], "k bigint, b int").repartition(3)
+    got = joins.spread_join(a, b, ["k"], "inner", hot_rows=1000, pairs_per_task=500)
+    plan = got._sc._jvm.PythonSQLUtils.explainString(got._jdf.queryExecution(), "simple")
+    assert "_left_salt" in plan
+    left, right = [tuple(r) for r in a.collect()], [tuple(r) for r in b.collect()]
+    assert order(map(tuple, got.collect())) == order(brute(left, right, "inner", False))
+    splits = joins._hot_table(joins._Side(a, ["k"]), joins._Side(b, ["k"]), ["_h"], 1000, 1e-5, 10 ** 6, 500).collect()
+    assert [r["_h"] for r in splits] == [7] and splits[0]["_left_splits"] * splits[0]["_right_splits"] >= 57 * 60 / 500
+
+
+def test_heavy_hitters_are_found_without_counting_all_keys(spark):
+    rows = spark.range(20000).select(F.when(F.col("id") % 4 == 0, F.lit(-1)).otherwise(F.col("id")).alias("k"), F.lit("x").alias("q"))
+    side = joins._Side(rows, ["k", "q"])
+    heavy = joins._heavy([side, side], [2000, 10 ** 9], ["a", "b"], {"a": rows.schema["k"].dataType, "b": rows.schema["q"].dataType}, 600)
+    assert "Exchange hashpartitioning" not in heavy._sc._jvm.PythonSQLUtils.explainString(heavy._jdf.queryExecution(), "simple")
+    assert heavy.collect() == rows.where("k = -1").select(F.xxhash64("k", "q")).distinct().collect()
+
+
+@pytest.mark.parametrize("bits", [16, 1])
+@pytest.mark.parametrize("kind", ["string", "bigint"])
+def test_not_in_by_bloom_filter_equals_sql(spark, monkeypatch, bits, kind):
+    monkeypatch.setattr(joins, "_broadcast_threshold", lambda spark: 1)
+    monkeypatch.setattr(joins, "BLOOM_BITS", bits)
+    a = spark.range(60000).select(F.when(F.col("id") % 100 > 0, F.col("id") * 7).cast(kind).alias("k"), "id")
+    b = spark.range(40000).select((F.col("id") * 3).cast(kind).alias("k"))
+    got = joins.not_in(a, b, "k")
+    plan = got._sc._jvm.PythonSQLUtils.explainString(got._jdf.queryExecution(), "simple")
+    assert "_maybe" in plan or "getbit" in plan
+    found = [r["id"] for r in got.collect()]
+    assert sorted(found) == [i for i in range(60000) if i % 100 and (i * 7 % 3 or i * 7 >= 120000)]
+    maybe = joins._bloom_marked(a.dropna(), "k", b.toDF("_key"), 40000).where("_maybe").count()
+    real = sum(1 for i in range(60000) if i % 100 and i * 7 % 3 == 0 and i * 7 < 120000)
+    assert real <= maybe <= real + (0.1 if bits == 16 else 0.8) * 60000 and (bits == 16 or maybe > real)
