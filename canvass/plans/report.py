@@ -14,6 +14,7 @@ from canvass.operators.keys import place_keys, with_keys
 from canvass.operators.summary import code_totals
 from canvass.plans.screener import report_screener_flags
 from canvass.sinks.writers import write_csv, write_csv2, write_table
+from canvass.sources.mappings import REPORT_CASE
 
 # The joins here meet one row per key on one side at least, so no key multiplies; a key with many
 # rows on the left is split by the adaptive planner.
@@ -117,6 +118,7 @@ def export_report(cases: DataFrame, persons: DataFrame, history: DataFrame,
     plans = {
         "ri7": (write_csv2, cases, keys),
         "ri1a": (write_csv2, persons, ["SP_ID"]),
+        "ri7_sam_case1_k": (write_csv2, history.select(*[f.source for f in REPORT_CASE.fields]).withColumn("SCACASE", F.col("SCACASE").cast("string")), keys),
         "ri7_sam_case_k": (write_csv, with_place_keys(history), keys),
         "sc3_sam_part_k": (write_table, with_place_keys(participants), [*PLACE, "SCAPARTN"]),
         "sc2_DU_k": (write_table, with_place_keys(dwellings), list(PLACE)),

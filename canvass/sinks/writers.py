@@ -1,13 +1,16 @@
 """Delimited text files as a statistics language writes them, and the star export.
 
-Each writer makes a folder of part files, one per task, every one with the header.
+Each writer makes a folder of part files, one per task, every one with the header. With row names, ``write_table``
+writes the header once, as a part of its own that comes first and has no cell for the row names, and its rows in order
+over the others; :func:`join_parts` makes one file of such a folder.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,6 +18,7 @@ from canvass.functions.text import decimal_text
 from canvass.operators.ordering import with_row_names
 
 ROW_NAME = ""  # the header cell of the row names is left empty
+HEADER_PART = "part--header.csv"  # sorts before the parts that Spark numbers
 
 
 def _named_rows(df: DataFrame, row_names: Sequence[str] | None) -> DataFrame:
@@ -48,9 +52,46 @@ def write_csv2(df: DataFrame, path: str, row_names: Sequence[str] | None = None)
 
 
 def write_table(df: DataFrame, path: str, row_names: Sequence[str] | None = None) -> None:
-    """Space-separated, everything quoted, missing as ``NA``."""
+    """Space-separated, everything quoted, missing as ``NA``; the header has no cell for the row names."""
     named = _plain_numbers(_named_rows(df, row_names), ".")
-    _write(named, path, sep=" ", nullValue="NA", quoteAll=True)
+    if not row_names:
+        _write(named, path, sep=" ", nullValue="NA", quoteAll=True)
+        return
+    # The first column is the row name; its own is empty and cannot be named in an expression.
+    numbered = named.toDF("_row_name", *df.columns)
+    ordered = numbered.orderBy(F.col("_row_name").cast("bigint"))
+    ordered.write.options(header=False, quote='"', escape='"', sep=" ", nullValue="NA", quoteAll=True).csv(path)
+    _write_line(df.sparkSession, f"{path}/{HEADER_PART}", " ".join('"' + c.replace('"', '""') + '"' for c in df.columns))
+
+
+def _write_line(spark: SparkSession, path: str, line: str) -> None:
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).create(hadoop, True)
+    out.write(bytearray((line + "\n").encode()))
+    out.close()
+
+
+def read_header(spark: SparkSession, folder: str) -> list[str]:
+    """Column names of a folder from ``write_table`` with row names; the rows have one cell more in front."""
+    line = spark.read.text(f"{folder}/{HEADER_PART}").first()[0]
+    return [c.replace('""', '"') for c in re.findall(r'"((?:[^"]|"")*)"', line)]
+
+
+def join_parts(spark: SparkSession, folder: str, target: str) -> None:
+    """One file of a folder's parts in the order of their names, copied through the file system with a small buffer.
+
+    For folders whose parts follow each other, as ``write_table`` leaves them with row names.
+    """
+    jvm, settings = spark._jvm, spark._jsc.hadoopConfiguration()
+    source, made = (jvm.org.apache.hadoop.fs.Path(p) for p in (folder, target))
+    system = source.getFileSystem(settings)
+    names = sorted(f.getPath().getName() for f in system.listStatus(source) if f.getPath().getName().startswith("part-"))
+    out = made.getFileSystem(settings).create(made, True)
+    for name in names:
+        part = system.open(jvm.org.apache.hadoop.fs.Path(source, name))
+        jvm.org.apache.hadoop.io.IOUtils.copyBytes(part, out, 1 << 16, False)
+        part.close()
+    out.close()
 
 
 def write_star(tables: Mapping[str, DataFrame], folder: str, fmt: str = "parquet") -> dict[str, str]:

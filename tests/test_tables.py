@@ -224,3 +224,15 @@ def test_smallest_and_largest_come_from_parquet_footers(spark, tmp_path):
     assert "PushedAggregation: [MAX(id), MIN(id)]" in result._jdf.queryExecution().toString()
     assert tuple(result.first()) == (499, 10)
     assert "parquet" in spark.conf.get("spark.sql.sources.useV1SourceList")
+
+
+def test_table_with_row_names_has_one_shifted_header(spark, tmp_path):
+    df = spark.createDataFrame([(3, 'say "x"', 2.5), (1, None, 1.0), (2, "é", None), *[(i, "t", 0.5) for i in range(4, 200)]],
+                               "k int, `a 'b` string, d double").repartition(5)
+    writers.write_table(df, str(tmp_path / "t"), row_names=["k"])
+    assert writers.read_header(spark, str(tmp_path / "t")) == df.columns
+    writers.join_parts(spark, str(tmp_path / "t"), str(tmp_path / "one.txt"))
+    lines = (tmp_path / "one.txt").read_text().splitlines()
+    assert lines[0] == '"k" "a \'b" "d"' and len(lines) == 200
+    assert lines[1:4] == ['"1" "1" "NA" "1"', '"2" "2" "é" "NA"', '"3" "3" "say ""x""" "2.5"']
+    assert [line.split()[0] for line in lines[1:]] == [f'"{i}"' for i in range(1, 200)]
