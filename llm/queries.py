@@ -42,17 +42,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 TOPK_SQL = """
-WITH valid AS (
-    SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v
+WITH valid AS MATERIALIZED (
+    SELECT row_number() OVER () AS row_id, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS v
     FROM embeddings
     WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
       AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
 ), scored AS (
-    SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
-    FROM valid q JOIN valid c ON q.vec_id <> c.vec_id
+    SELECT q.row_id, q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score
+    FROM valid q JOIN valid c ON q.row_id <> c.row_id
     WHERE q.vec_id % 20 = 0
 ), ranked AS (
-    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored
+    SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM scored
 )
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 """

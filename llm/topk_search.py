@@ -11,8 +11,9 @@ pairs whose bound reaches the k-th score are computed, in whole numbers.
 The rotation comes from the sum of outer products, of which d * d numbers reach the driver.
 
 Edge cases: vectors that are null, or have a null or non-finite component, and rows without
-id take no part; shorter vectors count as filled with 0; equal rows count once; a query never gets rows of its own id; with fewer
-candidates than k all are returned; ties go to the smaller id. Sums that do not fit a long are an error. Further
+id take no part; shorter vectors count as filled with 0; every row is a query or candidate of its own, also where rows repeat: a query
+leaves out its own row only, and rows with one id give a list each; with fewer candidates than k all are returned; ties go to the
+smaller id; an empty table gives no rows; clashing columns are ignored. Sums that do not fit a long are an error. Further
 columns are ignored.
 """
 
@@ -42,9 +43,10 @@ _LAST = np.iinfo(np.int64).max
 
 
 def whole_vectors(rows: DataFrame, id_column: str, vector: str, scale: int = SCALE) -> DataFrame:
-    """(vec_id, v, length, d): the vectors that take part, as packed 64-bit whole numbers."""
+    """(row, vec_id, v, length, d): the vectors that take part, as packed 64-bit whole numbers; ``row`` tells rows apart once it is written."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = TaskContext.get().partitionId() << 40
         for batch in batches:
             ids, packed, lengths, sizes = [], [], [], []
             for key, held in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -61,12 +63,13 @@ def whole_vectors(rows: DataFrame, id_column: str, vector: str, scale: int = SCA
                 lengths.append(float(np.sqrt((x * x).sum())))
                 sizes.append(len(x))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(packed, pa.binary()), pa.array(lengths, pa.float64()),
-                 pa.array(sizes, pa.int32())], ["vec_id", "v", "length", "d"])
+                [pa.array(np.arange(at, at + len(ids)), pa.int64()), pa.array(ids, pa.int64()), pa.array(packed, pa.binary()),
+                 pa.array(lengths, pa.float64()), pa.array(sizes, pa.int32())], ["row", "vec_id", "v", "length", "d"])
+            at += len(ids)
 
     small_batches(rows.sparkSession, 4096)
     kept = rows.select(F.col(id_column).cast("long"), F.col(vector).cast("array<double>"))
-    return kept.mapInArrow(released(run), "vec_id long, v binary, length double, d int").dropDuplicates(["vec_id", "v"])
+    return kept.mapInArrow(released(run), "row long, vec_id long, v binary, length double, d int")
 
 
 def rotation(vectors: DataFrame, d: int) -> tuple[np.ndarray, int]:
@@ -105,31 +108,34 @@ def _matrix(packed: list[bytes], d: int) -> np.ndarray:
 
 
 def blocks(vectors: DataFrame, count: int, size: int, d: int, name: str) -> DataFrame:
-    """(block, longest, n, ids, data): the vectors by descending length, ``size`` in a block; block 0 has the longest ones."""
+    """(block, longest, n, rows, ids, data): the vectors by descending length, ``size`` in a block; block 0 has the longest ones."""
     parts = max(1, -(-count // (4 * size)))
-    rows = vectors.repartitionByRange(parts, F.desc("length"), "vec_id").sortWithinPartitions(F.desc("length"), "vec_id")
+    order = (F.desc("length"), "vec_id", "row")
+    rows = vectors.repartitionByRange(parts, *order).sortWithinPartitions(*order)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, ids, held, lengths = TaskContext.get().partitionId() << 20, [], [], []
+        at, places, ids, held, lengths = TaskContext.get().partitionId() << 20, [], [], [], []
 
         def close() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays(
                 [pa.array([at], pa.int64()), pa.array([lengths[0]]), pa.array([len(ids)], pa.int32()),
-                 pa.array([np.array(ids, np.int64).tobytes()], pa.binary()),
-                 pa.array([_matrix(held, d).tobytes()], pa.binary())], ["block", "longest", "n", "ids", "data"])
+                 pa.array([np.array(places, np.int64).tobytes()], pa.binary()), pa.array([np.array(ids, np.int64).tobytes()], pa.binary()),
+                 pa.array([_matrix(held, d).tobytes()], pa.binary())], ["block", "longest", "n", "rows", "ids", "data"])
 
         for batch in batches:
-            for key, v, length in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for place, key, v, length in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                places.append(place)
                 ids.append(key)
                 held.append(v)
                 lengths.append(length)
                 if len(ids) == size:
                     yield close()
-                    at, ids, held, lengths = at + 1, [], [], []
+                    at, places, ids, held, lengths = at + 1, [], [], [], []
         if ids:
             yield close()
 
-    return written(rows.select("vec_id", "v", "length").mapInArrow(released(pack), "block long, longest double, n int, ids binary, data binary"), name)
+    return written(rows.select("row", "vec_id", "v", "length").mapInArrow(
+        released(pack), "block long, longest double, n int, rows binary, ids binary, data binary"), name)
 
 
 def exact(q: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -144,7 +150,7 @@ def exact(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.array([sum(int(a) * int(b) for a, b in zip(x, y)) for x, y in zip(q, c)], object).astype(np.int64)
 
 
-def best_of(q_ids: np.ndarray, q: np.ndarray, floor: np.ndarray, c_ids: np.ndarray, c: np.ndarray,
+def best_of(q_rows: np.ndarray, q: np.ndarray, floor: np.ndarray, c_rows: np.ndarray, c_ids: np.ndarray, c: np.ndarray,
             axes: np.ndarray, head: int, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The k best candidates (scores, ids) per query that reach ``floor``; free places have the score _NONE."""
     best, names = np.full((len(q), k), _NONE), np.full((len(q), k), _LAST)
@@ -162,7 +168,7 @@ def best_of(q_ids: np.ndarray, q: np.ndarray, floor: np.ndarray, c_ids: np.ndarr
         bound += q_rest[live, None] * c_rest[None, s]
         row, col = np.nonzero(bound >= (limit[live] - slack[live])[:, None])
         row = live[row]
-        other = q_ids[row] != c_ids[at + col]
+        other = q_rows[row] != c_rows[at + col]
         row, col = row[other], col[other] + at
         scores = np.concatenate([exact(q[row[i:i + 65536]], c[col[i:i + 65536]]) for i in range(0, len(row), 65536)]
                                 or [np.zeros(0, np.int64)])
@@ -204,45 +210,40 @@ def search(rows: DataFrame, is_query: Column, k: int = TOP, id_column: str = "ve
     small_batches(spark, 1)  # a row is a block
     candidates = blocks(vectors, count, BLOCK, d, "candidates")
     queries = blocks(asked, n_asked, QUERY_BLOCK, d, "queries").select(
-        F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data"))
+        F.col("block").alias("q_block"), F.col("rows").alias("q_rows"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data"))
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         axes, head = shared.value
         for batch in batches:
-            for q_block, q_ids, q_data, floor, ids, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                q_ids, ids = np.frombuffer(q_ids, np.int64), np.frombuffer(ids, np.int64)
-                q, c = np.frombuffer(q_data, np.int64).reshape(-1, d), np.frombuffer(data, np.int64).reshape(-1, d)
+            for q_block, floor, *held in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                q_rows, q_ids, q, rows, ids, c = (np.frombuffer(h, np.int64) for h in held)
+                q, c = q.reshape(-1, d), c.reshape(-1, d)
                 floor = np.full(len(q), _NONE) if floor is None else np.frombuffer(floor, np.int64)
-                best, names = best_of(q_ids, q, floor, ids, c, axes, head, k)
+                best, names = best_of(q_rows, q, floor, rows, ids, c, axes, head, k)
                 length = np.linalg.norm(q.astype(np.float64), axis=1)
                 reach = np.where(best[:, -1] == _NONE, -1.0, best[:, -1] / np.maximum(length, 1e-300))
                 found, _ = np.nonzero(best != _NONE)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([q_block], pa.int64()), pa.array([best[:, -1].tobytes()], pa.binary()),
                      pa.array([float(reach.min())]),
-                     pa.array([q_ids[found].tolist()], pa.list_(pa.int64())),
-                     pa.array([names[best != _NONE].tolist()], pa.list_(pa.int64())),
-                     pa.array([best[best != _NONE].tolist()], pa.list_(pa.int64()))],
-                    ["q_block", "floor", "reach", "query_id", "vec_id", "score"])
-
-    result = "q_block long, floor binary, reach double, query_id array<long>, vec_id array<long>, score array<long>"
-    def meet(asked_blocks: DataFrame, numbers: list[int], others: DataFrame) -> DataFrame:
-        return asked_blocks.withColumn("block", F.explode(F.array(*map(F.lit, numbers)))).join(others, "block")
-
-    start = meet(queries, [0], candidates.where("block = 0")).select(
-        "q_block", "q_ids", "q_data", F.lit(None).cast("binary").alias("floor"), "ids", "data")
+                     *(pa.array([x.tolist()], pa.list_(pa.int64())) for x in (
+                         q_rows[found], q_ids[found], names[best != _NONE], best[best != _NONE]))],
+                    ["q_block", "floor", "reach", "q_row", "query_id", "vec_id", "score"])
+
+    result = "q_block long, floor binary, reach double, q_row array<long>, query_id array<long>, vec_id array<long>, score array<long>"
+    payload = ["q_block", "floor", "q_rows", "q_ids", "q_data", "rows", "ids", "data"]
+    start = queries.withColumns({"floor": F.lit(None).cast("binary"), "block": F.lit(0).cast("long")}).join(
+        candidates.where("block = 0"), "block").select(*payload)
     first = written(start.repartition("q_block").mapInArrow(released(pair), result), "first")
-    rest = candidates.where("block <> 0")
-    names = [r["block"] for r in rest.select("block").collect()]  # one number a block
-    found = first.select("query_id", "vec_id", "score")
-    if names:
-        floors = queries.join(first.select("q_block", "floor", "reach"), "q_block")
-        near = meet(floors, names, rest).where(F.col("longest") * (1 + 1e-9) >= F.col("reach"))
-        more = near.select("q_block", "q_ids", "q_data", "floor", "ids", "data").mapInArrow(released(pair), result)
-        found = found.unionByName(more.select("query_id", "vec_id", "score"))
-    flat = found.select(F.explode(F.arrays_zip("query_id", "vec_id", "score")).alias("x")).select("x.*")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return flat.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(
+    # Which blocks can still matter is decided on two small tables, a row for each block; only such pairs get their vectors.
+    near = first.select("q_block", "reach").join(
+        candidates.where("block <> 0").select("block", "longest"), F.col("longest") * (1 + 1e-9) >= F.col("reach")).select("q_block", "block")
+    asked_blocks = queries.join(first.select("q_block", "floor"), "q_block")
+    pairs = near.join(asked_blocks, "q_block").join(candidates.select("block", "rows", "ids", "data"), "block").select(*payload)
+    more = written(pairs.mapInArrow(released(pair), result), "more")
+    found = first.unionByName(more).select(F.explode(F.arrays_zip("q_row", "query_id", "vec_id", "score")).alias("x")).select("x.*")
+    order = Window.partitionBy("q_row").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(
         "query_id", "rank", "vec_id", "score")
 
 

@@ -135,12 +135,12 @@ def test_long_documents_are_cut_in_pieces(monkeypatch):
 
 
 def brute_top(rows, k):
-    valid = sorted({(i, tuple(np.floor(64 * np.asarray(v, np.float64)).astype(int))) for i, v in rows
-                    if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)})
+    valid = [(i, tuple(np.floor(64 * np.asarray(v, np.float64)).astype(int))) for i, v in rows
+             if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     out = []
-    for i, q in valid:
+    for at, (i, q) in enumerate(valid):
         if i % 20 == 0:
-            scores = sorted((-sum(a * b for a, b in zip(q, c)), j) for j, c in valid if j != i)
+            scores = sorted((-sum(a * b for a, b in zip(q, c)), j) for other, (j, c) in enumerate(valid) if other != at)
             out += [(i, n + 1, j, -s) for n, (s, j) in enumerate(scores[:k])]
     return sorted(out)
 
@@ -152,7 +152,7 @@ def test_search_is_exact(spark, monkeypatch, few):
     rng = np.random.default_rng(5)
     rows = [(i, rng.normal(size=6).round(2).tolist()) for i in range(12 if few else 200)]
     rows += [(300, None), (320, [1.0, None]), (340, [float("nan")] * 6), (360, [0.5, -1.0]), (380, []), (None, [1.0] * 6),
-             (7, rows[7][1]), (400, rows[3][1]), (401, rows[3][1]), (402, [float("inf")] * 6)]
+             (7, rows[7][1]), (400, rows[3][1]), (401, rows[3][1]), (0, rows[0][1]), (0, rows[0][1]), (20, rows[2][1]), (402, [float("inf")] * 6)]
     df = spark.createDataFrame([(i, v, 1, 0) for i, v in rows], "vec_id long, embedding array<double>, rank int, score long")
     found = topk_search.search(df, F.col("vec_id") % 20 == 0)
     assert sorted(tuple(r) for r in found.select("query_id", "rank", "vec_id", "score").collect()) == brute_top(rows, 20)
