@@ -232,7 +232,8 @@ def search(rows: DataFrame, is_query: Column, k: int = TOP, id_column: str = "ve
 
     result = "q_block long, floor binary, reach double, q_row array<long>, query_id array<long>, vec_id array<long>, score array<long>"
     payload = ["q_block", "floor", "q_rows", "q_ids", "q_data", "rows", "ids", "data"]
-    start = queries.withColumns({"floor": F.lit(None).cast("binary"), "block": F.lit(0).cast("long")}).join(
+    # A row of its own for the number, as an equality of two constants would become a product of the tables.
+    start = queries.withColumns({"floor": F.lit(None).cast("binary"), "block": F.explode(F.array(F.lit(0).cast("long")))}).join(
         candidates.where("block = 0"), "block").select(*payload)
     first = written(start.repartition("q_block").mapInArrow(released(pair), result), "first")
     # Which blocks can still matter is decided on two small tables, a row for each block; only such pairs get their vectors.
