@@ -166,6 +166,14 @@ def _hot_table(left: _Side, right: _Side | None, names: list[str], hot_rows: int
     return None if hot.isEmpty() else hot
 
 
+def hot_keys(left: DataFrame, right: DataFrame, key: str, *, hot_rows: int = HOT_ROWS, hot_share: float = HOT_SHARE,
+             rows_per_split: int = ROWS_PER_SPLIT, pairs_per_task: int = PAIRS_PER_TASK) -> DataFrame | None:
+    """Values (``_key``) of a shared key that ``spread_join`` would spread, or none; at most 2 / ``hot_share``."""
+    sides = [_Side(df.dropna(subset=[key]), [key]) for df in (left, right)]
+    hot = _hot_table(*sides, ["_key"], hot_rows, hot_share, rows_per_split, pairs_per_task)
+    return None if hot is None else hot.select("_key")
+
+
 def spread_join(left: DataFrame, right: DataFrame, on: Keys, how: str = "left", *, take=None,
                 prefix: str | None = None, null_safe: bool = False, right_unique: bool = False,
                 count_on: DataFrame | None = None, hot_rows: int = HOT_ROWS,

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from canvass import vocabulary as v
+from canvass.operators.bucketed import Bucketed, bucket_pair, linked_join
 from canvass.operators.joins import join, spread_join, star_join
 from canvass.operators.summary import (
     code_totals,
@@ -29,6 +30,7 @@ from canvass.plans.dimensions import (
 )
 from canvass.plans.screener import screener_flags
 from canvass.session import write_once
+from canvass.sinks.versions import Published, publish, stage
 from canvass.sinks.writers import write_star
 
 
@@ -67,17 +69,32 @@ def health_answers(dwellings: DataFrame) -> DataFrame:
     return code_totals(dwellings, "SDASTAND", v.HEALTH_QUESTIONS)
 
 
+LINKED_TRAITS = ("participant_gender", "participant_race")
+
+
 def labelled_star(fact: DataFrame, participants: DataFrame) -> DataFrame:
     """Fact with participant, stand and label columns joined on, as the dashboard links them.
 
     The fact is read several times, so hand in a written one.
     """
+    details = participant_details(participants)
+    return _with_labels(spread_join(fact, details, ["participant_key2"], take=LINKED_TRAITS), fact)
+
+
+def bucket_star(fact: DataFrame, participants: DataFrame, buckets: int | None = None, **hot) -> tuple[Bucketed, Bucketed]:
+    """Fact and participants written in buckets of their shared key, for links that move no rows."""
+    return bucket_pair(fact, participant_details(participants), "participant_key2", buckets, **hot)
+
+
+def linked_star(fact: Bucketed, details: Bucketed) -> DataFrame:
+    """:func:`labelled_star` of tables from :func:`bucket_star`, without an exchange of either."""
+    return _with_labels(linked_join(fact, details, take=LINKED_TRAITS), fact.rows())
+
+
+def _with_labels(linked: DataFrame, fact: DataFrame) -> DataFrame:
     labels = label_tables(fact.sparkSession)
     # Written, so that Spark knows how small it is and need not shuffle the fact for it.
     stands = write_once(stand_dimension(fact), "stands")
-    details = participant_details(participants)
-    linked = spread_join(fact, details, ["participant_key2"],
-                         take=["participant_gender", "participant_race"])
     return star_join(linked, [
         (stands, ["standid"],
          {"vacannt_threshhold": "vacannt_threshhold", "active_stand": "active_stand"}),
@@ -142,3 +159,20 @@ def export_dashboard(cases: DataFrame, current: DataFrame, participants: DataFra
         fact = write_once(fact, "case-fact")
         paths = write_star({"case_fact": fact}, folder, fmt)
     return paths | write_star(dashboard_tables(fact, participants, participant_order), folder, fmt)
+
+
+def publish_dashboard(cases: DataFrame, current: DataFrame, participants: DataFrame,
+                      participant_order: list[str], folder: str, **spread) -> int:
+    """Write the whole star as one new version of ``folder`` and return its number.
+
+    Readers keep the version before until every table of this one is written and read back.
+    """
+    spark = cases.sparkSession
+
+    def tables(staging: str, done: dict[str, Published]) -> None:
+        done["case_fact"] = stage(dashboard_fact(cases, current, **spread), f"{staging}/case_fact")
+        fact = done["case_fact"].read(spark)
+        for name, df in dashboard_tables(fact, participants, participant_order).items():
+            done[name] = stage(df, f"{staging}/{name}")
+
+    return publish(spark, folder, tables)

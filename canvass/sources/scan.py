@@ -6,7 +6,7 @@ and pushes the predicate into Parquet or the database by itself.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -67,13 +67,16 @@ class JdbcStore:
     """Tables or views of a relational database.
 
     ``splits`` names for a table the numeric column, its bounds and the number of
-    parallel reads; without it Spark reads the table through a single connection.
+    parallel reads; ``predicates`` gives a table one condition per read instead, as
+    :func:`canvass.sources.splits.equal_depth` makes them for skewed keys. Without either
+    Spark reads the table through a single connection.
     """
 
     spark: SparkSession
     url: str
     options: Mapping[str, str] = field(default_factory=dict)
     splits: Mapping[str, tuple[str, int, int, int]] = field(default_factory=dict)
+    predicates: Mapping[str, Sequence[str]] = field(default_factory=dict)
 
     def reader_options(self, name: str) -> dict[str, str]:
         chosen = {"url": self.url, "dbtable": name, **self.options}
@@ -88,6 +91,9 @@ class JdbcStore:
         return chosen
 
     def table(self, name: str) -> DataFrame:
+        if name in self.predicates:
+            return self.spark.read.jdbc(self.url, name, predicates=list(self.predicates[name]),
+                                        properties=dict(self.options))
         return self.spark.read.format("jdbc").options(**self.reader_options(name)).load()
 
     def query_options(self, sql: str, split: tuple[str, int, int, int] | None = None) -> dict[str, str]:

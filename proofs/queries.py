@@ -26,9 +26,10 @@ from canvass.operators.labels import (
 )
 from canvass.plans import cases as case_plans
 from canvass.plans import checks, dashboard, dimensions, report
+from canvass.plans.daily_state import DailyState
 from canvass.session import configure, fresh_path, write_once
-from canvass.sinks import writers
-from canvass.sources import mappings
+from canvass.sinks import versions, writers
+from canvass.sources import mappings, splits
 from canvass.sources.scan import TableMap, footer_scan, min_max, scan
 from proofs.survey import SurveyStore, TestTables, labelled_documents
 
@@ -273,12 +274,20 @@ def propagate_id_first(i: Inputs) -> DataFrame:
     return case_plans.propagate_participant(keyed, one_per_dwelling=True)
 
 
+_STAR_COLUMNS = ("caseid", "participant_key2", "standid", "case_type", "participantid2", "vacannt_threshhold",
+                 "active_stand", "active_stand_label", "gender", "race", "pending", "completed")
+
+
 @query
 def star_join(i: Inputs) -> DataFrame:
-    star = dashboard.labelled_star(write_once(i.fact, "case-fact"), i.participants)
-    return star.select("caseid", "participant_key2", "standid", "case_type", "participantid2",
-                       "vacannt_threshhold", "active_stand", "active_stand_label", "gender",
-                       "race", "pending", "completed")
+    return dashboard.labelled_star(write_once(i.fact, "case-fact"), i.participants).select(*_STAR_COLUMNS)
+
+
+@query
+def star_buckets(i: Inputs) -> DataFrame:
+    """The labelled star through tables in buckets of the participant key; its link has no exchange."""
+    fact, details = dashboard.bucket_star(i.fact, i.participants)
+    return dashboard.linked_star(fact, details).select(*_STAR_COLUMNS)
 
 
 @query
@@ -624,6 +633,76 @@ def star_content_curve(i: Inputs) -> DataFrame:
     return _star_table(i, "completed_screeening_forcast")
 
 
+def _published_star(i: Inputs) -> str:
+    """A folder whose newest version is the star; a version before it holds the stands only."""
+    folder = fresh_path(i.spark, "published")
+    versions.publish(i.spark, folder, {"stand_demensions": dimensions.stand_dimension(i.cases)})
+    dashboard.publish_dashboard(i.cases, i.current, i.participants, ["dwellingid"], folder)
+    return folder
+
+
+@query
+def publish_manifest(i: Inputs) -> DataFrame:
+    """Rows of each published table, counted from the files of the newest version."""
+    return versions.stacked_counts(i.spark, _published_star(i))
+
+
+@query
+def publish_fact(i: Inputs) -> DataFrame:
+    """The fact of the newest published version, by value."""
+    return versions.published(i.spark, _published_star(i))["case_fact"].read(i.spark)
+
+
+@query
+def publish_slicer(i: Inputs) -> DataFrame:
+    """The published slicer linked to the participants of the same version, by value."""
+    tables = versions.published(i.spark, _published_star(i))
+    slicer, people = (tables[n].read(i.spark) for n in ("participant_demographics_slicer", "participant_details"))
+    return slicer.join(people.select("slicer_ID", "participant_key2"), "slicer_ID").select(
+        "participant_key2", "variable", F.col("value").cast("string").alias("value"), "valuelabel")
+
+
+@query
+def split_scan(i: Inputs) -> DataFrame:
+    """Line items read in parts of equal depth; every row is in one part."""
+    parts = splits.equal_depth(i.t.lineitem, "l_suppkey", 8, "l_orderkey")
+    part = F.coalesce(*[F.when(F.expr(p), F.lit(n)) for n, p in enumerate(parts)])
+    met = sum((F.coalesce(F.expr(p), F.lit(False)).cast("int") for p in parts), F.lit(0))
+    return i.t.lineitem.select("l_orderkey", "l_linenumber", "l_suppkey", met.alias("parts"),
+                               part.isNotNull().alias("placed"))
+
+
+def _state_in_batches(i: Inputs) -> DailyState:
+    """The fact's daily state from batches: a wrong first load, its correction, late rows, a repeated and a withdrawn batch."""
+    fact = write_once(i.fact, "case-fact")
+    state = DailyState(i.spark, fresh_path(i.spark, "daily-state"), "standid", "case_date",
+                       list(dict.fromkeys([*(flag for flag, _ in v.STAGES), "completed_screener"])))
+    early = F.coalesce(F.col("case_date") < F.lit("1995-01-01"), F.lit(False))
+    odd = F.col("caseid") % 2 == 1
+    state.add("first load", fact.filter(early).withColumn("completed_screener", F.lit(1)))
+    state.add("late, odd", fact.filter(~early & odd))
+    state.replace("corrected", fact.filter(early))
+    state.add("late, even", fact.filter(~early & ~odd))
+    state.add("late, even", fact.filter(~early & ~odd))  # a repeated job
+    state.add("by mistake", fact.filter(odd))
+    state.withdraw("taken back", fact.filter(odd))
+    return state
+
+
+@query
+def daily_state_curve(i: Inputs) -> DataFrame:
+    """The completion curve from a state that got its days in batches."""
+    return _state_in_batches(i).curve("completed_screener")
+
+
+@query
+def daily_state_stages(i: Inputs) -> DataFrame:
+    """Stage counts from the same state after its batches are made one."""
+    state = _state_in_batches(i)
+    state.compact()
+    return state.stage_counts(v.STAGES, v.STAGES_STRICT)
+
+
 @query
 def minmax_footers(i: Inputs) -> DataFrame:
     return min_max(footer_scan(i.spark, f"{i.t.store.folder}/lineitem.parquet"), "l_suppkey")
