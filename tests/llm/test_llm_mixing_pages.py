@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+import time
 from collections import Counter, defaultdict
 from fractions import Fraction
 
@@ -133,6 +134,64 @@ def test_lists_of_copied_articles_are_kept_beside_other_pages(spark):
         assert found[i] == f"Head {i}\nArticle {i} says enough to be one of its own." + ("\nPlain." if i == 24 else "")
 
 
+def _opaque(n, extra=""):
+    """No telling tag or name; the menu and the notice are longer than the article, and position tells the parts."""
+    return (f"<html><body><div><a href='/{n}'>Start</a> <a href='/b'>Other pages of this place and more of them</a></div>"
+            f"<div class=k1>{'A long notice that each page of the place shows before anything else. ' * 6}</div>"
+            f"<div class='k2 p{n}'><h1>Title {n}</h1><p>Words of page {n} only.</p>{extra}</div>"
+            f"<div>{'Rights and remarks at the end of every page. ' * 5}</div></body></html>")
+
+
+def test_template_finds_what_a_page_alone_does_not(spark):
+    rows = [(i, f"https://Opaque.org/{i}", _opaque(i, "<p>Also here.</p>" if i == 3 else "")) for i in range(8)]
+    rows += [(i, f"https://opaque.org/{i}", _opaque(3, "<p>Also here.</p>")) for i in (8, 9)]  # copies of one article
+    found = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    for r in found:
+        n = 3 if r["page_id"] in (3, 8, 9) else r["page_id"]
+        assert r["text"] == f"Title {n}\nWords of page {n} only." + ("\nAlso here." if n == 3 else "")
+        assert r["text"] != html_text.text_alone(html_text.parse(_opaque(n)))
+
+
+def test_roles_by_position_equal_brute_force(spark):
+    """Split roles and occurrence counts, against paths with positions made page by page."""
+    pages = [(i, f"http://h.net/{i}", f"<div><div>a{i}</div><div><ul>{'<ul>x</ul>' * (i % 3)}</ul></div></div><div>z</div>") for i in range(6)]
+    rows = written(html_text.skeletons(spark.createDataFrame(pages, "page_id long, url string, html string")))
+    state, counts = html_text.split_roles(rows, html_text.host_words(rows))
+    found = sorted((r["label"], r["pages"], r["n"]) for r in counts.collect())
+    # two divs at the top and two in the first, each on six pages; one list, and inner lists that vary
+    assert found == [("div", 6, 6)] * 4 + [("ul", 4, 6), ("ul", 6, 6)]
+    assert state.count() == 1
+
+
+def test_unclosed_elements_and_names_lose_no_article():
+    alone = lambda body: html_text.text_alone(html_text.parse(body))
+    article = "<article><p>One.</p>{}<p>Two.</p></article><footer>f</footer>"
+    for tag in ("button", "object", "select", "svg", "template", "iframe", "noscript"):
+        assert alone(article.format(f"<{tag}>")).split("\n") == ["One.", "Two."]
+        assert alone(article.format(f"<{tag}>out</{tag}>")).split("\n") == ["One.", "Two."]
+        assert alone(article.format(f"<{tag}>") + f"<{tag}>out</{tag}>").split("\n")[:2] == ["One.", "Two."]
+    for wrapper in ('<div class="post comments-enabled">', '<article class="social search">', '<div id=sidebar-off>'):
+        assert alone(f"<nav>n</nav>{wrapper}<p>All of the article.</p>") == "All of the article."
+    assert alone("<article><p>Said.</p><div class=comments>Reply, longer than what was said.</div></article>") == "Said."
+
+
+def test_deep_and_long_pages_take_linear_time():
+    start = time.monotonic()
+    for opening in ("<div>", "<div class='menu comments'>", "<button><div>", "<object>"):
+        text = html_text.text_alone(html_text.parse(opening * 20_000 + "deep"))
+        assert text == "deep"
+    assert len(html_text.text_alone(html_text.parse("<p>word</p>" * 100_000)).split("\n")) == 100_000
+    assert time.monotonic() - start < 20
+
+
+def test_pages_without_rows_and_with_nulls(spark):
+    empty = spark.createDataFrame([], "page_id long, url string, html string")
+    assert html_text.extract(empty).collect() == []
+    rows = [(None, None, None)] * 2 + [(1, "http://a.net/", None)] * 3
+    found = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(found) == 5 and {r["text"] for r in found} == {""}
+
+
 @tables
 def test_pipeline_stages_keep_columns_and_only_drop_what_they_judge(spark):
     import corpus_pipeline
