@@ -6,8 +6,8 @@ the run and node is below FAN / size, about FAN of them, and joins the node of e
 texts tend to choose the same ones. Nodes with more than SMALL texts are split again by shingles chosen
 anew, unless their texts are alike already (agreement of minwise sketches), until MAX_DEPTH.
 Leaves are compared by brute force, in cells of at most CELL_TEXTS texts or CELL_TOKENS shingles
-a side, so that a huge group of near copies spreads over many tasks. Leaves with the same members
-are compared once, and a pair is counted only in the first of its common leaves.
+a side, so that a huge group of near copies spreads over many tasks. The alike nodes of a group are merged to one leaf, leaves with
+the same members are compared once, and a pair is counted only in the first of its common leaves.
 The number of runs follows from the target recall at the threshold and FAN.
 
 Only counts and, per cell, a spanning forest of its links leave a task, never all pairs. Classes
@@ -186,36 +186,42 @@ def _counted(rows: DataFrame) -> DataFrame:
 
 
 def _alike(rows: DataFrame) -> DataFrame:
-    """Nodes whose texts agree with one of them in their sketches by TIGHT or more on average."""
-    one = rows.groupBy("node").agg(F.min_by("sketch", F.xxhash64("text_id")).alias("one"))
-    same = F.size(F.filter(F.zip_with("sketch", "one", lambda a, b: a == b), lambda x: x)) / SKETCH
-    return rows.join(one, "node").groupBy("node").agg(F.avg(same).alias("mean")).where(
-        F.col("mean") >= TIGHT).select("node")
+    """(node, group) of nodes whose texts agree with one of them, the anchor, in their sketches by TIGHT or more on
+    average; the group is the anchor's. Nodes that a group of near copies shares have few anchors among them."""
+    one = rows.groupBy("node").agg(F.min(F.struct(F.xxhash64("text_id").alias("group"), "sketch")).alias("one"))
+    same = F.size(F.filter(F.zip_with("sketch", "one.sketch", lambda a, b: a == b), lambda x: x)) / SKETCH
+    return rows.join(one, "node").groupBy("node").agg(F.avg(same).alias("mean"), F.first("one.group").alias("group")).where(
+        F.col("mean") >= TIGHT).select("node", "group")
 
 
 def leaves(docs: DataFrame, texts: DataFrame, text: str) -> DataFrame:
-    """(node, text_id, n, tokens): the leaves that texts meet in, one of those with the same members."""
+    """(node, text_id, n, tokens): the leaves that texts meet in. Of leaves with the same members there is one, and the alike
+    nodes of one group are one leaf of all their texts, so a text is in it once however many nodes the group shares."""
     rows = texts.select("text_id", "key", "size", "sketch", F.explode("nodes").alias("node"))
     ended: DataFrame | None = None
+    grouped: DataFrame | None = None
     for depth in range(MAX_DEPTH):
         counted = written(_counted(rows), "nodes")
+        large = counted.where(F.col("n") > SMALL).select("node")
+        last = depth + 1 == MAX_DEPTH or large.isEmpty()
+        if not last:
+            counted = counted.join(written(_alike(rows.join(large, "node")), "alike"), "node", "left")
         met = written(rows.join(counted, "node"), "met")
-        small = met.where(F.col("n") <= SMALL)
-        large = met.where(F.col("n") > SMALL)
-        if depth + 1 == MAX_DEPTH or large.isEmpty():
-            done, more = met, None
-        else:
-            alike = written(_alike(large), "alike")
-            done = small.unionByName(large.join(alike, "node", "left_semi"))
-            more = large.join(alike, "node", "left_anti")
-        done = done.select("node", "text_id", "n", "tokens", "members")
-        ended = done if ended is None else ended.unionByName(done)
-        if more is None:
+        small = met if last else met.where(F.col("n") <= SMALL)
+        small = small.select("node", "text_id", "n", "tokens", "members")
+        ended = small if ended is None else ended.unionByName(small)
+        if last:
             break
+        same = met.where((F.col("n") > SMALL) & F.col("group").isNotNull()).select(F.col("group").alias("node"), "text_id", "size")
+        grouped = same if grouped is None else grouped.unionByName(same)
+        more = met.where((F.col("n") > SMALL) & F.col("group").isNull())
         more = written(more.groupBy("text_id", "key", "size", "sketch").agg(F.collect_list("node").alias("parents")), "more")
         if more.isEmpty():
             break
         rows = written(_split(docs, more, text), "split")
+    if grouped is not None:
+        once = written(grouped.distinct(), "grouped")
+        ended = ended.unionByName(once.join(_counted(once), "node").select("node", "text_id", "n", "tokens", "members"))
     first = ended.groupBy("n", "members").agg(F.min("node").alias("node")).select("node")
     return written(ended.drop("members").join(first, "node", "left_semi"), "leaves")
 

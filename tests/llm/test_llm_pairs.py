@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from llm import decontamination, jaccard_join, suffix_dedup, topk_search
+from llm.written import written
 
 SCHEMA = "doc_id long, text string, key string, node long, score double"
 
@@ -70,6 +71,27 @@ def test_join_splits_large_nodes_and_cells(spark, monkeypatch):
     assert {r["doc_id"]: (r["class_id"], r["n_links"]) for r in found} == brute_classes(list(range(len(texts))), texts)
 
 
+def test_a_large_group_is_compared_about_once(spark, monkeypatch):
+    """A group of near copies is in few leaves, whatever number of nodes it shares, and keeps all its links."""
+    monkeypatch.setattr(jaccard_join, "SMALL", 40)
+    monkeypatch.setattr(jaccard_join, "CELL_TEXTS", 50)
+    rng = random.Random(5)
+    plain = [f"w{i}" for i in range(200)]
+    rows = []
+    for i in range(120):
+        spoken = list(plain)
+        spoken[rng.randrange(200)] = f"own{i}"
+        rows.append((i, " ".join(spoken)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    described = written(jaccard_join.described(docs, "text", jaccard_join.runs_needed()))
+    texts = described.groupBy("text_id").agg(F.min("key").alias("key"), F.first("size").alias("size"),
+                                             F.first("nodes").alias("nodes"), F.first("sketch").alias("sketch"))
+    leaves = jaccard_join.leaves(docs, written(texts), "text").groupBy("node").count().collect()
+    assert sum(r["count"] for r in leaves) < 6 * 120  # it shares more than 20 nodes
+    found = jaccard_join.classes(docs).collect()
+    assert {(r["class_id"], r["n_links"], r["n_texts"]) for r in found} == {(0, 119, 119)}
+
+
 def test_one_document_of_each_class_stays(spark):
     texts = ["a b c d e f g h"] * 3 + ["something else that is quite long here", None, "", "a b c d e f g h"]
     docs = frame(spark, texts, [5, 4, 4, 7, 8, 9, None])
