@@ -17,8 +17,17 @@ def key_of(df: DataFrame, parts: Sequence[str | Column], sep: str = "_") -> Colu
 
 
 def with_keys(df: DataFrame, keys: Mapping[str, Sequence[str | Column]]) -> DataFrame:
-    """Add several keys in one projection."""
-    return df.withColumns({name: key_of(df, parts) for name, parts in keys.items()})
+    """Add several keys; one that begins as an earlier one does continues its text, so no part is printed twice."""
+    if any(isinstance(p, Column) or p in keys for parts in keys.values() for p in parts):
+        return df.withColumns({name: key_of(df, parts) for name, parts in keys.items()})
+    made: dict[str, list[str]] = {}
+    for name, parts in keys.items():
+        begun = [n for n in made if made[n] == list(parts[:len(made[n])])]
+        longest = max(begun, key=lambda n: len(made[n]), default=None)
+        rest = parts if longest is None else [longest, *parts[len(made[longest]):]]
+        df = df.withColumn(name, key_of(df, rest))
+        made[name] = list(parts)
+    return df
 
 
 def place_keys(stand: str, segment: str, dwelling: str, family: str | None = None,
@@ -39,7 +48,8 @@ def place_keys(stand: str, segment: str, dwelling: str, family: str | None = Non
 
 
 def typed_participant_key(df: DataFrame, participant: str, case_type: str | int,
-                          stand="standid", segment="segmentid", dwelling="dwellingid") -> Column:
-    """Participant key qualified by the case type, a column name or a constant."""
+                          stand="standid", segment="segmentid", dwelling="dwellingid", place: str | None = None) -> Column:
+    """Participant key qualified by the case type, a column name or a constant; ``place`` names the
+    dwelling's key, if the table has it."""
     kind = case_type if isinstance(case_type, str) else F.lit(case_type)
-    return key_of(df, [stand, segment, dwelling, participant, kind])
+    return key_of(df, [*([place] if place else [stand, segment, dwelling]), participant, kind])

@@ -43,9 +43,9 @@ def with_current_status(cases: DataFrame, current: DataFrame) -> DataFrame:
     })
 
 
-def with_case_keys(cases: DataFrame) -> DataFrame:
+def with_case_keys(cases: DataFrame, participant: str = "participantid") -> DataFrame:
     return with_keys(cases, place_keys("standid", "segmentid", "dwellingid", "familyid",
-                                       "personid", "participantid"))
+                                       "personid", participant))
 
 
 def case_fact(cases: DataFrame, current: DataFrame) -> DataFrame:
@@ -93,9 +93,9 @@ def propagate_participant(cases: DataFrame, one_per_dwelling: bool = False, **sp
 
 
 def with_star_key(cases: DataFrame) -> DataFrame:
-    """Key under which a case meets the participant table."""
-    return cases.withColumn(
-        "participant_key2", typed_participant_key(cases, "participantid2", "case_type"))
+    """Key under which a case of known ``dwelling_key`` meets the participant table."""
+    return cases.withColumn("participant_key2", typed_participant_key(
+        cases, "participantid2", "case_type", place="dwelling_key"))
 
 
 def participant_details(participants: DataFrame) -> DataFrame:

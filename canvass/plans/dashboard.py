@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from canvass import vocabulary as v
 from canvass.operators.bucketed import Bucketed, bucket_pair, linked_join
 from canvass.operators.joins import join, spread_join, star_join
+from canvass.operators.keys import place_keys
 from canvass.operators.summary import (
     code_totals,
     daily_running,
@@ -38,11 +39,17 @@ def dashboard_fact(cases: DataFrame, current: DataFrame, **spread) -> DataFrame:
     """The finished fact: keys, reconciled participant, current status, flags, star key.
 
     Participants are propagated before the current status is joined. The two are
-    independent, and this way the dwelling join reads only the case table.
+    independent, and this way the dwelling join reads only the case table. The place keys are
+    pasted after both joins, since their texts would be most of what is shuffled; the dwelling
+    key alone is needed before, by the rows that meet on it.
     """
-    propagated = propagate_participant(with_case_keys(cases), **spread)
-    current_status = with_current_status(propagated, current)
-    return with_star_key(screener_flags(current_status))
+    keyed = with_case_keys(cases)
+    propagated = propagate_participant(keyed, **spread)
+    pasted = [k for k in place_keys("", "", "", "", "", "") if k not in cases.columns]
+    current_status = with_current_status(propagated.drop(*pasted), current)
+    whole = with_case_keys(current_status, participant="participantid_x")
+    added = [c for c in current_status.columns if c not in propagated.columns]
+    return with_star_key(screener_flags(whole.select(*[F.col(f"`{c}`") for c in [*propagated.columns, *added]])))
 
 
 def screener_stages(fact: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from canvass import vocabulary as v
+from canvass.operators.keys import key_of, with_keys
 from canvass.plans import cases as plan
 from canvass.plans.dashboard import dashboard_fact, screener_stages
 
@@ -114,3 +115,29 @@ def test_stages_count_the_flags_and_strict_ones_are_poisoned(spark, cases):
         (398, 3): 5, (398, 4): 4, (398, 5): 1, (398, 6): 1, (398, 7): 1, (398, 8): 2,
         (420, 3): 1, (420, 4): None, (420, 5): 1, (420, 6): 0, (420, 7): 0, (420, 8): 0,
     }
+
+
+def test_fact_shuffles_no_pasted_key_but_the_dwelling(spark, cases):
+    current = spark.createDataFrame([(1, datetime(2020, 1, 1), "51", 5, "ip")],
+                                    "caseid long, case_date timestamp, case_disposition string, employee_id long, case_ip_address string")
+    fact = dashboard_fact(cases, current)
+    pasted = ["segment_key", "dwelling_key", "family_key", "person_key", "participant_key"]
+    keyed = plan.with_current_status(plan.propagate_participant(plan.with_case_keys(cases)), current)
+    assert fact.columns[:len(keyed.columns)] == keyed.columns
+    same = fact.select("caseid", "participantid_y", *pasted)
+    expected = keyed.select("caseid", "participantid_y", *pasted)
+    assert sorted(map(str, same.collect())) == sorted(map(str, expected.collect()))
+    moved = [line for line in fact._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join" in line]
+    assert moved
+    below = fact._jdf.queryExecution().optimizedPlan().toString().split("Join", 1)[1]
+    assert not any(f"AS {k}#" in below for k in pasted if k != "dwelling_key")
+
+
+def test_keys_that_begin_alike_have_the_same_text(spark):
+    df = spark.createDataFrame([(1, None, 3), (None, 2.0, None)], "a int, b double, c long")
+    keys = {"k1": ["a", "b"], "k2": ["a", "b", "c"], "k3": ["b", "a"], "k4": ["a", "b", "c", "c"]}
+    found = with_keys(df, keys)
+    assert found.columns == [*df.columns, *keys]
+    assert [r[3:] for r in found.collect()] == [r[:] for r in df.select(*[key_of(df, p) for p in keys.values()]).collect()]
+    over = df.withColumn("k1", F.lit("own"))
+    assert [r["k2"] for r in with_keys(over, {"k1": ["a"], "k2": ["k1", "c"]}).collect()] == ["own_3", "own_NA"]
