@@ -19,7 +19,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from canvass.session import CODEC
+
 _MANIFESTS = "_versions"
+# A 64-bit hash is summed in parts of so many bits: 2^41 rows fit a bigint sum.
+_SUMMED_BITS = 22
 
 
 class VersionTaken(RuntimeError):
@@ -83,17 +87,27 @@ def add_manifest(spark: SparkSession, folder: str, number: int, content: Mapping
 def content_hash(columns: Sequence[str]) -> Column:
     """Aggregate over a table's rows that does not depend on their order, and counts repeated rows."""
     named = [F.col(f"`{c}`") for c in columns]
-    wide = [F.sum(h.cast("decimal(20,0)")).cast("string") for h in (F.xxhash64(*named), F.xxhash64(F.lit(1), *named))]
+    wide = [_wide_sum(h).cast("string") for h in (F.xxhash64(*named), F.xxhash64(F.lit(1), *named))]
     return F.concat_ws("/", *[F.coalesce(w, F.lit("0")) for w in wide])
 
 
+def _wide_sum(number: Column) -> Column:
+    """Exact sum of 64-bit numbers as a decimal, from sums that stay bigints over the rows."""
+    low = F.lit((1 << _SUMMED_BITS) - 1)
+    parts = [F.shiftright(number, 2 * _SUMMED_BITS), F.shiftright(number, _SUMMED_BITS).bitwiseAND(low), number.bitwiseAND(low)]
+    total = F.lit(0).cast("decimal(30,0)")
+    for part in parts:
+        total = (total * F.lit(1 << _SUMMED_BITS).cast("decimal(7,0)") + F.sum(part).cast("decimal(20,0)")).cast("decimal(30,0)")
+    return total
+
+
 def _described(df: DataFrame) -> tuple[int, str]:
     found = df.agg(F.count(F.lit(1)).alias("rows"), content_hash(df.columns).alias("content")).first()
     return found["rows"], found["content"]
 
 
 def _write_parquet(df: DataFrame, path: str) -> None:
-    df.write.parquet(path)
+    df.write.option("compression", CODEC).parquet(path)
 
 
 def stage(df: DataFrame, path: str, write: Callable[[DataFrame, str], None] = _write_parquet) -> Published:
