@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from canvass.operators.joins import hot_keys, join, spread_join
-from canvass.session import fresh_path, write_once
+from canvass.session import CODEC, discard, fresh_path, write_once
 
 
 @dataclass(frozen=True)
@@ -35,7 +35,7 @@ def _bucketed(df: DataFrame, key: str, buckets: int, name: str) -> DataFrame:
     spark = df.sparkSession
     table = f"canvass_{name}_{uuid.uuid4().hex}"
     (df.repartition(buckets, F.col(f"`{key}`")).write.bucketBy(buckets, key).sortBy(key)
-     .option("path", fresh_path(spark, table)).format("parquet").saveAsTable(table))
+     .options(path=fresh_path(spark, table), compression=CODEC).format("parquet").saveAsTable(table))
     return spark.table(table)
 
 
@@ -54,17 +54,21 @@ def bucket_pair(left: DataFrame, right: DataFrame, key: str, buckets: int | None
     """Write two tables in the same buckets of the key they share.
 
     Both sides are split by the same hot keys, those of either side (limits as in ``spread_join``), so buckets meet
-    buckets and the rest meets the rest. ``buckets`` defaults to the session's shuffle partitions.
+    buckets and the rest meets the rest. ``buckets`` defaults to the session's shuffle partitions. Each table is computed
+    once: keys are counted and rows dealt out from a written copy, which goes when the buckets are there.
     """
     if left.schema[key].dataType != right.schema[key].dataType:
         raise ValueError(f"{key} has two types: {left.schema[key].dataType}, {right.schema[key].dataType}")
     count = buckets or int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = hot_keys(left, right, key, **hot)
+    copies = [write_once(df, f"{name}-whole") for df, name in ((left, "left"), (right, "right"))]
+    found = hot_keys(*copies, key, **hot)
     made = []
-    for df, name in ((left, "left"), (right, "right")):
+    for df, name in zip(copies, ("left", "right"), strict=True):
         even, rest = _apart(df, key, found)
         rest = write_once(rest, f"{name}-apart")
         made.append(Bucketed(key, count, _bucketed(even, key, count, name), None if rest.isEmpty() else rest))
+    for copy in copies:
+        discard(copy)
     return made[0], made[1]
 
 

@@ -5,6 +5,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from canvass.operators import bucketed
 from canvass.operators.bucketed import bucket_pair, linked_join
 from canvass.operators.joins import join
 from canvass.operators.summary import daily_running, stage_counts
@@ -138,3 +139,24 @@ def test_split_literals_and_stores():
     with pytest.raises(TypeError):
         splits._text("text")
     assert JdbcStore(None, "jdbc:x", predicates={"t": ["a = 1"]}).predicates["t"] == ["a = 1"]
+
+
+def test_content_hash_is_the_exact_sum_without_a_decimal_per_row(spark):
+    df = spark.range(-500, 500).select(F.col("id").alias("a"), F.when(F.col("id") % 3 == 0, F.col("id").cast("string")).alias("b"))
+    exact = [sum(r[0] for r in df.select(h).collect()) for h in (F.xxhash64("a", "b"), F.xxhash64(F.lit(1), "a", "b"))]
+    found = df.agg(versions.content_hash(df.columns).alias("c"))
+    assert found.first()["c"] == "/".join(map(str, exact))
+    assert "sum(cast(xxhash64" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert df.limit(0).agg(versions.content_hash(df.columns)).first()[0] == "0/0"
+    edges = spark.createDataFrame([(2 ** 63 - 1,), (2 ** 63 - 1,), (-2 ** 63,), (-1,)], "n long")
+    assert int(edges.agg(versions._wide_sum(F.col("n"))).first()[0]) == 2 * (2 ** 63 - 1) - 2 ** 63 - 1
+
+
+def test_bucket_pair_counts_and_deals_from_one_written_copy(spark, rows, monkeypatch):
+    left = spark.createDataFrame([(1, "a"), (2, "b"), (None, "c")], "k int, l string")
+    right = spark.createDataFrame([(1, "x"), (None, "y")], "k int, r string")
+    seen = []
+    monkeypatch.setattr(bucketed, "hot_keys", lambda a, b, key, **hot: seen.extend([a.inputFiles(), b.inputFiles()]))
+    a, b = bucket_pair(left, right, "k", 2)
+    assert len(seen) == 2 and all(any("-whole" in f for f in files) for files in seen)
+    assert rows(linked_join(a, b), "l", "r") == [("a", "x"), ("b", None), ("c", None)]
