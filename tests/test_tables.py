@@ -236,3 +236,32 @@ def test_table_with_row_names_has_one_shifted_header(spark, tmp_path):
     assert lines[0] == '"k" "a \'b" "d"' and len(lines) == 200
     assert lines[1:4] == ['"1" "1" "NA" "1"', '"2" "2" "é" "NA"', '"3" "3" "say ""x""" "2.5"']
     assert [line.split()[0] for line in lines[1:]] == [f'"{i}"' for i in range(1, 200)]
+
+
+def test_row_names_leave_no_sorted_copy_and_finished_columns_come_last(spark, tmp_path):
+    df = spark.createDataFrame([(2, "b"), (1, None)], "k int, t string")
+    before = list(sessions._written)
+
+    def keyed(rows):
+        return rows.withColumn("u", F.concat_ws("_", "k", "t"))
+
+    writers.write_csv(df, str(tmp_path / "a"), row_names=["k"], finish=keyed)
+    writers.write_table(df, str(tmp_path / "b"), row_names=["k"], finish=keyed)
+    assert sessions._written == before
+    assert text_of(tmp_path / "a") == '"",k,t,u\n1,1,,1\n2,2,b,2_b\n'
+    assert writers.read_header(spark, str(tmp_path / "b")) == ["k", "t", "u"]
+    writers.write_csv(df, str(tmp_path / "c"), finish=keyed)
+    assert text_of(tmp_path / "c").startswith("k,t,u\n")
+
+
+def test_one_written_table_can_be_discarded(spark):
+    kept, sessions._written[:] = list(sessions._written), []
+    try:
+        a, b = sessions.write_once(spark.range(5), "test"), sessions.write_once(spark.range(6), "test")
+        sessions.discard(a)
+        assert len(sessions._written) == 1 and b.count() == 6
+        with pytest.raises(Exception):
+            a.collect()
+    finally:
+        sessions.discard_written(spark)
+        sessions._written[:] = kept
