@@ -34,11 +34,12 @@ from llm.written import written
 WORDS = 5
 THRESHOLD = 0.8
 RECALL = 0.9995
-FAN = 1.6
+FAN = 2.2
 SMALL = 1024
 MAX_DEPTH = 6
 TIGHT = 0.65
 SKETCH = 8
+TOLD_BITS = 4
 CELL_TEXTS = 1024
 CELL_TOKENS = 400_000
 MAP_BITS = 24
@@ -181,23 +182,23 @@ def _sets_of(docs: DataFrame, keys: DataFrame, text: str) -> DataFrame:
 def _counted(rows: DataFrame) -> DataFrame:
     """Per node: texts, shingles, and a fingerprint of its members."""
     return rows.groupBy("node").agg(
-        F.count("*").alias("n"), F.sum("size").alias("tokens"),
-        F.sum(F.xxhash64("text_id").cast("decimal(20,0)")).alias("members")).where("n > 1")
+        F.count("*").alias("n"), F.sum("size").alias("tokens"), F.bit_xor(F.xxhash64("key")).alias("members")).where("n > 1")
 
 
 def _alike(rows: DataFrame) -> DataFrame:
-    """(node, group) of nodes whose texts agree with one of them, the anchor, in their sketches by TIGHT or more on
-    average; the group is the anchor's. Nodes that a group of near copies shares have few anchors among them."""
-    one = rows.groupBy("node").agg(F.min(F.struct(F.xxhash64("text_id").alias("group"), "sketch")).alias("one"))
-    same = F.size(F.filter(F.zip_with("sketch", "one.sketch", lambda a, b: a == b), lambda x: x)) / SKETCH
-    return rows.join(one, "node").groupBy("node").agg(F.avg(same).alias("mean"), F.first("one.group").alias("group")).where(
-        F.col("mean") >= TIGHT).select("node", "group")
+    """(node, group) of nodes whose texts, two by two, agree in their sketches by TIGHT or more on average; the group is the
+    anchor's, the member of least hash. Nodes that a group of near copies shares have few anchors among them. Of a bit that is
+    set in a share p of the texts, (2p - 1)**2 is on average the chance that two texts have the same value."""
+    bits = [F.avg(F.shiftright(F.col("sketch")[i], b).bitwiseAND(1)) for i in range(SKETCH) for b in range(TOLD_BITS)]
+    shares = rows.groupBy("node").agg(F.min(F.xxhash64("key")).alias("group"), F.array(*bits).alias("shares"))
+    agreed = F.aggregate("shares", F.lit(0.0), lambda total, p: total + (2 * p - 1) * (2 * p - 1)) / len(bits)
+    return shares.where(agreed >= TIGHT).select("node", "group")
 
 
 def leaves(docs: DataFrame, texts: DataFrame, text: str) -> DataFrame:
-    """(node, text_id, n, tokens): the leaves that texts meet in. Of leaves with the same members there is one, and the alike
-    nodes of one group are one leaf of all their texts, so a text is in it once however many nodes the group shares."""
-    rows = texts.select("text_id", "key", "size", "sketch", F.explode("nodes").alias("node"))
+    """(node, key, n, tokens): the leaves that texts meet in, the texts told by their key. Of leaves with the same members there is
+    one, and the alike nodes of one group are one leaf of all their texts, so a text is in it once however many nodes the group shares."""
+    rows = texts.select("key", "size", F.explode("nodes").alias("node"))
     ended: DataFrame | None = None
     grouped: DataFrame | None = None
     for depth in range(MAX_DEPTH):
@@ -205,41 +206,42 @@ def leaves(docs: DataFrame, texts: DataFrame, text: str) -> DataFrame:
         large = counted.where(F.col("n") > SMALL).select("node")
         last = depth + 1 == MAX_DEPTH or large.isEmpty()
         if not last:
-            counted = counted.join(written(_alike(rows.join(large, "node")), "alike"), "node", "left")
+            sketches = rows.join(large, "node", "left_semi").join(texts.select("key", "sketch"), "key")
+            counted = counted.join(written(_alike(sketches), "alike"), "node", "left")
         met = written(rows.join(counted, "node"), "met")
         small = met if last else met.where(F.col("n") <= SMALL)
-        small = small.select("node", "text_id", "n", "tokens", "members")
+        small = small.select("node", "key", "n", "tokens", "members")
         ended = small if ended is None else ended.unionByName(small)
         if last:
             break
-        same = met.where((F.col("n") > SMALL) & F.col("group").isNotNull()).select(F.col("group").alias("node"), "text_id", "size")
+        same = met.where((F.col("n") > SMALL) & F.col("group").isNotNull()).select(F.col("group").alias("node"), "key", "size")
         grouped = same if grouped is None else grouped.unionByName(same)
         more = met.where((F.col("n") > SMALL) & F.col("group").isNull())
-        more = written(more.groupBy("text_id", "key", "size", "sketch").agg(F.collect_list("node").alias("parents")), "more")
+        more = written(more.groupBy("key").agg(F.collect_list("node").alias("parents")), "more")
         if more.isEmpty():
             break
         rows = written(_split(docs, more, text), "split")
     if grouped is not None:
         once = written(grouped.distinct(), "grouped")
-        ended = ended.unionByName(once.join(_counted(once), "node").select("node", "text_id", "n", "tokens", "members"))
+        ended = ended.unionByName(once.join(_counted(once), "node").select("node", "key", "n", "tokens", "members"))
     first = ended.groupBy("n", "members").agg(F.min("node").alias("node")).select("node")
     return written(ended.drop("members").join(first, "node", "left_semi"), "leaves")
 
 
 def _split(docs: DataFrame, more: DataFrame, text: str) -> DataFrame:
     """The children of the large nodes: one row per text and child."""
-    joined = _sets_of(docs, more, text).join(more, "key").select("text_id", "key", "size", "sketch", "parents", "shingles")
+    joined = _sets_of(docs, more, text).join(more, "key").select("key", "parents", "shingles")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for parents, held in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True):
+            sizes, out = [], []
+            for parents, held in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 s = unpacked(held)
+                sizes.append(len(s))
                 out.append(np.concatenate([chosen(s, np.uint64(p & (1 << 64) - 1)) for p in parents]).view(np.int64))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], _lists(out)], [*batch.schema.names[:4], "nodes"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), _lists(out)], ["key", "size", "nodes"])
 
-    return joined.mapInArrow(released(run), "text_id binary, key long, size int, sketch array<int>, nodes array<long>").select(
-        "text_id", "key", "size", "sketch", F.explode("nodes").alias("node"))
+    return joined.mapInArrow(released(run), "key long, size int, nodes array<long>").select("key", "size", F.explode("nodes").alias("node"))
 
 
 def _meet(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
@@ -308,15 +310,14 @@ def links(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD, rec
         F.min("key").alias("key"), F.count("*").alias("weight"), F.first("size").alias("size"),
         F.first("nodes").alias("nodes"), F.first("sketch").alias("sketch")), "texts")
     met = leaves(docs, texts, text)
-    lists = met.groupBy("text_id").agg(F.collect_list("node").alias("leaves")).join(
-        texts.select("text_id", "key", "weight"), "text_id")
+    lists = met.groupBy("key").agg(F.collect_list("node").alias("leaves")).join(texts.select("text_id", "key", "weight"), "key")
     parts = F.greatest(F.ceil(F.col("n") / CELL_TEXTS), F.ceil(F.col("tokens") / CELL_TOKENS)).cast("int")
-    dealt = met.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("text_id"), F.col("parts")).cast("int"))
-    cells = dealt.select("node", "text_id", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    cells = cells.select("node", "text_id", "part", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"))
+    dealt = met.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
+    cells = dealt.select("node", "key", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    cells = cells.select("node", "key", "part", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"))
     members = written(lists, "members")
-    sets = _sets_of(docs, members, text).join(members, "key").drop("key")
-    ready = cells.join(sets, "text_id").select("node", "low", "high", "part", "text_id", "weight", "leaves", "shingles")
+    sets = _sets_of(docs, members, text).join(members, "key")
+    ready = cells.join(sets, "key").select("node", "low", "high", "part", "text_id", "weight", "leaves", "shingles")
     ready = ready.repartition("node", "low", "high").sortWithinPartitions("node", "low", "high", "text_id")
 
     def close(cell: tuple | None, held: list[tuple]) -> pa.RecordBatch:

@@ -92,6 +92,28 @@ def test_a_large_group_is_compared_about_once(spark, monkeypatch):
     assert {(r["class_id"], r["n_links"], r["n_texts"]) for r in found} == {(0, 119, 119)}
 
 
+def test_a_text_joins_few_nodes():
+    """All that is written and shuffled grows with the nodes of a text; the runs still reach the recall."""
+    assert jaccard_join.runs_needed() * jaccard_join.FAN < 14
+
+
+def test_alike_nodes_are_found_in_one_pass(spark):
+    """Near copies are alike; texts of no kinship and a node of two kinds are not. No row is joined to its node for that."""
+    rng = random.Random(7)
+    plain = rng.choices(range(1 << 16), k=jaccard_join.SKETCH)
+    rows = []
+    for i in range(400):
+        near = list(plain)
+        near[rng.randrange(len(near))] = rng.randrange(1 << 16)
+        rows.append((i, 1, near))
+        rows.append((i, 2, [rng.randrange(1 << 16) for _ in plain]))
+        rows.append((i, 3, (plain, near[::-1])[i % 2]))
+    nodes = spark.createDataFrame(rows, "key long, node long, sketch array<int>")
+    found = jaccard_join._alike(nodes)
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    assert [r["node"] for r in found.collect()] == [1]
+
+
 def test_one_document_of_each_class_stays(spark):
     texts = ["a b c d e f g h"] * 3 + ["something else that is quite long here", None, "", "a b c d e f g h"]
     docs = frame(spark, texts, [5, 4, 4, 7, 8, 9, None])
