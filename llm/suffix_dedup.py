@@ -12,8 +12,8 @@ position whose whole stretch (all its strings together) occurs earlier is remove
 strings: SEED bytes, then LENGTH - 7 (starts in cells of 8), then LENGTH. Only cells at the ends of
 matches reach the last round, since copies drop out early as whole stretches.
 
-A first pass finds which seeds repeat, as a bitmap of 2**MAP_BITS bits (fuller maps let more through, never
-less). Hot strings are reduced to their first place in each task before any shuffle.
+A first pass finds which seeds repeat, as a bitmap of 2**MAP_BITS bits or more, by the number of rows, up to 2**MOST_BITS
+(fuller maps let more through, never less). Seeds are least hashes and thus small numbers, so they are mixed for the map. Hot strings are reduced to their first place in each task before any shuffle.
 
 Edge cases: a null text counts as empty; texts under LENGTH bytes lose nothing; a null id comes
 after all others; rows equal in id and text count as one place; among equal ids the order is that of a
@@ -39,6 +39,8 @@ LENGTH = 100
 SEED = 40
 CELL = 8
 MAP_BITS = 25
+MOST_BITS = 29
+RANK_BITS = 26
 PIECE = 1 << 23
 PLACE_BITS = 24
 HELD = 1 << 19
@@ -105,11 +107,12 @@ def _places(docs: DataFrame, text: str) -> DataFrame:
 
 
 def repeated_seeds(docs: DataFrame, text: str, length: int, seed: int) -> np.ndarray:
-    """Bitmap of seed ranks with more than one place. Tasks send each of their ranks once (twice if it
+    """Bitmap of mixed seed ranks with more than one place. Tasks send each of their ranks once (twice if it
     repeats), packed by range; every range gives its slice of the bitmap."""
     small_batches(docs.sparkSession)
     rows = docs.count()
-    bits = int(np.clip(np.ceil(np.log2(max(rows, 1) / 4096 + 1)), 4, MAP_BITS - 9))
+    map_bits = int(np.clip(np.ceil(np.log2(max(rows, 1) * 64)), MAP_BITS, MOST_BITS))
+    bits = int(np.clip(np.ceil(np.log2(max(rows, 1) / 4096 + 1)), 4, map_bits - 9))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -128,7 +131,7 @@ def repeated_seeds(docs: DataFrame, text: str, length: int, seed: int) -> np.nda
 
         for batch in batches:
             for chunk in chunks(batch.column(0)):
-                held.append(segments(chunk, Rolling(chunk.data), length, seed)[3])
+                held.append(mixed(segments(chunk, Rolling(chunk.data), length, seed)[3]))
                 if sum(map(len, held)) > HELD:
                     yield from flush()
         yield from flush()
@@ -138,8 +141,8 @@ def repeated_seeds(docs: DataFrame, text: str, length: int, seed: int) -> np.nda
 
         def close() -> pa.RecordBatch:
             values, times = np.unique(np.concatenate(held), return_counts=True)
-            bit = (values[times > 1] >> np.uint64(64 - MAP_BITS)) - (np.uint64(now) << np.uint64(MAP_BITS - bits))
-            slice_ = np.zeros(1 << (MAP_BITS - bits), bool)
+            bit = (values[times > 1] >> np.uint64(64 - map_bits)) - (np.uint64(now) << np.uint64(map_bits - bits))
+            slice_ = np.zeros(1 << (map_bits - bits), bool)
             slice_[bit.astype(np.int64)] = True
             return pa.RecordBatch.from_arrays(
                 [pa.array([now], pa.int32()), pa.array([np.packbits(slice_, bitorder="little").tobytes()], pa.binary())],
@@ -157,9 +160,9 @@ def repeated_seeds(docs: DataFrame, text: str, length: int, seed: int) -> np.nda
 
     sent = docs.select(F.col(text).cast("string")).mapInArrow(released(send), "part int, ranks binary")
     slices = sent.repartition("part").sortWithinPartitions("part").mapInArrow(released(count), "part int, bits binary")
-    out = np.zeros(1 << (MAP_BITS - 3), np.uint8)
-    width = 1 << (MAP_BITS - 3 - bits)
-    for row in slices.toLocalIterator():  # 2**(MAP_BITS - 3) bytes in all
+    out = np.zeros(1 << (map_bits - 3), np.uint8)
+    width = 1 << (map_bits - 3 - bits)
+    for row in slices.toLocalIterator():  # 2**(MOST_BITS - 3) bytes in all at most
         out[row["part"] * width:(row["part"] + 1) * width] = np.frombuffer(row["bits"], np.uint8)
     return out
 
@@ -172,7 +175,9 @@ def first_round(docs: DataFrame, text: str, length: int, seed: int) -> tuple[Dat
     """(nodes, removed, the table of both): a node per segment with a repeated seed that is the task's first with its stretch;
     for the others, (key, starts, ends) of what goes."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(repeated_seeds(docs, text, length, seed))
+    bitmap = repeated_seeds(docs, text, length, seed)
+    map_bits = len(bitmap).bit_length() + 2
+    shared = spark.sparkContext.broadcast(bitmap)
     small_batches(spark)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,7 +216,7 @@ def first_round(docs: DataFrame, text: str, length: int, seed: int) -> tuple[Dat
             for chunk in chunks(batch.column(2)):
                 rolling = Rolling(chunk.data)
                 low, high, at, ranks, of = segments(chunk, rolling, length, seed)
-                bit = ranks >> np.uint64(64 - MAP_BITS)
+                bit = mixed(ranks) >> np.uint64(64 - map_bits)
                 use = (shared.value[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1
                 low, high, at, ranks, of = low[use], high[use], at[use], ranks[use], of[use]
                 stretch = _stretch(rolling, low, high + length, at)
@@ -253,7 +258,16 @@ def decide(nodes: DataFrame, source: DataFrame, length: int, gone: DataFrame | N
     order = F.struct("doc_id", "key", (F.col("at") - F.col("high")).alias("start"))
     grouped = written(nodes.groupBy("rank").agg(
         F.min(F.struct(order.alias("place"), "inner", "at", "low", "high")).alias("first"), F.count("*").alias("n")), "ranks")
-    late = nodes.withColumn("place", order).join(
+    shared = nodes.sparkSession.sparkContext.broadcast(_bitmap(grouped.where("n > 1").select(F.col("rank").alias("key")), RANK_BITS))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(_may_be(batch.column(0).to_numpy(zero_copy_only=False), shared.value)))
+
+    # Few ranks repeat, so most nodes need not be shuffled to find that theirs does not.
+    may_repeat = nodes.select("rank", "doc_id", "key", "at", "low", "high").mapInArrow(
+        released(run), "rank long, doc_id long, key long, at int, low short, high short")
+    late = may_repeat.withColumn("place", order).join(
         grouped.where("n > 1").select("rank", F.col("first.place").alias("earliest")), "rank").where("place <> earliest")
     removed = late.select("key", F.col("place.start").alias("start"), (F.col("at") - F.col("low") + length).alias("end"))
     removed = written(removed if gone is None else removed.unionByName(gone), "removed")

@@ -7,6 +7,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -139,6 +140,18 @@ def brute_removed(rows, length):
     return gone
 
 
+def test_map_of_repeated_seeds_lets_few_others_through(spark):
+    """Seeds are least hashes, so their leading bits are nearly the same; the map must still tell them apart."""
+    rng = random.Random(11)
+    half = ["".join(rng.choice("abcdefgh") for _ in range(4000)) for _ in range(1500)]
+    docs = frame(spark, [*half, *half[:750]])
+    found = suffix_dedup.repeated_seeds(docs, "text", 100, 40)
+    ranks = set()
+    for chunk in suffix_dedup.chunks(pa.array(half[:750])):
+        ranks |= set(suffix_dedup.segments(chunk, suffix_dedup.Rolling(chunk.data))[3].tolist())
+    assert np.unpackbits(found).sum() > 0.99 * len(ranks)
+
+
 def test_repeated_strings_go_from_all_but_their_first_place(spark):
     rng = random.Random(3)
     letters = "abcdeé"
