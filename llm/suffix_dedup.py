@@ -281,13 +281,26 @@ def decide(nodes: DataFrame, source: DataFrame, length: int, gone: DataFrame | N
 
 
 def _bitmap(keys: DataFrame, bits: int = 24) -> np.ndarray:
-    """2**bits bits of the hashes in ``key``, put together in Spark."""
-    bit = F.shiftrightunsigned("key", 64 - bits)
-    rows = keys.select(F.shiftrightunsigned(bit, 5).alias("place"), F.expr(
-        f"shiftleft(1, cast(shiftrightunsigned(key, {64 - bits}) & 31 as int))").alias("bit")).groupBy("place").agg(
-        F.bit_or("bit").alias("bits")).toPandas()
+    """2**bits bits of the hashes in ``key``, put together in Spark; 256 slices reach the driver."""
+    width = bits - 8
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            bit = batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(64 - bits)
+            part = bit >> np.uint64(width)
+            for p in np.unique(part).tolist():
+                held.setdefault(p, np.zeros(1 << width, bool))[(bit[part == np.uint64(p)] & np.uint64((1 << width) - 1)).astype(np.int64)] = True
+        for p, slice_ in held.items():
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([p], pa.int32()), pa.array([np.packbits(slice_, bitorder="little").tobytes()], pa.binary())], ["part", "bits"])
+
+    small_batches(keys.sparkSession, 20_000)
+    rows = keys.select(F.shiftrightunsigned("key", 56).alias("part"), "key").repartition("part")
     out = np.zeros(1 << (bits - 5), np.uint32)
-    out[rows["place"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int32).view(np.uint32)
+    words = 1 << (width - 5)
+    for row in rows.mapInArrow(released(run), "part int, bits binary").collect():  # 2**(bits - 3) bytes in all
+        out[row["part"] * words:(row["part"] + 1) * words] = np.frombuffer(row["bits"], "<u4")
     return out
 
 
