@@ -8,6 +8,8 @@ anew, unless their texts are alike already (agreement of minwise sketches), unti
 Leaves are compared by brute force, in cells of at most CELL_TEXTS texts or CELL_TOKENS shingles
 a side, so that a huge group of near copies spreads over many tasks. The alike nodes of a group are merged to one leaf, leaves with
 the same members are compared once, and a pair is counted only in the first of its common leaves.
+Before shingles are sent, a leaf of up to SMALL texts is narrowed to the texts that may link in it: as many bits as two parity
+bitmaps differ in, so many shingles at least are in one set only, so a pair with too many is no link. No link is lost by that.
 The number of runs follows from the target recall at the threshold and FAN.
 
 Only counts and, per cell, a spanning forest of its links leave a task, never all pairs. Classes
@@ -25,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from llm.texts import Chunk, Rolling, apart, chunks, grams, mixed, released, small_batches, table, words
@@ -43,6 +45,8 @@ TOLD_BITS = 4
 CELL_TEXTS = 1024
 CELL_TOKENS = 400_000
 MAP_BITS = 24
+LEAST_BITS = 64
+MOST_BITS = 1 << 14
 
 
 def runs_needed(threshold: float = THRESHOLD, recall: float = RECALL, depth: int = MAX_DEPTH) -> int:
@@ -97,6 +101,47 @@ def sketch(shingles: np.ndarray) -> np.ndarray:
                      for i in range(SKETCH)], np.int64)
 
 
+def parities(shingles: np.ndarray) -> bytes:
+    """A bitmap of some 1 to 2 bits a shingle, each bit the parity of the shingles that fall on it."""
+    n_bits = min(max(1 << (len(shingles) - 1).bit_length(), LEAST_BITS), MOST_BITS)
+    odd = np.bincount((shingles & np.uint64(n_bits - 1)).astype(np.int64), minlength=n_bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def possible(sizes: np.ndarray, bitmaps: list[bytes], threshold: float) -> np.ndarray:
+    """For sets of ascending size, a label each: sets that can be linked, be it over others, share one."""
+    apart_share = (1 - threshold) / (1 + threshold)
+    upto = np.searchsorted(sizes, sizes / threshold + 1e-6, "right")
+    labels = np.arange(len(sizes))
+    lengths = np.array([len(b) for b in bitmaps])
+    pairs = []
+    for width in np.unique(lengths):
+        first, end = np.searchsorted(lengths, [width, width + 1])
+        folded = np.zeros((int(upto[end - 1]) - first, width // 8), np.uint64)
+        for i in range(len(folded)):  # wider bitmaps are folded: the parity of a union of bits is their parities' xor
+            folded[i] = np.bitwise_xor.reduce(np.frombuffer(bitmaps[first + i], np.uint64).reshape(-1, width // 8), 0)
+        for i in range(first, end):
+            others = slice(i + 1, int(upto[i]))
+            differ = np.bitwise_count(folded[i + 1 - first:others.stop - first] ^ folded[i - first]).sum(1, dtype=np.int64)
+            for j in np.flatnonzero(differ <= apart_share * (sizes[i] + sizes[others]) + 1e-6) + i + 1:
+                pairs.append((i, int(j)))
+    return _least_labels(labels, np.array(pairs, np.int64).reshape(-1, 2))
+
+
+def _least_labels(labels: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """The smallest label that each place reaches over the pairs."""
+    while len(pairs):
+        ends = np.minimum(labels[pairs[:, 0]], labels[pairs[:, 1]])
+        new = labels.copy()
+        np.minimum.at(new, pairs[:, 0], ends)
+        np.minimum.at(new, pairs[:, 1], ends)
+        new = new[new]
+        if (new == labels).all():
+            break
+        labels = new
+    return labels
+
+
 def packed(shingles: np.ndarray) -> bytes:
     """The low 48 bits of each hash, which tell the shingles of a cell or a split apart as well as 64."""
     return shingles.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
@@ -115,13 +160,13 @@ def _lists(parts: list[np.ndarray], kind: pa.DataType = pa.int64()) -> pa.Array:
 
 
 def described(docs: DataFrame, text: str, turns: int) -> DataFrame:
-    """(doc_id, key, text_id, size, nodes, sketch) of each document; text_id is null without words."""
+    """(doc_id, key, text_id, size, nodes, sketch, bits) of each document; text_id is null without words."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roots = [np.uint64(i + 1) for i in range(turns)]
         for batch in batches:
-            ids, sizes, nodes, sketches = [], [], [], []
+            ids, sizes, nodes, sketches, bits = [], [], [], [], []
             for chunk in chunks(batch.column(2)):
                 for s in shingle_sets(chunk):
                     some = len(s) > 0
@@ -130,14 +175,16 @@ def described(docs: DataFrame, text: str, turns: int) -> DataFrame:
                     nodes.append(np.concatenate([chosen(s, r) for r in roots]).view(np.int64) if some
                                  else np.zeros(0, np.int64))
                     sketches.append(sketch(s) if some else np.zeros(0, np.int64))
+                    bits.append(parities(s) if some else None)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(ids, pa.binary()), pa.array(sizes, pa.int32()),
-                 _lists(nodes), _lists(sketches, pa.int32())],
-                ["doc_id", "key", "text_id", "size", "nodes", "sketch"])
+                 _lists(nodes), _lists(sketches, pa.int32()), pa.array(bits, pa.binary())],
+                ["doc_id", "key", "text_id", "size", "nodes", "sketch", "bits"])
 
     rows = docs.select("doc_id", document_key(text).alias("key"), F.col(text).cast("string"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(released(run), f"doc_id {kind}, key long, text_id binary, size int, nodes array<long>, sketch array<int>")
+    return rows.mapInArrow(released(run), f"doc_id {kind}, key long, text_id binary, size int, nodes array<long>, sketch array<int>,"
+                                         " bits binary")
 
 
 def document_key(text: str = "text") -> Column:
@@ -195,11 +242,68 @@ def _alike(rows: DataFrame) -> DataFrame:
     return shares.where(agreed >= TIGHT).select("node", "group")
 
 
+def _once(met: DataFrame) -> DataFrame:
+    """The leaves without those that have the same members as another."""
+    first = met.groupBy("n", "members").agg(F.min("node").alias("node")).select("node")
+    return met.join(first, "node", "left_semi").select("node", "key", "n", "tokens")
+
+
+def _once_few(met: DataFrame) -> DataFrame:
+    """:func:`_once` of leaves of at most SMALL texts; a text has few leaves, so that a window holds few rows."""
+    least = F.min("node").over(Window.partitionBy("n", "members"))
+    return met.withColumn("least", least).where("node = least").select("node", "key", "n", "tokens")
+
+
+def narrowed(met: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The leaves of at most SMALL texts cut into groups of texts that may link, and without those that can link to none: two texts
+    that may link stay together wherever they meet. Larger leaves stay as they are."""
+    large = met.where(F.col("n") > SMALL)
+    rows = met.where(F.col("n") <= SMALL).select("node", "key").join(texts.select("key", "size", "bits"), "key")
+    rows = rows.select("node", "size", "key", "bits")
+    rows = rows.repartition("node").sortWithinPartitions("node", "size", "key")
+
+    def close(node: int, sizes: list, keys: list, bitmaps: list) -> list[tuple]:
+        size, key = np.array(sizes, np.int64), np.array(keys, np.int64)
+        labels, out = possible(size, bitmaps, threshold), []
+        for label in np.flatnonzero(np.bincount(labels) > 1):
+            own = np.flatnonzero(labels == label)
+            told = mixed(key[own].view(np.uint64))
+            name = mixed(np.array([node], np.int64).view(np.uint64) + told[:1]).view(np.int64)[0]
+            members = np.bitwise_xor.reduce(told).view(np.int64)
+            out += [(name, k, len(own), size[own].sum(), members) for k in key[own]]
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        node, sizes, keys, bitmaps = None, [], [], []
+        for batch in batches:
+            out = []
+            for at, size, key, bits in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if at != node:
+                    if len(keys) > 1:
+                        out += close(node, sizes, keys, bitmaps)
+                    node, sizes, keys, bitmaps = at, [], [], []
+                sizes.append(size)
+                keys.append(key)
+                bitmaps.append(bits)
+            yield rows_of(out)
+        if len(keys) > 1:
+            yield rows_of(close(node, sizes, keys, bitmaps))
+
+    def rows_of(found: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.array([f[i] for f in found], np.int64)) for i in range(5)],
+                                          ["node", "key", "n", "tokens", "members"])
+
+    small_batches(met.sparkSession)
+    few = rows.mapInArrow(released(run), "node long, key long, n long, tokens long, members long")
+    return _once_few(few).unionByName(large)
+
+
 def leaves(docs: DataFrame, texts: DataFrame, text: str) -> DataFrame:
     """(node, key, n, tokens): the leaves that texts meet in, the texts told by their key. Of leaves with the same members there is
     one, and the alike nodes of one group are one leaf of all their texts, so a text is in it once however many nodes the group shares."""
     rows = texts.select("key", "size", F.explode("nodes").alias("node"))
     ended: DataFrame | None = None
+    wide: DataFrame | None = None
     grouped: DataFrame | None = None
     for depth in range(MAX_DEPTH):
         counted = written(_counted(rows), "nodes")
@@ -209,10 +313,10 @@ def leaves(docs: DataFrame, texts: DataFrame, text: str) -> DataFrame:
             sketches = rows.join(large, "node", "left_semi").join(texts.select("key", "sketch"), "key")
             counted = counted.join(written(_alike(sketches), "alike"), "node", "left")
         met = written(rows.join(counted, "node"), "met")
-        small = met if last else met.where(F.col("n") <= SMALL)
-        small = small.select("node", "key", "n", "tokens", "members")
+        small = met.where(F.col("n") <= SMALL).select("node", "key", "n", "tokens", "members")
         ended = small if ended is None else ended.unionByName(small)
         if last:
+            wide = met.where(F.col("n") > SMALL).select("node", "key", "n", "tokens", "members")
             break
         same = met.where((F.col("n") > SMALL) & F.col("group").isNotNull()).select(F.col("group").alias("node"), "key", "size")
         grouped = same if grouped is None else grouped.unionByName(same)
@@ -223,9 +327,10 @@ def leaves(docs: DataFrame, texts: DataFrame, text: str) -> DataFrame:
         rows = written(_split(docs, more, text), "split")
     if grouped is not None:
         once = written(grouped.distinct(), "grouped")
-        ended = ended.unionByName(once.join(_counted(once), "node").select("node", "key", "n", "tokens", "members"))
-    first = ended.groupBy("n", "members").agg(F.min("node").alias("node")).select("node")
-    return written(ended.drop("members").join(first, "node", "left_semi"), "leaves")
+        merged = once.join(_counted(once), "node").select("node", "key", "n", "tokens", "members")
+        wide = merged if wide is None else wide.unionByName(merged)
+    ended = _once_few(ended)
+    return written(ended if wide is None else ended.unionByName(_once(wide)), "leaves")
 
 
 def _split(docs: DataFrame, more: DataFrame, text: str) -> DataFrame:
@@ -288,17 +393,7 @@ def compare(node: int, left: list[tuple], right: list[tuple], same: bool, thresh
     if not same:
         documents[n:] += counted.T @ weight_a
         texts[n:] += counted.sum(0)
-    labels = np.arange(len(documents))
-    shift = 0 if same else n
-    while len(links):  # smallest labels over the links of the cell
-        ends = np.minimum(labels[links[:, 0]], labels[links[:, 1] + shift])
-        new = labels.copy()
-        np.minimum.at(new, links[:, 0], ends)
-        np.minimum.at(new, links[:, 1] + shift, ends)
-        new = new[new]
-        if (new == labels).all():
-            break
-        labels = new
+    labels = _least_labels(np.arange(len(documents)), links + np.array([0, 0 if same else n]))
     return documents, texts, [(i, int(t)) for i, t in enumerate(labels) if t != i]
 
 
@@ -308,8 +403,8 @@ def links(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD, rec
     rows = written(described(docs, text, runs_needed(threshold, recall)), "described")
     texts = written(rows.where("text_id is not null").groupBy("text_id").agg(
         F.min("key").alias("key"), F.count("*").alias("weight"), F.first("size").alias("size"),
-        F.first("nodes").alias("nodes"), F.first("sketch").alias("sketch")), "texts")
-    met = leaves(docs, texts, text)
+        F.first("nodes").alias("nodes"), F.first("sketch").alias("sketch"), F.first("bits").alias("bits")), "texts")
+    met = written(narrowed(leaves(docs, texts, text), texts, threshold), "met")
     lists = met.groupBy("key").agg(F.collect_list("node").alias("leaves")).join(texts.select("text_id", "key", "weight"), "key")
     parts = F.greatest(F.ceil(F.col("n") / CELL_TEXTS), F.ceil(F.col("tokens") / CELL_TOKENS)).cast("int")
     dealt = met.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))

@@ -93,6 +93,44 @@ def test_a_large_group_is_compared_about_once(spark, monkeypatch):
     assert {(r["class_id"], r["n_links"], r["n_texts"]) for r in found} == {(0, 119, 119)}
 
 
+def test_texts_that_cannot_link_send_no_shingles(spark):
+    """Texts that meet by a shared passage but are far from alike leave the leaves; near copies stay with all their links."""
+    rng = random.Random(11)
+    passage = [f"p{i}" for i in range(60)]
+    texts = [" ".join([*passage, *(f"t{i}x{j}" for j in range(140))]) for i in range(60)]
+    near = [t.rsplit(" ", 3)[0] + f" n{rng.random()}" for t in texts[:5]]
+    docs = frame(spark, [*texts, *near]).select("doc_id", "text")
+    described = written(jaccard_join.described(docs, "text", jaccard_join.runs_needed()))
+    texts = written(described.withColumn("weight", F.lit(1)))
+    leaves = jaccard_join.leaves(docs, texts, "text")
+    assert leaves.select("key").distinct().count() > 60
+    kept = jaccard_join.narrowed(leaves, texts)
+    assert kept.select("key").distinct().count() == 10 and kept.count() <= 12
+    assert {(r["n"], r["parts"]) for r in kept.groupBy("node").agg(F.first("n").alias("n"), F.count("*").alias("parts")).collect()} == {(2, 2)}
+    found = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in jaccard_join.classes(docs).collect()}
+    assert found == {i: (i % 60, 1 if i % 60 < 5 else 0) for i in range(65)}
+
+
+def test_narrowing_keeps_all_links():
+    """Sets of all sizes, bitmaps of several widths, and a lower threshold: linked sets share a label."""
+    rng = np.random.default_rng(3)
+    sets = []
+    for size in [1, 1, 2, 5, 6, *range(50, 80), *range(120, 140), 500, 600, 1020, 1024, 1030, 40_000, 41_000]:
+        base = rng.integers(0, 1 << 63, size, dtype=np.int64).astype(np.uint64)
+        sets.append(np.unique(base))
+        for share in (0.02, 0.05, 0.1, 0.15, 0.3):
+            left = base[:int(np.ceil(size * (1 - share)))]
+            sets.append(np.unique(np.r_[left, rng.integers(0, 1 << 63, int(size * share / 2), dtype=np.int64).astype(np.uint64)]))
+    sets.sort(key=len)
+    sizes = np.array([len(s) for s in sets])
+    common = jaccard_join._meet(sets, sets)
+    for threshold in (0.8, 0.5):
+        labels = jaccard_join.possible(sizes, [jaccard_join.parities(s) for s in sets], threshold)
+        a, b = np.nonzero(common >= threshold * (sizes[:, None] + sizes[None, :] - common) - 1e-9)
+        assert len(a) > 2 * len(sets) and (labels[a] == labels[b]).all()
+        assert threshold < 0.8 or len(np.unique(labels)) > 40
+
+
 def test_a_text_joins_few_nodes():
     """All that is written and shuffled grows with the nodes of a text; the runs still reach the recall."""
     assert jaccard_join.runs_needed() * jaccard_join.FAN < 14
