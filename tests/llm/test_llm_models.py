@@ -198,3 +198,38 @@ def test_shards_answer_with_the_counts_of_all_chunks(spark, monkeypatch):
         data, start = lm_scoring._spelled(pa.array([streams[i] for i in r["rows"]], pa.binary()))
         mine = lm_scoring.cells(data, start)
         assert (lm_scoring._unpacked(r["seen"]) == lm_scoring._seen(mine, whole.keys, counts)).all()
+
+
+def test_inputs_lie_row_by_row():
+    keys = np.arange(0, 5000, 7, dtype=np.uint64)
+    for part in lm_scoring._inputs(lm_scoring.paths(keys, np.full(len(keys), 3)), 1):  # else every take of rows copies the array
+        assert part.shape == (len(keys), 8) and part.flags.c_contiguous
+
+
+def test_asked_cells_are_packed_and_come_back():
+    rng = np.random.default_rng(9)
+    context = np.sort(rng.integers(0, 1 << 56, 4000, np.uint64))
+    byte = np.array([rng.choice(256, 3, replace=False) for _ in context], np.uint64)
+    keys = np.unique((context[:, None] << np.uint64(8) | byte)[rng.random(byte.shape) < 0.5])
+    counts = rng.choice([0, 1, 2, 70_000, (1 << 32) - 1], len(keys), p=[0.1, 0.6, 0.2, 0.05, 0.05]).astype(np.uint32)
+    for some in (slice(None), slice(0, 1), slice(0, 0)):
+        held = lm_scoring.packed_cells(keys[some], counts[some])
+        found = lm_scoring.unpacked_cells(held)
+        assert (found[0] == keys[some]).all() and (found[1] == counts[some]).all()
+        assert [len(x) for x in found] == [len(keys[some])] * 2
+    every = lm_scoring.packed_cells(keys, np.ones(len(keys), np.uint32))
+    assert sum(len(x) for x in every.values() if isinstance(x, bytes)) < 7 * len(keys)  # 12 bytes as they are
+
+
+def test_scoring_keeps_one_table_with_texts(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(lm_scoring, "written", lambda df, name="table": kept.append(written(df, name)) or kept[-1])
+    docs = spark.createDataFrame([(i, f"said {i} and word{i % 3}", i % 4 > 0) for i in range(40)], "doc_id long, text string, teaches boolean")
+    found = lm_scoring.scores(docs)
+
+    def there(df):
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.inputFiles()[0].rsplit("/", 1)[0])
+        return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+    assert sum(there(df) for df in kept if {"text", "texts"} & set(df.columns)) == 1
+    assert found.count() == 40
