@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from canvass import vocabulary as v
-from canvass.operators.bucketed import Bucketed, bucket_pair, linked_join
+from canvass.operators.bucketed import Bucketed, Finish, bucket_pair, linked_join
 from canvass.operators.joins import join, spread_join, star_join
 from canvass.operators.keys import place_keys
 from canvass.operators.summary import (
@@ -34,22 +34,33 @@ from canvass.session import write_once
 from canvass.sinks.versions import Published, publish, stage
 from canvass.sinks.writers import write_star
 
+_PASTED = tuple(place_keys("standid", "segmentid", "dwellingid", "familyid", "personid", "participantid"))
 
-def dashboard_fact(cases: DataFrame, current: DataFrame, **spread) -> DataFrame:
-    """The finished fact: keys, reconciled participant, current status, flags, star key.
+
+def fact_rows(cases: DataFrame, current: DataFrame, **spread) -> DataFrame:
+    """The fact's rows as its joins leave them: reconciled participant and current status.
 
     Participants are propagated before the current status is joined. The two are
     independent, and this way the dwelling join reads only the case table. The place keys are
-    pasted after both joins, since their texts would be most of what is shuffled; the dwelling
+    left to :func:`finished_fact`, since their texts would be most of what is shuffled; the dwelling
     key alone is needed before, by the rows that meet on it.
     """
-    keyed = with_case_keys(cases)
-    propagated = propagate_participant(keyed, **spread)
-    pasted = [k for k in place_keys("", "", "", "", "", "") if k not in cases.columns]
-    current_status = with_current_status(propagated.drop(*pasted), current)
-    whole = with_case_keys(current_status, participant="participantid_x")
-    added = [c for c in current_status.columns if c not in propagated.columns]
-    return with_star_key(screener_flags(whole.select(*[F.col(f"`{c}`") for c in [*propagated.columns, *added]])))
+    propagated = propagate_participant(with_case_keys(cases), **spread)
+    return with_current_status(propagated.drop(*[k for k in _PASTED if k not in cases.columns]), current)
+
+
+def finished_fact(rows: DataFrame) -> DataFrame:
+    """The fact of rows from :func:`fact_rows`: place keys, flags and star key, all of which follow from a row."""
+    added = [k for k in _PASTED if k not in rows.columns]
+    at = rows.columns.index("participantid_y")
+    whole = with_case_keys(rows, participant="participantid_x").select(
+        *[F.col(f"`{c}`") for c in [*rows.columns[:at], *added, *rows.columns[at:]]])
+    return with_star_key(screener_flags(whole))
+
+
+def dashboard_fact(cases: DataFrame, current: DataFrame, **spread) -> DataFrame:
+    """The finished fact: keys, reconciled participant, current status, flags, star key."""
+    return finished_fact(fact_rows(cases, current, **spread))
 
 
 def screener_stages(fact: DataFrame) -> DataFrame:
@@ -88,9 +99,13 @@ def labelled_star(fact: DataFrame, participants: DataFrame) -> DataFrame:
     return _with_labels(spread_join(fact, details, ["participant_key2"], take=LINKED_TRAITS), fact)
 
 
-def bucket_star(fact: DataFrame, participants: DataFrame, buckets: int | None = None, **hot) -> tuple[Bucketed, Bucketed]:
-    """Fact and participants written in buckets of their shared key, for links that move no rows."""
-    return bucket_pair(fact, participant_details(participants), "participant_key2", buckets, **hot)
+def bucket_star(fact: DataFrame, participants: DataFrame, buckets: int | None = None, finish: Finish | None = None,
+                **hot) -> tuple[Bucketed, Bucketed]:
+    """Fact and participants written in buckets of their shared key, for links that move no rows.
+
+    ``finish`` makes the fact of the rows handed in, as :func:`finished_fact` does of those of :func:`fact_rows`: then only
+    these are moved."""
+    return bucket_pair(fact, participants, "participant_key2", buckets, finish_left=finish, finish_right=participant_details, **hot)
 
 
 def linked_star(fact: Bucketed, details: Bucketed) -> DataFrame:

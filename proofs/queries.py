@@ -286,7 +286,8 @@ def star_join(i: Inputs) -> DataFrame:
 @query
 def star_buckets(i: Inputs) -> DataFrame:
     """The labelled star through tables in buckets of the participant key; its link has no exchange."""
-    fact, details = dashboard.bucket_star(i.fact, i.participants)
+    rows = dashboard.fact_rows(i.cases, i.current)
+    fact, details = dashboard.bucket_star(rows, i.participants, finish=dashboard.finished_fact)
     return dashboard.linked_star(fact, details).select(*_STAR_COLUMNS)
 
 

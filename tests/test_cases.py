@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from canvass import vocabulary as v
 from canvass.operators.keys import key_of, with_keys
 from canvass.plans import cases as plan
-from canvass.plans.dashboard import dashboard_fact, screener_stages
+from canvass.plans.dashboard import bucket_star, dashboard_fact, fact_rows, finished_fact, screener_stages
 
 CASE = ("caseid bigint, standid int, segmentid int, dwellingid int, case_type int, familyid int, "
         "personid int, participantid int, mec_session_id int, interpreter_used int, "
@@ -141,3 +141,15 @@ def test_keys_that_begin_alike_have_the_same_text(spark):
     assert [r[3:] for r in found.collect()] == [r[:] for r in df.select(*[key_of(df, p) for p in keys.values()]).collect()]
     over = df.withColumn("k1", F.lit("own"))
     assert [r["k2"] for r in with_keys(over, {"k1": ["a"], "k2": ["k1", "c"]}).collect()] == ["own_3", "own_NA"]
+
+
+def test_keys_and_flags_are_not_moved_to_the_buckets(spark, rows, cases):
+    current = spark.createDataFrame([(1, datetime(2021, 3, 1), "10", 5, "10.0.0.1")], CURRENT)
+    people = cases.select("standid", "segmentid", "dwellingid", "participantid").distinct()
+    narrow, fact = fact_rows(cases, current), dashboard_fact(cases, current)
+    assert not {c for c in narrow.columns if c.endswith("_key")} and "released_dwelling" not in narrow.columns
+    assert finished_fact(narrow).columns == fact.columns
+    moved, _ = bucket_star(narrow, people, 2, finish=finished_fact)
+    whole, _ = bucket_star(fact, people, 2)
+    assert moved.rows().columns == whole.rows().columns == fact.columns
+    assert rows(moved.rows()) == rows(whole.rows()) == rows(fact)

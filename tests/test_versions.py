@@ -160,3 +160,23 @@ def test_bucket_pair_counts_and_deals_from_one_written_copy(spark, rows, monkeyp
     a, b = bucket_pair(left, right, "k", 2)
     assert len(seen) == 2 and all(any("-whole" in f for f in files) for files in seen)
     assert rows(linked_join(a, b), "l", "r") == [("a", "x"), ("b", None), ("c", None)]
+
+
+def test_columns_that_follow_from_a_row_are_added_in_the_buckets(spark, rows, monkeypatch):
+    left = spark.range(400).selectExpr("if(id % 4 = 0, null, if(id % 4 = 1, 'hot', cast(id AS string))) AS part", "id AS a")
+    right = spark.createDataFrame([("hot", 1), ("hot", 2), (None, 3), ("2", 4)], "part string, b int")
+
+    def keyed(df):
+        return df.select(F.concat(F.lit("k"), "part").alias("k"), "*", F.repeat(F.lit("wide"), 9).alias(f"wide_{df.columns[1]}"))
+
+    copies, write = {}, bucketed.write_once
+    monkeypatch.setattr(bucketed, "write_once", lambda df, name: copies.setdefault(name, df.columns) and write(df, name))
+    limits = {"hot_rows": 50, "hot_share": 0.1, "rows_per_split": 20}
+    a, b = bucket_pair(left, right.withColumnRenamed("part", "part_r"), "k", 4, finish_left=keyed,
+                       finish_right=lambda df: keyed(df.withColumnRenamed("part_r", "part")).withColumnRenamed("part", "part_r"), **limits)
+    assert copies["left-whole"] == ["part", "a"] and copies["right-whole"] == ["part_r", "b"]
+    assert rows(a.rows()) == rows(keyed(left)) and a.apart.count() == 200
+    assert rows(a.even.selectExpr("max(part = 'hot') AS h", "max(k IS NULL) AS n")) == [(False, False)]
+    for how in ("left", "inner"):
+        assert rows(linked_join(a, b, how, take=["b", "wide_b"], **limits)) == rows(
+            join(keyed(left), keyed(right), ["k"], how, take=["b", "wide_b"]))
