@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +48,10 @@ CELL_TOKENS = 400_000
 MAP_BITS = 24
 LEAST_BITS = 64
 MOST_BITS = 1 << 14
+TASK_ROWS = 20_000
+LEAST_TASKS = 24
+_SECOND_HASH = np.uint64(0x5851F42D4C957F2D)
+_SKETCH_SEEDS = [np.uint64(0x9E3779B97F4A7C15 * (i + 1) & (1 << 64) - 1) for i in range(SKETCH)]
 
 
 def runs_needed(threshold: float = THRESHOLD, recall: float = RECALL, depth: int = MAX_DEPTH) -> int:
@@ -71,6 +76,12 @@ def shingle_sets(chunk: Chunk, k: int = WORDS) -> list[np.ndarray]:
     size = np.bincount(docs, minlength=chunk.size)
     first = np.concatenate([[0], np.cumsum(size)])
     bounds = np.searchsorted(docs[at], np.arange(chunk.size + 1))
+    for i in np.flatnonzero(np.diff(bounds) > 1):
+        found[bounds[i]:bounds[i + 1]].sort()
+    new = np.ones(len(found), bool)
+    new[1:] = found[1:] != found[:-1]
+    new[bounds[:-1][bounds[:-1] < len(found)]] = True
+    found, bounds = found[new], np.concatenate([[0], np.cumsum(new)])[bounds]
     out = []
     for i in range(chunk.size):
         if 0 < size[i] < k:
@@ -79,13 +90,13 @@ def shingle_sets(chunk: Chunk, k: int = WORDS) -> list[np.ndarray]:
                 short = mixed(short * np.uint64(31) + h)
             out.append(short)
         else:
-            out.append(np.unique(found[bounds[i]:bounds[i + 1]]))
+            out.append(found[bounds[i]:bounds[i + 1]])
     return out
 
 
 def fingerprint(shingles: np.ndarray) -> bytes:
     a = mixed(shingles).sum(dtype=np.uint64)
-    b = mixed(shingles ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)
+    b = mixed(shingles ^ _SECOND_HASH).sum(dtype=np.uint64)
     return np.array([a, b + np.uint64(len(shingles))], np.uint64).tobytes()
 
 
@@ -97,13 +108,16 @@ def chosen(shingles: np.ndarray, node: np.uint64, fan: float = FAN) -> np.ndarra
 
 
 def sketch(shingles: np.ndarray) -> np.ndarray:
-    return np.array([mixed(shingles ^ np.uint64(0x9E3779B97F4A7C15 * (i + 1) & (1 << 64) - 1)).min() & np.uint64(0xFFFF)
-                     for i in range(SKETCH)], np.int64)
+    return np.array([mixed(shingles ^ seed).min() & np.uint64(0xFFFF) for seed in _SKETCH_SEEDS], np.int64)
+
+
+def _map_bits(size: int) -> int:
+    return min(max(1 << (size - 1).bit_length(), LEAST_BITS), MOST_BITS)
 
 
 def parities(shingles: np.ndarray) -> bytes:
     """A bitmap of some 1 to 2 bits a shingle, each bit the parity of the shingles that fall on it."""
-    n_bits = min(max(1 << (len(shingles) - 1).bit_length(), LEAST_BITS), MOST_BITS)
+    n_bits = _map_bits(len(shingles))
     odd = np.bincount((shingles & np.uint64(n_bits - 1)).astype(np.int64), minlength=n_bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
@@ -159,6 +173,43 @@ def _lists(parts: list[np.ndarray], kind: pa.DataType = pa.int64()) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.astype(np.int64), kind))
 
 
+def _descriptions(sets: list[np.ndarray], roots: list[np.uint64]) -> tuple[list, list, list, list, list]:
+    """For each set :func:`fingerprint`, size, :func:`chosen` nodes below all roots, :func:`sketch` and :func:`parities`. The sets of
+    a chunk are hashed as one array: a call for each set and hash would cost several times the hashing."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    none = np.zeros(0, np.int64)
+    ids, nodes, sketches, bits = [None] * len(sets), [none] * len(sets), [none] * len(sets), [None] * len(sets)
+    some = np.flatnonzero(sizes)
+    if not len(some):
+        return ids, sizes.tolist(), nodes, sketches, bits
+    flat, n = np.concatenate([sets[i] for i in some]), sizes[some]
+    starts = np.cumsum(n) - n
+    limits = np.repeat((np.minimum(FAN / n, 1.0) * (2.0 ** 64 - 2048)).astype(np.uint64), n)
+    owners = np.repeat(np.arange(len(n)), n)
+    picked, owned = [], []
+    for root in roots:
+        values = mixed(flat ^ mixed(np.array([root], np.uint64)))
+        at = np.flatnonzero(values <= limits)
+        picked.append(values[at])
+        owned.append(owners[at])
+    children, owned = mixed(np.concatenate(picked) + np.uint64(1)).view(np.int64), np.concatenate(owned)
+    order = np.argsort(owned, kind="stable")
+    children, ends = children[order], np.cumsum(np.bincount(owned, minlength=len(n)))
+    told = np.stack([np.add.reduceat(mixed(flat), starts),
+                     np.add.reduceat(mixed(flat ^ _SECOND_HASH), starts) + n.astype(np.uint64)], 1)
+    least = np.stack([np.minimum.reduceat(mixed(flat ^ seed), starts) & np.uint64(0xFFFF) for seed in _SKETCH_SEEDS], 1).astype(np.int64)
+    n_bits = np.array([_map_bits(int(k)) for k in n], np.int64)
+    upto = np.cumsum(n_bits)
+    place = (flat & np.repeat((n_bits - 1).astype(np.uint64), n)).astype(np.int64) + np.repeat(upto - n_bits, n)
+    odd = np.packbits((np.bincount(place, minlength=int(upto[-1])) & 1).astype(np.uint8), bitorder="little").tobytes()
+    for k, i in enumerate(some):
+        ids[i] = told[k].tobytes()
+        nodes[i] = children[ends[k - 1] if k else 0:ends[k]]
+        sketches[i] = least[k]
+        bits[i] = odd[(upto[k] - n_bits[k]) // 8:upto[k] // 8]
+    return ids, sizes.tolist(), nodes, sketches, bits
+
+
 def described(docs: DataFrame, text: str, turns: int) -> DataFrame:
     """(doc_id, key, text_id, size, nodes, sketch, bits) of each document; text_id is null without words."""
     small_batches(docs.sparkSession)
@@ -166,16 +217,8 @@ def described(docs: DataFrame, text: str, turns: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roots = [np.uint64(i + 1) for i in range(turns)]
         for batch in batches:
-            ids, sizes, nodes, sketches, bits = [], [], [], [], []
-            for chunk in chunks(batch.column(2)):
-                for s in shingle_sets(chunk):
-                    some = len(s) > 0
-                    ids.append(fingerprint(s) if some else None)
-                    sizes.append(len(s))
-                    nodes.append(np.concatenate([chosen(s, r) for r in roots]).view(np.int64) if some
-                                 else np.zeros(0, np.int64))
-                    sketches.append(sketch(s) if some else np.zeros(0, np.int64))
-                    bits.append(parities(s) if some else None)
+            found = [_descriptions(shingle_sets(chunk), roots) for chunk in chunks(batch.column(2))]
+            ids, sizes, nodes, sketches, bits = (list(chain.from_iterable(f[i] for f in found)) for i in range(5))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(ids, pa.binary()), pa.array(sizes, pa.int32()),
                  _lists(nodes), _lists(sketches, pa.int32()), pa.array(bits, pa.binary())],
@@ -196,7 +239,7 @@ def _bitmap(keys: DataFrame) -> np.ndarray:
     bit = F.shiftrightunsigned("key", 64 - MAP_BITS)
     rows = keys.select(F.shiftrightunsigned(bit, 5).alias("place"),
                        F.expr(f"shiftleft(1, cast(shiftrightunsigned(key, {64 - MAP_BITS}) & 31 as int))").alias("bit")
-                       ).groupBy("place").agg(F.bit_or("bit").alias("bits")).toPandas()
+                       ).groupBy("place").agg(F.bit_or("bit").alias("bits")).coalesce(LEAST_TASKS).toPandas()
     out = np.zeros(1 << (MAP_BITS - 5), np.uint32)
     out[rows["place"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int32).view(np.uint32)
     return out
@@ -222,10 +265,16 @@ def _sets_of(docs: DataFrame, keys: DataFrame, text: str) -> DataFrame:
                 at += chunk.size
 
     rows = docs.select(document_key(text).alias("key"), F.col(text).cast("string"))
-    return rows.mapInArrow(released(run), "key long, shingles binary").join(keys.select("key").distinct(), "key", "left_semi"
+    return rows.mapInArrow(released(run), "key long, shingles binary").join(keys.select("key"), "key", "left_semi"
                                                                   ).dropDuplicates(["key"])
 
 
+def _few(df: DataFrame, rows: float) -> DataFrame:
+    """``df``, which has about so many short rows, in no more tasks than they need: deep levels and links are few, and a task
+    and file for each shuffle partition would cost more than their rows."""
+    return df.coalesce(max(LEAST_TASKS, math.ceil(rows / TASK_ROWS)))
+
+
 def _counted(rows: DataFrame) -> DataFrame:
     """Per node: texts, shingles, and a fingerprint of its members."""
     return rows.groupBy("node").agg(
@@ -305,14 +354,18 @@ def leaves(docs: DataFrame, texts: DataFrame, text: str) -> DataFrame:
     ended: DataFrame | None = None
     wide: DataFrame | None = None
     grouped: DataFrame | None = None
+    again = math.inf
     for depth in range(MAX_DEPTH):
-        counted = written(_counted(rows), "nodes")
+        counted = _counted(rows)
+        counted = written(counted if math.isinf(again) else _few(counted, again * FAN), "nodes")
         large = counted.where(F.col("n") > SMALL).select("node")
-        last = depth + 1 == MAX_DEPTH or large.isEmpty()
+        shared, again = counted.agg(F.coalesce(F.sum("n"), F.lit(0)),
+                                    F.coalesce(F.sum(F.when(F.col("n") > SMALL, F.col("n"))), F.lit(0))).first()
+        last = depth + 1 == MAX_DEPTH or not again
         if not last:
             sketches = rows.join(large, "node", "left_semi").join(texts.select("key", "sketch"), "key")
-            counted = counted.join(written(_alike(sketches), "alike"), "node", "left")
-        met = written(rows.join(counted, "node"), "met")
+            counted = counted.join(written(_few(_alike(sketches), again), "alike"), "node", "left")
+        met = written(_few(rows.join(counted, "node"), shared), "met")
         small = met.where(F.col("n") <= SMALL).select("node", "key", "n", "tokens", "members")
         ended = small if ended is None else ended.unionByName(small)
         if last:
@@ -321,10 +374,10 @@ def leaves(docs: DataFrame, texts: DataFrame, text: str) -> DataFrame:
         same = met.where((F.col("n") > SMALL) & F.col("group").isNotNull()).select(F.col("group").alias("node"), "key", "size")
         grouped = same if grouped is None else grouped.unionByName(same)
         more = met.where((F.col("n") > SMALL) & F.col("group").isNull())
-        more = written(more.groupBy("key").agg(F.collect_list("node").alias("parents")), "more")
+        more = written(_few(more.groupBy("key").agg(F.collect_list("node").alias("parents")), again), "more")
         if more.isEmpty():
             break
-        rows = written(_split(docs, more, text), "split")
+        rows = written(_few(_split(docs, more, text), again * FAN), "split")
     if grouped is not None:
         once = written(grouped.distinct(), "grouped")
         merged = once.join(_counted(once), "node").select("node", "key", "n", "tokens", "members")
@@ -452,14 +505,15 @@ def components(edges: DataFrame) -> DataFrame:
     """(text_id, label): the smallest id of each connected component with links. Each turn hooks labels to
     smaller ones across the links and then shortens the way to them."""
     both = written(edges.unionByName(edges.select(F.col("other").alias("text_id"), F.col("text_id").alias("other"))).distinct(), "edges")
-    labels = written(both.groupBy("text_id").agg(F.least(F.min("other"), F.first("text_id")).alias("label")), "labels")
+    ends = both.count()
+    labels = written(_few(both.groupBy("text_id").agg(F.least(F.min("other"), F.first("text_id")).alias("label")), ends), "labels")
     while True:
         near = both.join(labels.select(F.col("text_id").alias("other"), "label"), "other").groupBy("text_id").agg(
             F.min("label").alias("near"))
         hooked = labels.join(near, "text_id").select("text_id", "label", F.least("label", "near").alias("to"))
         jump = labels.select(F.col("text_id").alias("to"), F.col("label").alias("jump"))
-        new = written(hooked.join(jump, "to", "left").select(
-            "text_id", F.col("label").alias("old"), F.least("to", F.coalesce("jump", "to")).alias("label")), "labels")
+        new = written(_few(hooked.join(jump, "to", "left").select(
+            "text_id", F.col("label").alias("old"), F.least("to", F.coalesce("jump", "to")).alias("label")), ends), "labels")
         if not new.where("old <> label").limit(1).count():
             return new.select("text_id", "label")
         labels = new.select("text_id", "label")

@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from llm import decontamination, jaccard_join, suffix_dedup, topk_search
+from llm.texts import chunks
 from llm.written import written
 
 SCHEMA = "doc_id long, text string, key string, node long, score double"
@@ -131,6 +132,26 @@ def test_narrowing_keeps_all_links():
         assert threshold < 0.8 or len(np.unique(labels)) > 40
 
 
+def test_a_chunk_of_texts_is_described_as_one(monkeypatch):
+    rng = random.Random(11)
+    texts = [None, "", "one two", *(" ".join(rng.choice("abcd") for _ in range(rng.choice((0, 3, 5, 9, 40, 700)))) for _ in range(200)), " \n"]
+    (chunk,) = chunks(pa.array(texts))
+    sets = jaccard_join.shingle_sets(chunk)
+    for text, found in zip(texts, sets, strict=True):
+        words = (text or "").split()
+        assert len(found) == (len({tuple(words[i:i + 5]) for i in range(len(words) - 4)}) if len(words) > 4 else min(len(words), 1))
+        assert (found[1:] > found[:-1]).all()
+    roots, calls, mix = [np.uint64(i + 1) for i in range(3)], [], jaccard_join.mixed
+    expected = [(jaccard_join.fingerprint(s), len(s), [c for r in roots for c in jaccard_join.chosen(s, r).view(np.int64)],
+                 list(jaccard_join.sketch(s)), jaccard_join.parities(s)) if len(s) else (None, 0, [], [], None) for s in sets]
+    monkeypatch.setattr(jaccard_join, "mixed", lambda values: calls.append(len(values)) or mix(values))
+    found = list(zip(*jaccard_join._descriptions(sets, roots), strict=True))
+    assert [(a, n, list(nodes), list(told), bits) for a, n, nodes, told, bits in found] == expected
+    assert len(calls) < 40  # however many texts the chunk has
+    ids, sizes, nodes, told, bits = jaccard_join._descriptions([sets[0], sets[1]], roots)
+    assert (ids, sizes, bits) == ([None] * 2, [0] * 2, [None] * 2) and not any(map(len, nodes + told))
+
+
 def test_a_text_joins_few_nodes():
     """All that is written and shuffled grows with the nodes of a text; the runs still reach the recall."""
     assert jaccard_join.runs_needed() * jaccard_join.FAN < 14
